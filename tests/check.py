@@ -40,7 +40,9 @@ def compare(frame, connection, sql):
         only = [r for r in rows if r not in expected[:2000]][:3] if len(rows) < 2000 else rows[:2]
         return f"{len(rows)} rows against {len(expected)}; {only} ... {expected[:3]}"
     types = [tuple(type(v) for v in row) for row in (rows[:1] + expected[:1])]
-    return None if not rows or types[0] == types[1] else f"types {types}"
+    if not rows:
+        return "no rows on either side"
+    return None if types[0] == types[1] else f"types {types}"
 
 
 if __name__ == "__main__":

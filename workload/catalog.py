@@ -369,10 +369,9 @@ def expand_views(spark, sf_dir):
     second = dates.seconds_between(F.lit("2021-05-01 00:00:00").cast("timestamp_ntz"), F.col("date"))
     return rows.groupBy("curr", "link", "category", F.dayofmonth("date").alias("day")).agg(
         F.count(F.lit(1)).alias("views"),
-        F.min(dates.date_text(F.col("date"))).alias("first_date"),
-        F.max(dates.date_text(F.col("date"))).alias("last_date"),
+        F.min("date").alias("first_date"), F.max("date").alias("last_date"),
         F.sum(second).alias("seconds"),
-    )
+    ).withColumns({c: dates.date_text(F.col(c)) for c in ("first_date", "last_date")})
 
 
 @query
@@ -383,7 +382,8 @@ def expand_views_sorted(spark, sf_dir):
         F.count(F.lit(1)).alias("views"),
         F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"),
         F.sum(F.col("idx") * F.length("curr")).alias("idx_by_name"),
-        F.min("date").alias("first_date"), F.max("category").alias("last_category"),
+        F.sum(F.col("idx") * F.substring("date", 15, 2).cast("int")).alias("idx_by_minute"),
+        F.sum(F.length("category")).alias("category_length"),
     )
 
 

@@ -80,13 +80,15 @@ PARTS = {
     "titled": """
         select v.* replace (replace(curr, 'part-', 'Page_') as curr), l.category
         from views v left join labels_of l on l.title = replace(v.curr, 'part-', 'Page_')""",
+    "seeds": """
+        select *, cast('0x' || substr(digest, 1, 15) as bigint) % 2147483647 as start,
+               cast('0x' || substr(digest, 16, 15) as bigint) % 2147483646 + 1 as step
+        from (select *, md5('0|' || row_id) as digest from titled)""",
     "copies": """
-        select *, unnest(range(0, n)) as copy from titled where n > 0""",
+        select *, unnest(range(0, n)) as copy from seeds where n > 0""",
     "expanded": """
         select *, TIMESTAMP '2021-05-01 00:00:00' + to_seconds(second) as date from (
-          select *, cast('0x' || substr(md5('0|' || row_id || '|' || copy), 1, 15) as bigint)
-                    % 2635200 as second
-          from copies)""",
+          select *, (start + copy * step) % 2147483647 % 2635200 as second from copies)""",
     "sorted": """
         select *, row_number() over (order by date, row_id, copy) - 1 as idx from expanded""",
 }
@@ -95,7 +97,7 @@ _EDITS = ("change_events", "categories", "edits")
 _RESULTS = ("views", "page_windows", "top_pages", "top_windows", *_EDITS, "quiet",
             "category_counts", "wiki_counts", "results")
 _LABELS = ("categories", "words", "terms", "labels_of")
-_EXPANDED = ("views", *_LABELS, "titled", "copies", "expanded")
+_EXPANDED = ("views", *_LABELS, "titled", "seeds", "copies", "expanded")
 
 ORACLE = {}
 
@@ -190,8 +192,8 @@ _sql("expand_views", _EXPANDED,
 _sql("expand_views_sorted", [*_EXPANDED, "sorted"],
      """select strftime(date, '%Y-%m-%d %H') as hour, count(*) as views, min(idx) as first_idx,
                max(idx) as last_idx, cast(sum(idx * length(curr)) as bigint) as idx_by_name,
-               strftime(min(date), '%Y-%m-%d %H:%M:%S') as first_date,
-               max(category) as last_category
+               cast(sum(idx * minute(date)) as bigint) as idx_by_minute,
+               cast(sum(length(category)) as bigint) as category_length
         from sorted group by hour""")
 _sql("date_functions", [],
      """select o_orderkey,
