@@ -14,8 +14,13 @@ def tab_fields(line):
 
 
 def strict_bigint(text):
-    """A signed 64-bit integer, or null for blanks, decimals, CR or overflow."""
-    return F.when(text.rlike(r"\A[+-]?[0-9]+\z"), text.try_cast("bigint"))
+    """A signed 64-bit integer, or null for blanks, decimals, CR or overflow.
+
+    The cast alone would forgive blanks and control characters at either end.
+    """
+    first, last = F.substring(text, 1, 1), F.substring(text, -1, 1)
+    bare = last.between("0", "9") & (first.between("0", "9") | first.isin("+", "-"))
+    return F.when(bare, text.try_cast("bigint"))
 
 
 def leading_int(text):

@@ -1,6 +1,6 @@
 """Start all four counting queries on a broker:
 
-    spark-submit --packages <Kafka connector> -m pagestream.jobs \\
+    spark-submit --packages <Kafka connector> pagestream/jobs.py \\
         --servers host:9092 --checkpoints hdfs:///jobs/pagestream
 """
 

@@ -22,6 +22,19 @@ def hot_values(rows, column, share=0.02, tracked=2_000):
     }
 
 
+def hot_unless_adaptive(rows, column):
+    """For a join whose hot values nobody gave.
+
+    Adaptive execution cuts skewed partitions of a batch join from their measured
+    sizes, without reading the rows twice. Only where it is off, look for hot values.
+    """
+    conf = rows.sparkSession.conf
+    adaptive = all(
+        conf.get(f"spark.sql.adaptive.{key}") == "true" for key in ("enabled", "skewJoin.enabled")
+    )
+    return {} if adaptive or rows.isStreaming else hot_values(rows, column)
+
+
 def _parts(column, pieces):
     """Number of pieces the rows of a value are cut into, 1 for most values."""
     chosen = F.lit(1)

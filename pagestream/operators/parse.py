@@ -1,6 +1,7 @@
 """Text to records. A line that does not fit gives no row."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagestream import schemas
 from pagestream.functions import records, text
@@ -13,11 +14,20 @@ def decode_value(messages, column="value"):
     return messages
 
 
+def _once(column):
+    """The column as the output of a generator.
+
+    Filters and projections on a parsed value would each parse the text again once
+    Spark has merged them; what a generator gives is computed once per row.
+    """
+    return F.explode(F.array(column))
+
+
 def _four_fields(messages, number_at, names, keep):
     """Rows of exactly four fields whose field at `number_at` is a strict integer."""
     fields = [F.get("_fields", at) for at in range(len(names))]
     fields[number_at] = text.strict_bigint(fields[number_at])
-    split = decode_value(messages).select(*keep, text.tab_fields(F.col("value")).alias("_fields"))
+    split = decode_value(messages).select(*keep, _once(text.tab_fields(F.col("value"))).alias("_fields"))
     fitting = split.where((F.size("_fields") == len(names)) & fields[number_at].isNotNull())
     return fitting.select(*keep, *[f.alias(name) for f, name in zip(fields, names)])
 
@@ -32,11 +42,14 @@ def parse_edits(messages, keep=()):
     return _four_fields(messages, 0, schemas.EDIT.names, keep)
 
 
-def parse_change_events(messages, keep=()):
-    """JSON messages to the nested record `e`.
+def parse_change_events(messages, keep=(), fields=None):
+    """JSON messages to the nested record `e`, with all fields or the named ones.
 
     Text that is no JSON, or an event without a type, gives no row.
     """
-    parsed = records.parse_json(F.col("value"), schemas.CHANGE_EVENT)
-    rows = decode_value(messages).select(*keep, parsed.alias("e"))
+    schema = schemas.CHANGE_EVENT
+    if fields:
+        schema = T.StructType([f for f in schema.fields if f.name in {"type", *fields}])
+    parsed = records.parse_json(F.col("value"), schema)
+    rows = decode_value(messages).select(*keep, _once(parsed).alias("e"))
     return rows.where(F.col("e.type").isNotNull())

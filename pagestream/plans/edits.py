@@ -11,7 +11,7 @@ from pagestream.streaming import runner
 
 def enriched_edits(event_messages, categories, **join):
     """Edit x category rows from change-event messages. Same for batch and stream."""
-    events = parse.parse_change_events(event_messages)
+    events = parse.parse_change_events(event_messages, fields=["id", "timestamp", "wiki", "title"])
     edits = filters.edits_only(events)
     return cats.with_categories(edits, categories, edit_id="event_id", **join)
 

@@ -8,7 +8,7 @@ from pagestream.plans import dumps, edits, expansion, page_views, results
 from pagestream.schemas import CATEGORY_REPLY, VIEW
 from pagestream.session import run_dir
 from pagestream.sources import files, topics
-from pagestream.streaming import runner, sinks
+from pagestream.streaming import runner, sinks, tables
 from workload import inputs
 
 QUERIES = {}
@@ -165,9 +165,7 @@ def top_resource_sliding_stream(spark, sf_dir):
 @query
 def top_resource_latest_windows(spark, sf_dir):
     """Only the newest five windows compete, with bounded state."""
-    from pagestream.streaming.tables import latest_windows
-
-    table = latest_windows(run_dir(spark, "latest-windows"), k=5, slide_seconds=120)
+    table = tables.latest_windows(run_dir(spark, "latest-windows"), k=5, slide_seconds=120)
     last = {}
 
     def sink(_out):
@@ -231,8 +229,7 @@ def event_wikitype_distinct(spark, sf_dir):
 
 @query
 def edit_filter_project(spark, sf_dir):
-    events = parse.parse_change_events(inputs.change_event_json(spark, sf_dir))
-    return filters.edits_only(events)
+    return filters.edits_only(_events(spark, sf_dir))
 
 
 @query
@@ -316,8 +313,11 @@ def result_view_stream(spark, sf_dir):
     return ranking.top_per_topic(table.after(spark, running.lastProgress["batchId"]))
 
 
+SHOWN = ("id", "timestamp", "wiki", "title")
+
+
 def _events(spark, sf_dir):
-    return parse.parse_change_events(inputs.change_event_json(spark, sf_dir))
+    return parse.parse_change_events(inputs.change_event_json(spark, sf_dir), fields=SHOWN)
 
 
 @query
@@ -329,7 +329,7 @@ def latest_events(spark, sf_dir):
 def latest_events_stream(spark, sf_dir):
     base = run_dir(spark, "latest-events")
     inputs.change_event_json(spark, sf_dir).write.option("maxRecordsPerFile", 50_000).text(f"{base}/in")
-    events = parse.parse_change_events(topics.line_stream(spark, f"{base}/in", 1))
+    events = parse.parse_change_events(topics.line_stream(spark, f"{base}/in", 1), fields=SHOWN)
     table, running = results.start_latest_events(
         events, f"{base}/view", f"{base}/checkpoint", drain=True
     )
