@@ -13,7 +13,8 @@ def scan_views(spark, path, quoted=False, on_malformed="FAILFAST", row_id=None):
     `row_id` names a column with a number per row, fixed for a given set of files.
     """
     reader = spark.read.schema(schemas.VIEW).option("sep", "\t").option("mode", on_malformed)
-    reader = reader.option("quote", '"' if quoted else "")
+    # Without pruning a line is judged by all its fields, whichever a query needs.
+    reader = reader.option("columnPruning", False).option("quote", '"' if quoted else "")
     if quoted:
         reader = reader.option("escape", '"')
     rows = reader.csv(path)

@@ -1,0 +1,190 @@
+import time
+
+from pyspark.sql import functions as F
+
+from pagestream import jobs
+from pagestream.operators import parse
+from pagestream.plans import dumps, edits, page_views, results
+from pagestream.sources import topics
+from pagestream.streaming import replay, runner, sinks, tables
+
+T0 = 1_704_067_200
+
+
+def _put(folder, name, lines):
+    folder.mkdir(exist_ok=True)
+    (folder / f".{name}").write_text("".join(line + "\n" for line in lines))
+    (folder / f".{name}").rename(folder / name)
+
+
+def _edit(minute, wiki="enwiki", category="Cats", title="T"):
+    return f"{T0 + int(minute * 60)}\t{wiki}\t{title}\t{category}"
+
+
+def _last_batch(spark, folder):
+    rows = spark.read.parquet(str(folder))
+    last = rows.agg(F.max("batch_id")).first()[0]
+    return rows.where(F.col("batch_id") == last)
+
+
+def test_cumulative_top_goes_on_after_a_restart(spark, tmp_path):
+    def run():
+        lines = topics.line_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
+        runner.drain(
+            page_views.top_pages(parse.parse_views(lines), 2), sinks.batch_folder_sink(str(tmp_path / "out")),
+            str(tmp_path / "checkpoint"), "complete", partitions=2,
+        )
+
+    _put(tmp_path / "in", "a", ["p\tA\tlink\t5", "p\tB\tlink\t4", "bad"])
+    _put(tmp_path / "in", "b", ["p\tC\tlink\t3"])
+    run()
+    _put(tmp_path / "in", "c", ["p\tC\tlink\t3", "p\tA\tlink\t-4"])
+    run()
+    got = [(r["key"], r["value"]) for r in _last_batch(spark, tmp_path / "out").orderBy("key").collect()]
+    assert got == [("B", "4"), ("C", "6")]
+
+
+def test_late_rows_are_dropped_one_batch_later(spark, tmp_path):
+    def run():
+        lines = topics.line_stream(spark, str(tmp_path / "in"))
+        counts = edits.wiki_counts(parse.parse_edits(lines), threshold=1)
+        return runner.drain(
+            counts, sinks.batch_folder_sink(str(tmp_path / "out")), str(tmp_path / "checkpoint"),
+            "update", partitions=2,
+        )
+
+    for name, minute in (("a", 0), ("b", 60), ("c", 61)):
+        _put(tmp_path / "in", name, [_edit(minute)])
+        run()
+    _put(tmp_path / "in", "d", [_edit(1), _edit(61)])
+    query = run()
+    dropped = sum(
+        state["numRowsDroppedByWatermark"]
+        for progress in query.recentProgress for state in progress["stateOperators"]
+    )
+    assert dropped == 5
+    rows = spark.read.parquet(str(tmp_path / "out")).withColumn("at", F.unix_seconds("window.start"))
+    last = {r["at"]: r["value"] for r in rows.groupBy("at").agg(F.max_by("value", "batch_id").alias("value")).collect()}
+    assert last[T0] == "1" and last[T0 + 61 * 60] == "2"
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] < len(last)
+
+
+def test_distinct_edits_over_a_stream(spark, tmp_path):
+    _put(tmp_path / "in", "a", [_edit(0, category=c) for c in ("Cats", "Dogs")] + [_edit(0.5)])
+    lines = topics.line_stream(spark, str(tmp_path / "in"))
+    counts = edits.wiki_counts(parse.parse_edits(lines), threshold=1, distinct_edits=True)
+    runner.drain(counts, sinks.batch_folder_sink(str(tmp_path / "out")), str(tmp_path / "c"), "append", 2)
+    _put(tmp_path / "in", "b", [_edit(600)])
+    runner.drain(counts, sinks.batch_folder_sink(str(tmp_path / "out")), str(tmp_path / "c"), "append", 2)
+    rows = spark.read.parquet(str(tmp_path / "out")).where(F.unix_seconds("window.start") == T0)
+    assert [r["value"] for r in rows.collect()] == ["2"]
+
+
+def test_stream_enrichment_joins_a_table(spark, tmp_path):
+    known = spark.createDataFrame(
+        [("T", "Category:X", False), ("T", "Category:H", True), ("T", "Category:Y", False)],
+        "title string, category string, hidden boolean",
+    )
+    event = '{"id": %d, "type": "%s", "title": "%s", "timestamp": 5, "wiki": "w"}'
+    _put(tmp_path / "in", "a", [event % (1, "edit", "T"), event % (2, "new", "T"), event % (3, "edit", "U"), "{"])
+    for name, hot in (("plain", None), ("cut", {"T": 0.9})):
+        lines = edits.edit_lines(topics.line_stream(spark, str(tmp_path / "in")), known, hot_edits=hot)
+        runner.drain(lines, sinks.line_folder_sink(str(tmp_path / name)), str(tmp_path / f"c-{name}"))
+        got = sorted(r[0] for r in spark.read.text(str(tmp_path / name)).collect())
+        assert got == ["5\tw\tT\tX", "5\tw\tT\tY"]
+
+
+def test_replay_takes_one_file_per_batch(spark, tmp_path):
+    lines = spark.range(95).selectExpr("string(id) as value").coalesce(1)
+    dumps.split_dump(lines, str(tmp_path / "split"), 20)
+    query = replay.replay_folder(
+        spark, str(tmp_path / "split"), sinks.line_folder_sink(str(tmp_path / "out")),
+        str(tmp_path / "checkpoint"), drain=True,
+    )
+    query.awaitTermination()
+    assert [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]] and max(
+        p["numInputRows"] for p in query.recentProgress
+    ) <= 20
+    assert spark.read.text(str(tmp_path / "out")).count() == 95
+
+
+def _results(spark, *rows):
+    return spark.createDataFrame(rows, "topic string, key string, value string, offset long")
+
+
+def test_result_view_over_batches_and_a_repeated_batch(spark, tmp_path):
+    view = tables.largest_results(str(tmp_path / "view"), n=2)
+    batches = [
+        _results(spark, ("t", "a", "5", 0), ("t", "b", "4", 1), ("t", "c", "3", 2)),
+        _results(spark, ("t", "c", "9", 3), ("t", "a", "1", 4)),
+        _results(spark, ("t", "d", "2", 5)).where("offset < 0"),
+    ]
+    for number, batch in enumerate(batches):
+        view.update(batch, number)
+        view.update(batch, number)
+    got = {r["key"]: r["value"] for r in view.after(spark, 2).collect()}
+    assert got == {"c": 9, "a": 5}
+
+
+def test_latest_view_lets_values_fall(spark, tmp_path):
+    view = tables.latest_results(str(tmp_path / "view"))
+    view.update(_results(spark, ("t", "a", "5", 0), ("t", "b", "4", 1)), 0)
+    view.update(_results(spark, ("t", "a", "1", 2)), 1)
+    assert {r["key"]: r["value"] for r in view.after(spark, 1).collect()} == {"a": 1, "b": 4}
+
+
+def test_sliding_top_with_bounded_state(spark, tmp_path):
+    published = {}
+
+    def publish(rows, batch_id):
+        published[batch_id] = [(r["key"], r["value"], (r["window_start"] - T0) // 60) for r in rows.collect()]
+
+    def run():
+        lines = parse.parse_edits(topics.line_stream(spark, str(tmp_path / "in")))
+        views = lines.selectExpr("timestamp_seconds(timestamp) as t", "title as curr", "1L as n")
+        with runner.state_partitions(spark, 2):
+            page_views.start_latest_windows(
+                views, str(tmp_path / "kept"), publish, str(tmp_path / "checkpoint"), k=2, time="t",
+                every=None, drain=True,
+            ).awaitTermination()
+        return published[max(published)]
+
+    _put(tmp_path / "in", "a", [_edit(0, title="A")] * 5)
+    assert run() == [("A", 5, -2), ("A", 5, 0)]
+    _put(tmp_path / "in", "b", [_edit(2, title="B")] * 3)
+    assert run() == [("A", 5, 0), ("B", 3, 0), ("B", 3, 2)]
+    _put(tmp_path / "in", "c", [_edit(3, title="B")])
+    assert run() == [("A", 5, 0), ("B", 4, 0), ("B", 4, 2)]
+
+
+def test_latest_events_feed(spark, tmp_path):
+    event = '{"id": %d, "type": "edit", "title": "T", "timestamp": %d, "wiki": "w"}'
+    _put(tmp_path / "in", "a", [event % (i, i) for i in range(30)])
+    _put(tmp_path / "in", "b", [event % (i, i) for i in range(30, 35)])
+    stream = parse.parse_change_events(topics.line_stream(spark, str(tmp_path / "in"), 1))
+    table, query = results.start_latest_events(stream, str(tmp_path / "v"), str(tmp_path / "c"), drain=True)
+    query.awaitTermination()
+    got = table.after(spark, query.lastProgress["batchId"]).collect()
+    assert sorted(r["event_id"] for r in got) == list(range(15, 35))
+
+
+def test_four_queries_side_by_side(spark, tmp_path, monkeypatch):
+    _put(tmp_path / "wikistream", "a", ["p\tA\tlink\t5"] * 3)
+    _put(tmp_path / "wikievent", "a", [_edit(0)] * 25)
+    monkeypatch.setattr(topics, "kafka_stream", lambda session, servers, topic: topics.line_stream(
+        session, str(tmp_path / topic)))
+    monkeypatch.setattr(sinks, "kafka_sink", lambda servers, topic: sinks.topic_folder_sink(
+        str(tmp_path / "results"), topic))
+    queries = jobs.start_all(spark, "none", str(tmp_path / "checkpoints"), state=2)
+    try:
+        deadline = time.time() + 120
+        while time.time() < deadline and not all(q.lastProgress for q in queries):
+            time.sleep(0.5)
+    finally:
+        for query in queries:
+            query.stop()
+    got = {(r["topic"], r["key"], r["value"]) for r in topics.file_results(spark, str(tmp_path / "results")).collect()}
+    assert got == {
+        ("top_resource", "A", "15"), ("top_resource_sliding", "A", "15"),
+        ("event_top_categories", "Cats", "25"), ("event_wikitype", "enwiki", "25"),
+    }
