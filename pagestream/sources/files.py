@@ -13,11 +13,12 @@ def scan_views(spark, path, quoted=False, on_malformed="FAILFAST", row_id=None):
     `row_id` names a column with a number per row, fixed for a given set of files.
     """
     reader = spark.read.schema(schemas.VIEW).option("sep", "\t").option("mode", on_malformed)
-    # Without pruning a line is judged by all its fields, whichever a query needs.
+    # A line is judged by all its fields, whichever a query needs: no pruning, and the
+    # filter makes even a bare count read them.
     reader = reader.option("columnPruning", False).option("quote", '"' if quoted else "")
     if quoted:
         reader = reader.option("escape", '"')
-    rows = reader.csv(path)
+    rows = reader.csv(path).where(F.col("n").isNotNull())
     # The reader gives null for an empty field.
     columns = [F.coalesce(c, F.lit("")).alias(c) for c in ("prev", "curr", "link")] + ["n"]
     if row_id:
