@@ -27,17 +27,21 @@ def _watched(edits, delay):
 
 
 def top_categories(edits, wiki="enwiki", noise=filters.NOISE, threshold=5,
-                   width="30 minutes", slide="2 minutes", delay="30 minutes"):
-    """Categories of one wiki with at least `threshold` edits in a window."""
+                   width="30 minutes", slide="2 minutes", delay="30 minutes", closed_only=False):
+    """Categories of one wiki with at least `threshold` edits in a window.
+
+    A stream in update mode gives a count each time it changes; with `closed_only`
+    and append mode it gives the final count of each window.
+    """
     wanted = filters.without_noise(filters.of_wiki(edits, wiki), noise)
     counts = aggregates.windowed_count(
-        _watched(wanted, delay), "categoryText", "event_time", width, slide
+        _watched(wanted, delay), "categoryText", "event_time", width, slide, closed_only
     )
     return messages.to_message(filters.at_least(counts, threshold), "categoryText", keep=["window"])
 
 
 def wiki_counts(edits, threshold=20, distinct_edits=False,
-                width="5 minutes", slide="1 minute", delay="10 minutes"):
+                width="5 minutes", slide="1 minute", delay="10 minutes", closed_only=False):
     """Wikis with at least `threshold` rows in a window.
 
     A row is an edit and one of its categories. With `distinct_edits` an edit counts
@@ -46,7 +50,7 @@ def wiki_counts(edits, threshold=20, distinct_edits=False,
     watched = _watched(edits, delay)
     if distinct_edits:
         watched = watched.dropDuplicates(["event_time", "wiki", "title"])
-    counts = aggregates.windowed_count(watched, "wiki", "event_time", width, slide)
+    counts = aggregates.windowed_count(watched, "wiki", "event_time", width, slide, closed_only)
     return messages.to_message(filters.at_least(counts, threshold), "wiki", keep=["window"])
 
 
@@ -54,15 +58,20 @@ def start_edit_lines(event_messages, categories, sink, checkpoint, **join):
     return runner.start(edit_lines(event_messages, categories, **join), sink, checkpoint)
 
 
+def _mode(query):
+    return "append" if query.get("closed_only") else "update"
+
+
 def start_top_categories(edits, sink, checkpoint, every="1 minute", **query):
     return runner.start(
-        top_categories(edits, **query), sink, checkpoint, mode="update", every=every,
+        top_categories(edits, **query), sink, checkpoint, _mode(query), every,
         name=topics.TOP_CATEGORIES_TOPIC,
     )
 
 
 def start_wiki_counts(edits, sink, checkpoint, every="1 minute", **query):
+    """Over a stream, `distinct_edits` needs `closed_only`."""
     return runner.start(
-        wiki_counts(edits, **query), sink, checkpoint, mode="update", every=every,
+        wiki_counts(edits, **query), sink, checkpoint, _mode(query), every,
         name=topics.WIKI_TOPIC,
     )

@@ -69,15 +69,40 @@ def test_late_rows_are_dropped_one_batch_later(spark, tmp_path):
     assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] < len(last)
 
 
+def _closed(spark, tmp_path, batches, build):
+    for name, lines in batches:
+        _put(tmp_path / "in", name, lines)
+        rows = build(parse.parse_edits(topics.line_stream(spark, str(tmp_path / "in"))))
+        runner.drain(
+            rows, sinks.batch_folder_sink(str(tmp_path / "out")), str(tmp_path / "c"), "append", 2
+        )
+    return {
+        (r["key"], r["at"]): r["value"]
+        for r in spark.read.parquet(str(tmp_path / "out"))
+        .withColumn("at", F.unix_seconds("window.start")).collect()
+    }
+
+
 def test_distinct_edits_over_a_stream(spark, tmp_path):
-    _put(tmp_path / "in", "a", [_edit(0, category=c) for c in ("Cats", "Dogs")] + [_edit(0.5)])
-    lines = topics.line_stream(spark, str(tmp_path / "in"))
-    counts = edits.wiki_counts(parse.parse_edits(lines), threshold=1, distinct_edits=True)
-    runner.drain(counts, sinks.batch_folder_sink(str(tmp_path / "out")), str(tmp_path / "c"), "append", 2)
-    _put(tmp_path / "in", "b", [_edit(600)])
-    runner.drain(counts, sinks.batch_folder_sink(str(tmp_path / "out")), str(tmp_path / "c"), "append", 2)
-    rows = spark.read.parquet(str(tmp_path / "out")).where(F.unix_seconds("window.start") == T0)
-    assert [r["value"] for r in rows.collect()] == ["2"]
+    lines = [_edit(0, category=c) for c in ("Cats", "Dogs")] + [_edit(0.5)]
+    got = _closed(
+        spark, tmp_path, [("a", lines), ("b", [_edit(600)])],
+        lambda rows: edits.wiki_counts(rows, threshold=1, distinct_edits=True, closed_only=True),
+    )
+    assert got[("enwiki", T0)] == "2"
+
+
+def test_closed_windows_equal_the_batch(spark, tmp_path):
+    lines = [_edit(m / 3, category=c) for m in range(60) for c in ("Cats", "Dogs")[: 1 + m % 2]]
+    build = lambda rows: edits.top_categories(rows, threshold=2, closed_only=True)
+    got = _closed(spark, tmp_path, [("a", lines[:40]), ("b", lines[40:]), ("c", [_edit(600)])], build)
+    batch = edits.top_categories(
+        parse.parse_edits(spark.createDataFrame([(line,) for line in lines], "value string")), threshold=2
+    )
+    assert got == {
+        (r["key"], r["at"]): r["value"]
+        for r in batch.withColumn("at", F.unix_seconds("window.start")).collect()
+    }
 
 
 def test_stream_enrichment_joins_a_table(spark, tmp_path):
