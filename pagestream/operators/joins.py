@@ -3,6 +3,7 @@
 from math import ceil
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagestream.session import shuffle_partitions
 
@@ -35,12 +36,17 @@ def hot_unless_adaptive(rows, column):
     return {} if adaptive or rows.isStreaming else hot_values(rows, column)
 
 
-def _parts(column, pieces):
-    """Number of pieces the rows of a value are cut into, 1 for most values."""
-    chosen = F.lit(1)
-    for value, count in pieces.items():
-        chosen = F.when(F.col(column) == F.lit(value), F.lit(count)).otherwise(chosen)
-    return chosen
+def _with_parts(rows, column, parts, name):
+    """Add into how many pieces the rows of a value are cut, 1 for most values.
+
+    The broadcast table has a row per hot value, so at most 1/share rows.
+    """
+    kind = rows.schema[column].dataType
+    schema = T.StructType([T.StructField(column, kind), T.StructField(name, T.IntegerType())])
+    table = rows.sparkSession.createDataFrame(list(parts.items()), schema)
+    return rows.join(F.broadcast(table), column, "left").withColumn(
+        name, F.coalesce(name, F.lit(1))
+    )
 
 
 def skew_join(left, right, on, how="inner", hot_left=None, hot_right=None,
@@ -63,23 +69,20 @@ def skew_join(left, right, on, how="inner", hot_left=None, hot_right=None,
     if how == "left" and hot_right:
         raise ValueError("the right side of a left join cannot be cut")
     partitions = shuffle_partitions(left.sparkSession)
-    cut = {}
-    for side, shares in (("left", hot_left), ("right", hot_right)):
-        cut[side] = {v: ceil(s * partitions) + 1 for v, s in (shares or {}).items()}
-    if not cut["left"] and not cut["right"]:
-        return left.join(right, on, how)
-
-    hot_column = on[-1]
-    piece_names = []
-    for side, row_id in (("left", left_id), ("right", right_id)):
-        if not cut[side]:
+    pieces = []
+    for side, shares, row_id in (("left", hot_left, left_id), ("right", hot_right, right_id)):
+        # Less than a task's share of the rows needs no cutting.
+        parts = {v: ceil(s * partitions) + 1 for v, s in (shares or {}).items() if s * partitions >= 1}
+        if not parts:
             continue
-        name = f"_piece_of_{side}"
-        piece_names.append(name)
-        count = _parts(hot_column, cut[side])
+        piece, count = f"_piece_of_{side}", f"_pieces_of_{side}"
         number = F.xxhash64(row_id) if row_id else F.monotonically_increasing_id()
-        own_piece = F.pmod(number, count).cast("int")
-        every_piece = F.explode(F.sequence(F.lit(0), count - 1))
-        left = left.withColumn(name, own_piece if side == "left" else every_piece)
-        right = right.withColumn(name, own_piece if side == "right" else every_piece)
-    return left.join(right, on + piece_names, how).drop(*piece_names)
+        own = F.pmod(number, F.col(count)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+        left, right = (
+            _with_parts(rows, on[-1], parts, count).withColumn(piece, how_many).drop(count)
+            for rows, how_many in ((left, own if side == "left" else every),
+                                   (right, own if side == "right" else every))
+        )
+        pieces.append(piece)
+    return left.join(right, on + pieces, how).drop(*pieces)

@@ -70,7 +70,6 @@ def start_top_categories(edits, sink, checkpoint, every="1 minute", **query):
 
 
 def start_wiki_counts(edits, sink, checkpoint, every="1 minute", **query):
-    """Over a stream, `distinct_edits` needs `closed_only`."""
     return runner.start(
         wiki_counts(edits, **query), sink, checkpoint, _mode(query), every,
         name=topics.WIKI_TOPIC,

@@ -15,15 +15,16 @@ def top_pages(views, n=10):
     return messages.to_message(ranking.top_rows(totals, n, "curr"), "curr")
 
 
-def page_windows(views, time=None, width=WIDTH, slide=SLIDE, delay=DELAY):
+def page_windows(views, time=None, width=WIDTH, slide=SLIDE, delay=DELAY, closed_only=False):
     """`curr, window, value`: views per page and window.
 
     Without a `time` column a row counts when it is processed, as in a live feed.
+    `closed_only` is for append mode, see `aggregates`.
     """
     if time is None:
         time, views = "processed_at", views.withColumn("processed_at", F.current_timestamp())
     watched = views.withWatermark(time, delay)
-    return aggregates.windowed_sum(watched, "curr", "n", time, width, slide)
+    return aggregates.windowed_sum(watched, "curr", "n", time, width, slide, closed_only)
 
 
 def top_pages_sliding(views, time=None, n=20, **window):

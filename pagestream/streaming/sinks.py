@@ -52,6 +52,18 @@ def write_views(views, folder, compression="none"):
     writer.option("escape", "").option("compression", compression).csv(folder)
 
 
+def write_bucketed(rows, table, column, buckets, path=None):
+    """A table laid out by hash of a column, as parquet.
+
+    A join on the column then reads it in place instead of shuffling it. That counts
+    most for a table a stream joins, which is read again for every micro-batch.
+    """
+    writer = rows.write.mode("overwrite").bucketBy(buckets, column).sortBy(column)
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+
+
 def write_indexed_csv(numbered_rows, folder, index="idx"):
     """CSV with a header whose first column, the index, has no name."""
     unnamed = numbered_rows.withColumnRenamed(index, "")

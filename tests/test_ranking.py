@@ -104,6 +104,9 @@ def test_first_page_with_categories(spark, rows):
     assert rows(categories.first_page_categories(replies, keep=["id"])) == [
         (1, "b", 0, "B1"), (1, "b", 1, "B2"), (2, "n", 0, "N")
     ]
+    edit = spark.createDataFrame([(9, "enwiki", "b")], "timestamp long, wiki string, title string")
+    table = categories.lookup_table(replies)
+    assert rows(categories.with_categories(edit, table)) == [(9, "enwiki", "b", "B1"), (9, "enwiki", "b", "B2")]
 
 
 def test_main_category_is_the_most_frequent_then_the_first_seen(spark, rows):

@@ -4,7 +4,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from pagestream.operators import ordering
+from pagestream.operators import categories, ordering
 from pagestream.plans import dumps
 from pagestream.sources import files, topics
 from pagestream.streaming import sinks
@@ -138,3 +138,15 @@ def test_file_topics_keep_name_and_batch(spark, rows, tmp_path):
     assert rows(topics.file_results(spark, str(tmp_path))) == [
         ("event_wikitype", "k", "1", 4), ("top_resource", "k", "1", 4)
     ]
+
+
+def test_a_bucketed_table_is_joined_in_place(spark, tmp_path, setting):
+    setting("spark.sql.autoBroadcastJoinThreshold", "-1")
+    known = spark.range(100).selectExpr("concat('T', id) as title", "'Category:X' as category", "false as hidden")
+    sinks.write_bucketed(known, "known_categories", "title", 4, str(tmp_path / "table"))
+    edits = spark.range(50).selectExpr("id as timestamp", "'w' as wiki", "concat('T', id) as title")
+    joined = categories.with_categories(edits, spark.table("known_categories"))
+    assert joined.count() == 50
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    spark.sql("drop table known_categories")

@@ -92,6 +92,18 @@ def test_distinct_edits_over_a_stream(spark, tmp_path):
     assert got[("enwiki", T0)] == "2"
 
 
+def test_distinct_edits_in_update_mode(spark, tmp_path):
+    for name, lines in (("a", [_edit(0)] * 3), ("b", [_edit(0), _edit(0.5)])):
+        _put(tmp_path / "in", name, lines)
+        rows = parse.parse_edits(topics.line_stream(spark, str(tmp_path / "in")))
+        runner.drain(
+            edits.wiki_counts(rows, threshold=1, distinct_edits=True),
+            sinks.batch_folder_sink(str(tmp_path / "out")), str(tmp_path / "c"), "update", 2,
+        )
+    rows = spark.read.parquet(str(tmp_path / "out")).where(F.unix_seconds("window.start") == T0)
+    assert [r["value"] for r in rows.orderBy("batch_id").collect()] == ["1", "2"]
+
+
 def test_closed_windows_equal_the_batch(spark, tmp_path):
     lines = [_edit(m / 3, category=c) for m in range(60) for c in ("Cats", "Dogs")[: 1 + m % 2]]
     build = lambda rows: edits.top_categories(rows, threshold=2, closed_only=True)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pagestream.functions import dates, text
-from pagestream.operators import aggregates, categories, expand, filters, messages, ordering, parse, ranking
+from pagestream.operators import aggregates, categories, expand, filters, joins, messages, ordering, parse, ranking
 from pagestream.plans import dumps, edits, expansion, page_views, results
 from pagestream.schemas import CATEGORY_REPLY, VIEW
 from pagestream.session import run_dir
@@ -186,6 +186,13 @@ def top_resource_latest_windows(spark, sf_dir):
 # Edits.
 
 
+SHOWN = ("id", "timestamp", "wiki", "title")
+
+
+def _events(spark, sf_dir):
+    return parse.parse_change_events(inputs.change_event_json(spark, sf_dir), fields=SHOWN)
+
+
 @query
 def category_noise_filter(spark, sf_dir):
     return filters.without_noise(filters.of_wiki(inputs.edits(spark, sf_dir)))
@@ -206,6 +213,17 @@ def event_top_categories_stream(spark, sf_dir):
     return _last_update(spark, out)
 
 
+@query
+def event_top_categories_closed_stream(spark, sf_dir):
+    """Final counts of the windows the watermark has passed."""
+    lines = inputs.edit_lines(spark, sf_dir, keep=["timestamp"])
+    out = _stream(
+        spark, "event_top_categories_closed", lines, "timestamp",
+        lambda rows: edits.top_categories(parse.parse_edits(rows), closed_only=True), "append",
+    )
+    return aggregates.with_window_seconds(spark.read.parquet(out)).drop("batch_id")
+
+
 @query
 def event_wikitype(spark, sf_dir):
     return aggregates.with_window_seconds(edits.wiki_counts(inputs.edits(spark, sf_dir)))
@@ -227,11 +245,26 @@ def event_wikitype_distinct(spark, sf_dir):
     return aggregates.with_window_seconds(counts)
 
 
+@query
+def event_wikitype_distinct_stream(spark, sf_dir):
+    lines = inputs.edit_lines(spark, sf_dir, keep=["timestamp"])
+    out = _stream(
+        spark, "event_wikitype_distinct", lines, "timestamp",
+        lambda rows: edits.wiki_counts(parse.parse_edits(rows), threshold=5, distinct_edits=True),
+        "update",
+    )
+    return _last_update(spark, out)
+
+
 @query
 def edit_filter_project(spark, sf_dir):
     return filters.edits_only(_events(spark, sf_dir))
 
 
+def _edits_only(spark, sf_dir):
+    return filters.edits_only(_events(spark, sf_dir))
+
+
 @query
 def category_enrich(spark, sf_dir):
     return edits.enriched_edits(
@@ -239,6 +272,17 @@ def category_enrich(spark, sf_dir):
     )
 
 
+@query
+def category_enrich_cut(spark, sf_dir):
+    """Two fifths of the edits on one page, found and cut."""
+    hot = F.when(F.col("wiki").isin("enwiki", "frwiki"), "Page_1").otherwise(F.col("title"))
+    rows = _edits_only(spark, sf_dir).withColumn("title", hot)
+    return categories.with_categories(
+        rows, inputs.categories(spark, sf_dir), hot_edits=joins.hot_values(rows, "title"),
+        edit_id="event_id",
+    )
+
+
 @query
 def category_first_page(spark, sf_dir):
     replies = inputs.category_replies(spark, sf_dir).select(
@@ -313,13 +357,6 @@ def result_view_stream(spark, sf_dir):
     return ranking.top_per_topic(table.after(spark, running.lastProgress["batchId"]))
 
 
-SHOWN = ("id", "timestamp", "wiki", "title")
-
-
-def _events(spark, sf_dir):
-    return parse.parse_change_events(inputs.change_event_json(spark, sf_dir), fields=SHOWN)
-
-
 @query
 def latest_events(spark, sf_dir):
     return results.latest_events(_events(spark, sf_dir))
@@ -357,6 +394,18 @@ def view_enrich(spark, sf_dir):
     return categories.with_main_category(views, labels, row_id="row_id")
 
 
+@query
+def view_enrich_cut(spark, sf_dir):
+    """The label of the page a view came from; a third came from one, found and cut."""
+    labels = expansion.labels_of(inputs.categories(spark, sf_dir))
+    origin = F.when(F.col("prev") == "other-search", "Page_1").otherwise(
+        F.regexp_replace("prev", "^supp-", "Page_")
+    )
+    views = inputs.views(spark, sf_dir).select("row_id", "n", origin.alias("curr"))
+    found = joins.hot_values(views, "curr")
+    return categories.with_main_category(views, labels, found, row_id="row_id")
+
+
 def _expanded(spark, sf_dir):
     labels = expansion.labels_of(inputs.categories(spark, sf_dir))
     return expansion.single_views(inputs.titled_views(spark, sf_dir), labels)

@@ -139,9 +139,12 @@ _sql("top_resource_latest_windows", ["views", "page_windows"],
 _sql("category_noise_filter", [*_EDITS, "quiet"], "select * from quiet")
 _sql("event_top_categories event_top_categories_stream", [*_EDITS, "quiet", "category_counts"],
      "select key, cast(value as varchar) as value, window_start from category_counts")
+_sql("event_top_categories_closed_stream", [*_EDITS, "quiet", "category_counts"],
+     """select key, cast(value as varchar) as value, window_start from category_counts
+        where window_start + 1800 <= (select max(timestamp) from quiet) - 1800""")
 _sql("event_wikitype event_wikitype_stream", [*_EDITS, "wiki_counts"],
      "select key, cast(value as varchar) as value, window_start from wiki_counts")
-_sql("event_wikitype_distinct", _EDITS,
+_sql("event_wikitype_distinct event_wikitype_distinct_stream", _EDITS,
      """select wiki as key, (timestamp // 60) * 60 - i * 60 as window_start,
                cast(count(*) as varchar) as value
         from (select distinct timestamp, wiki, title from edits) cross join range(0, 5) t(i)
@@ -149,6 +152,12 @@ _sql("event_wikitype_distinct", _EDITS,
 _sql("edit_filter_project", ["change_events"],
      "select event_id, timestamp, wiki, title from change_events where type = 'edit'")
 _sql("category_enrich", _EDITS, "select * from edits")
+_sql("category_enrich_cut", _EDITS[:2],
+     """select e.timestamp, e.wiki, e.title, replace(c.category, 'Category:', '') as categoryText
+        from (select * replace (case when wiki in ('enwiki', 'frwiki') then 'Page_1' else title end
+                                as title)
+              from change_events where type = 'edit') e
+        join categories c on e.title = c.title where not c.hidden""")
 _sql("category_first_page", [],
      """with chosen as (
           select p_partkey as reply_id,
@@ -183,6 +192,11 @@ _sql("page_terms", _LABELS[:3], "select * from terms")
 _sql("page_main_category", _LABELS, "select * from labels_of")
 _sql("view_enrich", ["views", *_LABELS, "titled"],
      "select prev, curr, link, n, row_id, category from titled")
+_sql("view_enrich_cut", ["views", *_LABELS],
+     """select v.curr, v.row_id, v.n, l.category
+        from (select row_id, n, case when prev = 'other-search' then 'Page_1'
+                                     else replace(prev, 'supp-', 'Page_') end as curr from views) v
+        left join labels_of l on l.title = v.curr""")
 _sql("expand_views", _EXPANDED,
      """select curr, link, category, cast(day(date) as integer) as day, count(*) as views,
                strftime(min(date), '%Y-%m-%d %H:%M:%S') as first_date,
