@@ -1,52 +1,120 @@
-"""Start all four counting queries on a broker:
+"""The jobs of the application, for spark-submit:
 
-    spark-submit --packages <Kafka connector> pagestream/jobs.py \\
-        --servers host:9092 --checkpoints hdfs:///jobs/pagestream
+    PYTHONPATH=. spark-submit --packages <Kafka connector> pagestream/jobs.py \\
+        --servers host:9092 --checkpoints hdfs:///jobs count
+
+    count    the four counting queries side by side
+    ingest   change events, looked up in a category table, to the edit topic
+    replay   files of a dump to the page-view topic, one per interval
+    view     the largest results per key, kept over the result topics
+    expand   a dump to single dated views, as CSV
+
+With `--topics-folder` in place of `--servers` topics are folders of files.
 """
 
 import argparse
 
 from pagestream.operators import parse
-from pagestream.plans import edits, page_views
+from pagestream.plans import dumps, edits, expansion, page_views, results
+from pagestream.schemas import CATEGORY
 from pagestream.session import build_session
-from pagestream.sources import topics
+from pagestream.sources import files, topics
 from pagestream.streaming import runner, sinks
-
-ALL = topics.RESULT_TOPICS
+from pagestream.streaming.brokers import FileTopics, KafkaTopics
 
 
-def start_all(spark, servers, checkpoints, wanted=ALL, sliding_every="60 seconds", state=None):
-    """Start the wanted queries side by side, each with its own checkpoint."""
-    view_rows = parse.parse_views(topics.kafka_stream(spark, servers, topics.PAGE_VIEW_TOPIC))
-    edit_rows = parse.parse_edits(topics.kafka_stream(spark, servers, topics.EDIT_TOPIC))
+def start_counts(spark, broker, checkpoints, wanted=topics.RESULT_TOPICS,
+                 sliding_every="60 seconds", partitions=None):
+    """Start the wanted queries, each with its own checkpoint, without waiting."""
+    views = parse.parse_views(broker.lines(spark, topics.PAGE_VIEW_TOPIC))
+    edit_rows = parse.parse_edits(broker.lines(spark, topics.EDIT_TOPIC))
     starts = {
-        topics.TOP_PAGES_TOPIC: lambda *to: page_views.start_top_pages(view_rows, *to),
+        topics.TOP_PAGES_TOPIC: lambda *to: page_views.start_top_pages(views, *to),
         topics.TOP_PAGES_SLIDING_TOPIC: lambda *to: page_views.start_top_pages_sliding(
-            view_rows, *to, every=sliding_every
+            views, *to, every=sliding_every
         ),
         topics.TOP_CATEGORIES_TOPIC: lambda *to: edits.start_top_categories(edit_rows, *to),
         topics.WIKI_TOPIC: lambda *to: edits.start_wiki_counts(edit_rows, *to),
     }
-    with runner.state_partitions(spark, state):
+    with runner.state_partitions(spark, partitions):
         return [
-            starts[name](sinks.kafka_sink(servers, name), f"{checkpoints}/{name}")
-            for name in wanted
+            starts[name](broker.result_sink(name), f"{checkpoints}/{name}") for name in wanted
         ]
 
 
+def start_ingest(spark, broker, checkpoints, categories, events_topic):
+    """`categories` is a table with the columns of `schemas.CATEGORY`."""
+    return edits.start_edit_lines(
+        broker.lines(spark, events_topic), categories, broker.line_sink(topics.EDIT_TOPIC),
+        f"{checkpoints}/ingest",
+    )
+
+
+def start_replay(spark, broker, checkpoints, folder, every="60 seconds"):
+    return dumps.replay_dump(
+        spark, folder, broker.line_sink(topics.PAGE_VIEW_TOPIC), f"{checkpoints}/replay", every=every
+    )
+
+
+def start_view(spark, broker, checkpoints, folder, n=results.SERVED):
+    _, query = results.start_result_view(broker.results(spark), folder, f"{checkpoints}/view", n)
+    return query
+
+
+def expand(spark, dump, categories, out, **span):
+    views = files.scan_views(spark, dump, row_id="row_id")
+    rows = expansion.single_views(views, expansion.labels_of(categories), **span)
+    sinks.write_indexed_csv(expansion.sorted_views(rows), out)
+
+
+def _options():
+    options = argparse.ArgumentParser(
+        description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter
+    )
+    where = options.add_mutually_exclusive_group()
+    where.add_argument("--servers", default="localhost:9092")
+    where.add_argument("--topics-folder")
+    options.add_argument("--checkpoints", default="checkpoints")
+    jobs = options.add_subparsers(dest="job", required=True)
+    count = jobs.add_parser("count")
+    count.add_argument("--queries", nargs="+", default=topics.RESULT_TOPICS, choices=topics.RESULT_TOPICS)
+    count.add_argument("--sliding-every", default="60 seconds")
+    count.add_argument("--state-partitions", type=int)
+    ingest = jobs.add_parser("ingest")
+    ingest.add_argument("--categories", required=True)
+    ingest.add_argument("--events-topic", required=True)
+    replay = jobs.add_parser("replay")
+    replay.add_argument("folder")
+    replay.add_argument("--every", default="60 seconds")
+    view = jobs.add_parser("view")
+    view.add_argument("folder")
+    view.add_argument("-n", type=int, default=results.SERVED)
+    expanding = jobs.add_parser("expand")
+    expanding.add_argument("dump")
+    expanding.add_argument("out")
+    expanding.add_argument("--categories", required=True)
+    return options
+
+
 def main(arguments=None):
-    options = argparse.ArgumentParser()
-    options.add_argument("--servers", default="localhost:9092")
-    options.add_argument("--checkpoints", required=True)
-    options.add_argument("--queries", nargs="+", default=ALL, choices=ALL)
-    options.add_argument("--sliding-every", default="60 seconds")
-    options.add_argument("--state-partitions", type=int)
-    chosen = options.parse_args(arguments)
+    chosen = _options().parse_args(arguments)
     spark = build_session()
-    start_all(
-        spark, chosen.servers, chosen.checkpoints, chosen.queries, chosen.sliding_every,
-        chosen.state_partitions,
-    )
+    broker = FileTopics(chosen.topics_folder) if chosen.topics_folder else KafkaTopics(chosen.servers)
+    known = None
+    if getattr(chosen, "categories", None):
+        known = spark.read.schema(CATEGORY).parquet(chosen.categories)
+    if chosen.job == "expand":
+        expand(spark, chosen.dump, known, chosen.out)
+        return
+    to = (spark, broker, chosen.checkpoints)
+    if chosen.job == "count":
+        start_counts(*to, chosen.queries, chosen.sliding_every, chosen.state_partitions)
+    elif chosen.job == "ingest":
+        start_ingest(*to, known, chosen.events_topic)
+    elif chosen.job == "replay":
+        start_replay(*to, chosen.folder, chosen.every)
+    else:
+        start_view(*to, chosen.folder, chosen.n)
     runner.await_any(spark)
 
 

@@ -47,3 +47,8 @@ def drain(rows, sink, checkpoint, mode="append", partitions=None):
 def await_any(spark):
     """All queries are started before this waits; it returns when one of them ends."""
     spark.streams.awaitAnyTermination()
+
+
+def last_batch(query):
+    """Number of the last batch a query ran."""
+    return query.lastProgress["batchId"]

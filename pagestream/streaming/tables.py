@@ -16,15 +16,20 @@ class KeptTable:
     batch 0 starts it anew.
     """
 
-    def __init__(self, folder, shape, reduce, slots=3):
+    def __init__(self, folder, shape, reduce, slots=3, read_twice=False):
         self.folder, self.shape, self.reduce, self.slots = folder, shape, reduce, slots
+        self.read_twice = read_twice
 
     def update(self, batch, batch_id):
         """For `batch_sink`; the batch may be empty."""
         rows = self.shape(batch, batch_id)
         if batch_id > 0:
             rows = self.after(batch.sparkSession, batch_id - 1).unionByName(rows)
+        if self.read_twice:
+            rows = rows.persist()
         self.reduce(rows).write.mode("overwrite").parquet(self._slot(batch_id))
+        if self.read_twice:
+            rows.unpersist()
 
     def after(self, spark, batch_id):
         """The table as the batch with this number left it."""
@@ -94,7 +99,6 @@ def latest_windows(folder, k, slide_seconds):
         )
 
     def reduce(rows):
-        rows = rows.persist()
         newest = rows.agg(F.max("window_start")).first()[0] or 0
         return (
             rows.where(F.col("window_start") > newest - k * slide_seconds)
@@ -102,4 +106,4 @@ def latest_windows(folder, k, slide_seconds):
             .agg(F.max_by("value", "version").alias("value"), F.max("version").alias("version"))
         )
 
-    return KeptTable(folder, shape, reduce)
+    return KeptTable(folder, shape, reduce, read_twice=True)

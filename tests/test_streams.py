@@ -6,7 +6,9 @@ from pagestream import jobs
 from pagestream.operators import parse
 from pagestream.plans import dumps, edits, page_views, results
 from pagestream.sources import topics
+from pagestream.schemas import CATEGORY
 from pagestream.streaming import replay, runner, sinks, tables
+from pagestream.streaming.brokers import FileTopics, KafkaTopics
 
 T0 = 1_704_067_200
 
@@ -205,23 +207,75 @@ def test_latest_events_feed(spark, tmp_path):
     assert sorted(r["event_id"] for r in got) == list(range(15, 35))
 
 
-def test_four_queries_side_by_side(spark, tmp_path, monkeypatch):
-    _put(tmp_path / "wikistream", "a", ["p\tA\tlink\t5"] * 3)
-    _put(tmp_path / "wikievent", "a", [_edit(0)] * 25)
-    monkeypatch.setattr(topics, "kafka_stream", lambda session, servers, topic: topics.line_stream(
-        session, str(tmp_path / topic)))
-    monkeypatch.setattr(sinks, "kafka_sink", lambda servers, topic: sinks.topic_folder_sink(
-        str(tmp_path / "results"), topic))
-    queries = jobs.start_all(spark, "none", str(tmp_path / "checkpoints"), state=2)
+def _until(condition, queries, seconds=120):
+    deadline = time.time() + seconds
     try:
-        deadline = time.time() + 120
-        while time.time() < deadline and not all(q.lastProgress for q in queries):
+        while time.time() < deadline and not condition():
             time.sleep(0.5)
+        for query in queries:
+            assert query.exception() is None
     finally:
         for query in queries:
             query.stop()
-    got = {(r["topic"], r["key"], r["value"]) for r in topics.file_results(spark, str(tmp_path / "results")).collect()}
-    assert got == {
+
+
+def test_the_whole_application_on_file_topics(spark, tmp_path):
+    """Replay and ingest feed four queries side by side, the view reads what they give."""
+    broker, checkpoints = FileTopics(str(tmp_path / "topics")), str(tmp_path / "checkpoints")
+    known = spark.createDataFrame(
+        [("T", 0, "Category:Cats", False), ("T", 1, "Category:Hidden", True)], CATEGORY
+    )
+    event = '{"id": %d, "type": "edit", "title": "T", "timestamp": %d, "wiki": "enwiki"}'
+    (tmp_path / "topics").mkdir()
+    _put(tmp_path / "dump", "a", ["p\tA\tlink\t5"] * 3)
+    _put(tmp_path / "topics" / "changes", "a", [event % (i, T0) for i in range(25)])
+
+    def filled(topic):
+        return lambda: list((tmp_path / "topics" / topic / "_spark_metadata").glob("[0-9]*"))
+
+    replay_query = jobs.start_replay(spark, broker, checkpoints, str(tmp_path / "dump"), "1 second")
+    _until(filled("wikistream"), [replay_query])
+    ingest = jobs.start_ingest(spark, broker, checkpoints, known, "changes")
+    _until(filled("wikievent"), [ingest])
+    counts = jobs.start_counts(spark, broker, checkpoints, partitions=2)
+    assert len({q.name for q in counts}) == 4
+    _until(lambda: all(q.lastProgress for q in counts), counts)
+    expected = {
         ("top_resource", "A", "15"), ("top_resource_sliding", "A", "15"),
         ("event_top_categories", "Cats", "25"), ("event_wikitype", "enwiki", "25"),
     }
+    got = topics.file_results(spark, str(tmp_path / "topics" / "results")).collect()
+    assert {(r["topic"], r["key"], r["value"]) for r in got} == expected
+    table, query = results.start_result_view(
+        broker.results(spark), str(tmp_path / "view"), f"{checkpoints}/view", drain=True
+    )
+    query.awaitTermination()
+    rows = table.after(spark, runner.last_batch(query)).collect()
+    assert {(r["topic"], r["key"], str(r["value"])) for r in rows} == expected
+
+
+def test_kafka_topics_use_the_connector(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(topics, "kafka_stream", lambda session, servers, names, **more: asked.append(
+        (servers, names, more)) or session.createDataFrame(
+        [("t", bytearray(b"k"), bytearray(b"5"), 3)], "topic string, key binary, value binary, offset long"))
+    broker = KafkaTopics("h:1", minPartitions="4")
+    assert broker.lines(spark, "wikistream").columns == ["value"]
+    assert broker.results(spark).first()["value"] == "5"
+    assert asked == [("h:1", "wikistream", {"minPartitions": "4"}),
+                     ("h:1", topics.RESULT_TOPICS, {"minPartitions": "4"})]
+
+
+def test_job_arguments():
+    chosen = jobs._options().parse_args(["--servers", "h:1", "--checkpoints", "c", "count", "--queries", "top_resource"])
+    assert (chosen.job, chosen.queries, chosen.sliding_every) == ("count", ["top_resource"], "60 seconds")
+    assert jobs._options().parse_args(["--topics-folder", "f", "replay", "d"]).every == "60 seconds"
+
+
+def test_expand_job_writes_csv(spark, tmp_path):
+    _put(tmp_path / "dump", "a", ["p\tA\tlink\t3", "q\tB\tother\t0"])
+    known = spark.createDataFrame([("A", 0, "Category:Letters", False)], CATEGORY)
+    jobs.expand(spark, str(tmp_path / "dump"), known, str(tmp_path / "out"))
+    rows = spark.read.option("header", True).csv(str(tmp_path / "out")).collect()
+    assert sorted(r[0] for r in rows) == ["0", "1", "2"]
+    assert {(r["prev"], r["curr"], r["link"], r["category"]) for r in rows} == {("p", "A", "link", "Letters")}

@@ -354,7 +354,7 @@ def result_view_stream(spark, sf_dir):
         messages_in, f"{base}/view", f"{base}/checkpoint", drain=True
     )
     running.awaitTermination()
-    return ranking.top_per_topic(table.after(spark, running.lastProgress["batchId"]))
+    return ranking.top_per_topic(table.after(spark, runner.last_batch(running)))
 
 
 @query
@@ -371,7 +371,7 @@ def latest_events_stream(spark, sf_dir):
         events, f"{base}/view", f"{base}/checkpoint", drain=True
     )
     running.awaitTermination()
-    return table.after(spark, running.lastProgress["batchId"])
+    return table.after(spark, runner.last_batch(running))
 
 
 # Expansion.
