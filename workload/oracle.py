@@ -88,7 +88,9 @@ PARTS = {
         select *, unnest(range(0, n)) as copy from seeds where n > 0""",
     "expanded": """
         select *, TIMESTAMP '2021-05-01 00:00:00' + to_seconds(second) as date from (
-          select *, (start + copy * step) % 2147483647 % 2635200 as second from copies)""",
+          select *, (xor(y, y >> 13) * 69621) % 2147483647 % 2635200 as second from (
+            select *, (xor(x, x >> 15) * 48271) % 2147483647 as y from (
+              select *, (start + copy * step) % 2147483647 as x from copies)))""",
     "sorted": """
         select *, row_number() over (order by date, row_id, copy) - 1 as idx from expanded""",
 }
