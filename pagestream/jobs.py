@@ -42,11 +42,20 @@ def start_counts(spark, broker, checkpoints, wanted=topics.RESULT_TOPICS,
         ]
 
 
-def start_ingest(spark, broker, checkpoints, categories, events_topic):
-    """`categories` is a table with the columns of `schemas.CATEGORY`."""
+def start_ingest(spark, broker, checkpoints, categories, events_topic, by_batch=False):
+    """`categories` is a table with the columns of `schemas.CATEGORY`.
+
+    `by_batch` looks for hot titles in each micro-batch and cuts them.
+    """
+    events = broker.lines(spark, events_topic)
+    if by_batch:
+        return edits.start_edit_lines_by_batch(
+            events, categories,
+            lambda rows, batch_id: broker.write_lines(rows, topics.EDIT_TOPIC, batch_id),
+            f"{checkpoints}/ingest-by-batch",
+        )
     return edits.start_edit_lines(
-        broker.lines(spark, events_topic), categories, broker.line_sink(topics.EDIT_TOPIC),
-        f"{checkpoints}/ingest",
+        events, categories, broker.line_sink(topics.EDIT_TOPIC), f"{checkpoints}/ingest"
     )
 
 
@@ -83,6 +92,7 @@ def _options():
     ingest = jobs.add_parser("ingest")
     ingest.add_argument("--categories", required=True)
     ingest.add_argument("--events-topic", required=True)
+    ingest.add_argument("--by-batch", action="store_true", help="cut titles that are hot in a batch")
     replay = jobs.add_parser("replay")
     replay.add_argument("folder")
     replay.add_argument("--every", default="60 seconds")
@@ -110,7 +120,7 @@ def main(arguments=None):
     if chosen.job == "count":
         start_counts(*to, chosen.queries, chosen.sliding_every, chosen.state_partitions)
     elif chosen.job == "ingest":
-        start_ingest(*to, known, chosen.events_topic)
+        start_ingest(*to, known, chosen.events_topic, chosen.by_batch)
     elif chosen.job == "replay":
         start_replay(*to, chosen.folder, chosen.every)
     else:

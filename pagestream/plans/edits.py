@@ -3,17 +3,20 @@
 from pyspark.sql import functions as F
 
 from pagestream.functions import dates
-from pagestream.operators import aggregates, categories as cats, filters, messages, parse
+from pagestream.operators import aggregates, categories as cats, filters, joins, messages, parse
 from pagestream.schemas import EDIT
 from pagestream.sources import topics
-from pagestream.streaming import runner
+from pagestream.streaming import runner, sinks
+
+
+def _edits(event_messages):
+    events = parse.parse_change_events(event_messages, fields=["id", "timestamp", "wiki", "title"])
+    return filters.edits_only(events)
 
 
 def enriched_edits(event_messages, categories, **join):
     """Edit x category rows from change-event messages. Same for batch and stream."""
-    events = parse.parse_change_events(event_messages, fields=["id", "timestamp", "wiki", "title"])
-    edits = filters.edits_only(events)
-    return cats.with_categories(edits, categories, edit_id="event_id", **join)
+    return cats.with_categories(_edits(event_messages), categories, edit_id="event_id", **join)
 
 
 def edit_lines(event_messages, categories, **join):
@@ -58,6 +61,28 @@ def start_edit_lines(event_messages, categories, sink, checkpoint, **join):
     return runner.start(edit_lines(event_messages, categories, **join), sink, checkpoint)
 
 
+def start_edit_lines_by_batch(event_messages, categories, write, checkpoint, every=None, drain=False):
+    """For streams where one page may hold much of a micro-batch and is not known before.
+
+    `write(lines, batch_id)` gets the lines of each batch, at least once. Hot titles
+    are looked for in each batch, those of the category table once.
+    """
+    hot_categories = joins.hot_values(filters.visible(categories), "title")
+
+    def handle(batch, batch_id):
+        rows = _edits(batch).persist()
+        joined = cats.with_categories(
+            rows, categories, hot_edits=joins.hot_values(rows, "title"),
+            hot_categories=hot_categories, edit_id="event_id",
+        )
+        write(messages.to_lines(joined, *EDIT.names), batch_id)
+        rows.unpersist()
+
+    return runner.start(
+        event_messages, sinks.batch_sink(handle), checkpoint, every=every, drain=drain
+    )
+
+
 def _mode(query):
     return "append" if query.get("closed_only") else "update"
 

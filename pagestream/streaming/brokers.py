@@ -19,6 +19,11 @@ class KafkaTopics:
     def line_sink(self, topic):
         return sinks.kafka_sink(self.servers, topic)
 
+    def write_lines(self, rows, topic, batch_id):
+        """Lines of one micro-batch; a repeated batch sends them again."""
+        options = {"kafka.bootstrap.servers": self.servers, "topic": topic}
+        rows.write.format("kafka").options(**options).save()
+
     def result_sink(self, topic):
         return sinks.kafka_sink(self.servers, topic)
 
@@ -30,7 +35,7 @@ class FileTopics:
         self.root, self.files_per_trigger = root, files_per_trigger
 
     def lines(self, spark, topic):
-        return topics.line_stream(spark, f"{self.root}/{topic}", self.files_per_trigger)
+        return topics.line_stream(spark, f"{self.root}/{topic}", self.files_per_trigger).select("value")
 
     def results(self, spark, names=topics.RESULT_TOPICS):
         return topics.file_result_stream(spark, f"{self.root}/results", names, self.files_per_trigger)
@@ -38,5 +43,9 @@ class FileTopics:
     def line_sink(self, topic):
         return sinks.line_folder_sink(f"{self.root}/{topic}")
 
+    def write_lines(self, rows, topic, batch_id):
+        """Lines of one micro-batch; a repeated batch replaces them."""
+        rows.write.mode("overwrite").text(f"{self.root}/{topic}/batch_id={batch_id}")
+
     def result_sink(self, topic):
         return sinks.topic_folder_sink(f"{self.root}/results", topic)

@@ -3,7 +3,9 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from pagestream.plans import expansion
 from tests.check import compare, duck
+from workload import catalog, oracle
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -24,3 +26,8 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", list(queries()))
 def test_query_equals_sql(spark, connection, name):
     assert compare(queries()[name](spark, SF_DIR), connection, oracle_sql()[name]) is None
+
+
+def test_sorted_views_row_by_row(spark, connection):
+    frame = expansion.sorted_views(catalog._expanded(spark, SF_DIR))
+    assert compare(frame, connection, oracle.SORTED_VIEWS) is None

@@ -133,6 +133,30 @@ def test_stream_enrichment_joins_a_table(spark, tmp_path):
         assert got == ["5\tw\tT\tX", "5\tw\tT\tY"]
 
 
+def test_hot_titles_are_cut_in_each_batch(spark, tmp_path, rows, monkeypatch):
+    known = spark.range(40).selectExpr(
+        "concat('T', id div 2) as title", "concat('Category:', id % 2) as category", "false as hidden"
+    )
+    event = '{"id": %d, "type": "edit", "title": "T%d", "timestamp": %d, "wiki": "w"}'
+    lines = [event % (i, i % 20 if i % 3 else 1, i) for i in range(600)]
+    _put(tmp_path / "topics" , "unused", [])
+    _put(tmp_path / "topics" / "changes", "a", lines[:300])
+    _put(tmp_path / "topics" / "changes", "b", lines[300:])
+    broker, hot = FileTopics(str(tmp_path / "topics"), files_per_trigger=1), []
+
+    def write(frame, batch_id):
+        hot.append("_pieces" in frame._jdf.queryExecution().optimizedPlan().toString())
+        broker.write_lines(frame, "wikievent", batch_id)
+
+    edits.start_edit_lines_by_batch(
+        broker.lines(spark, "changes"), known, write, str(tmp_path / "c"), drain=True
+    ).awaitTermination()
+    assert hot == [True, True]
+    got = spark.read.text(str(tmp_path / "topics" / "wikievent")).select("value")
+    batch = edits.edit_lines(spark.createDataFrame([(line,) for line in lines], "value string"), known)
+    assert rows(got) == rows(batch) and got.count() == 1200
+
+
 def test_replay_takes_one_file_per_batch(spark, tmp_path):
     lines = spark.range(95).selectExpr("string(id) as value").coalesce(1)
     dumps.split_dump(lines, str(tmp_path / "split"), 20)

@@ -308,6 +308,20 @@ def edit_lines_stream(spark, sf_dir):
     return spark.read.text(out)
 
 
+@query
+def edit_lines_by_batch_stream(spark, sf_dir):
+    """Hot titles found and cut in each micro-batch."""
+    base = run_dir(spark, "edit-lines-by-batch")
+    events = inputs.change_event_json(spark, sf_dir)
+    events.write.option("maxRecordsPerFile", 50_000).text(f"{base}/in")
+    edits.start_edit_lines_by_batch(
+        topics.line_stream(spark, f"{base}/in", 1), inputs.categories(spark, sf_dir),
+        lambda rows, batch_id: rows.write.mode("overwrite").text(f"{base}/out/batch_id={batch_id}"),
+        f"{base}/checkpoint", drain=True,
+    ).awaitTermination()
+    return spark.read.text(f"{base}/out").select("value")
+
+
 # Results.
 
 

@@ -103,6 +103,12 @@ _EXPANDED = ("views", *_LABELS, "titled", "seeds", "copies", "expanded")
 
 ORACLE = {}
 
+# Row by row, for a test; too many rows for the checked queries.
+SORTED_VIEWS = "with {} select idx, prev, curr, link, {} as date, category from sorted".format(
+    ", ".join(f"{part} as ({PARTS[part]})" for part in (*_EXPANDED, "sorted")),
+    "strftime(date, '%Y-%m-%d %H:%M:%S')",
+)
+
 
 def _sql(names, parts, body):
     head = ", ".join(f"{part} as ({PARTS[part]})" for part in parts)
@@ -171,7 +177,7 @@ _sql("category_first_page", [],
           from part)
         select reply_id, title, cast(unnest(range(0, len(texts))) as integer) as pos,
                unnest(texts) as category from chosen""")
-_sql("edit_lines edit_lines_stream", _EDITS,
+_sql("edit_lines edit_lines_stream edit_lines_by_batch_stream", _EDITS,
      """select timestamp || chr(9) || wiki || chr(9) || title || chr(9) || categoryText as value
         from edits""")
 
