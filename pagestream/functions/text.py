@@ -24,7 +24,7 @@ def strict_bigint(text):
 
 
 def leading_int(text):
-    """The integer a text starts with, after blanks, or null."""
+    """The decimal integer a text starts with, after blanks, or null."""
     return F.regexp_extract(text, r"^\s*([+-]?[0-9]+)", 1).try_cast("bigint")
 
 

@@ -6,7 +6,7 @@
     count    the four counting queries side by side
     ingest   change events, looked up in a category table, to the edit topic
     replay   files of a dump to the page-view topic, one per interval
-    view     the largest results per key, kept over the result topics
+    view     the largest or last result per key, kept over the result topics
     expand   a dump to single dated views, as CSV
 
 With `--topics-folder` in place of `--servers` topics are folders of files.
@@ -65,8 +65,10 @@ def start_replay(spark, broker, checkpoints, folder, every="60 seconds"):
     )
 
 
-def start_view(spark, broker, checkpoints, folder, n=results.SERVED):
-    _, query = results.start_result_view(broker.results(spark), folder, f"{checkpoints}/view", n)
+def start_view(spark, broker, checkpoints, folder, n=results.SERVED, latest=False):
+    _, query = results.start_result_view(
+        broker.results(spark), folder, f"{checkpoints}/view", n, latest
+    )
     return query
 
 
@@ -99,6 +101,7 @@ def _options():
     view = jobs.add_parser("view")
     view.add_argument("folder")
     view.add_argument("-n", type=int, default=results.SERVED)
+    view.add_argument("--latest", action="store_true", help="last value per key, not the largest")
     expanding = jobs.add_parser("expand")
     expanding.add_argument("dump")
     expanding.add_argument("out")
@@ -124,7 +127,7 @@ def main(arguments=None):
     elif chosen.job == "replay":
         start_replay(*to, chosen.folder, chosen.every)
     else:
-        start_view(*to, chosen.folder, chosen.n)
+        start_view(*to, chosen.folder, chosen.n, chosen.latest)
     runner.await_any(spark)
 
 

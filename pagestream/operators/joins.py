@@ -31,7 +31,7 @@ def hot_unless_adaptive(rows, column):
     """
     conf = rows.sparkSession.conf
     adaptive = all(
-        conf.get(f"spark.sql.adaptive.{key}") == "true" for key in ("enabled", "skewJoin.enabled")
+        conf.get(f"spark.sql.adaptive.{key}").lower() == "true" for key in ("enabled", "skewJoin.enabled")
     )
     return {} if adaptive or rows.isStreaming else hot_values(rows, column)
 

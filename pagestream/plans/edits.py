@@ -71,12 +71,14 @@ def start_edit_lines_by_batch(event_messages, categories, write, checkpoint, eve
 
     def handle(batch, batch_id):
         rows = _edits(batch).persist()
-        joined = cats.with_categories(
-            rows, categories, hot_edits=joins.hot_values(rows, "title"),
-            hot_categories=hot_categories, edit_id="event_id",
-        )
-        write(messages.to_lines(joined, *EDIT.names), batch_id)
-        rows.unpersist()
+        try:
+            joined = cats.with_categories(
+                rows, categories, hot_edits=joins.hot_values(rows, "title"),
+                hot_categories=hot_categories, edit_id="event_id",
+            )
+            write(messages.to_lines(joined, *EDIT.names), batch_id)
+        finally:
+            rows.unpersist()
 
     return runner.start(
         event_messages, sinks.batch_sink(handle), checkpoint, every=every, drain=drain

@@ -27,9 +27,11 @@ class KeptTable:
             rows = self.after(batch.sparkSession, batch_id - 1).unionByName(rows)
         if self.read_twice:
             rows = rows.persist()
-        self.reduce(rows).write.mode("overwrite").parquet(self._slot(batch_id))
-        if self.read_twice:
-            rows.unpersist()
+        try:
+            self.reduce(rows).write.mode("overwrite").parquet(self._slot(batch_id))
+        finally:
+            if self.read_twice:
+                rows.unpersist()
 
     def after(self, spark, batch_id):
         """The table as the batch with this number left it."""

@@ -125,6 +125,15 @@ def test_indexed_csv(spark, tmp_path):
     assert text == ',prev,category\n0,a,\n1,"say ""x"", y",b\n'
 
 
+def test_csv_files_follow_the_global_order(spark, tmp_path):
+    data = spark.range(5000).selectExpr("uuid() as prev", "id as row_id").repartition(6).checkpoint()
+    sinks.write_indexed_csv(ordering.numbered(ordering.in_order(data, "prev", "row_id")), str(tmp_path / "csv"))
+    names = sorted(glob.glob(f"{tmp_path}/csv/part-*.csv"))
+    rows = [line.rstrip("\n").split(",") for name in names for line in open(name).readlines()[1:]]
+    assert [int(r[0]) for r in rows] == list(range(5000))
+    assert [r[1] for r in rows] == sorted(r[1] for r in rows)
+
+
 def test_split_files_hold_at_most_n_lines(spark, tmp_path):
     dumps.split_dump(spark.range(1050).selectExpr("string(id) as value"), str(tmp_path / "split"), 100)
     sizes = [len(open(f).readlines()) for f in glob.glob(f"{tmp_path}/split/part-*")]
