@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from pagestream import schemas
 
+# Names of the topics.
 PAGE_VIEW_TOPIC = "wikistream"
 EDIT_TOPIC = "wikievent"
 TOP_PAGES_TOPIC = "top_resource"

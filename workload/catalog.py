@@ -35,7 +35,6 @@ def _stream(spark, name, rows, time, build, mode, sink=None):
     """Feed the `value` lines step by step to a stream that ends and starts again
     on its checkpoint for each step; returns the folder of its output."""
     base = run_dir(spark, name)
-    rows = rows.persist()
     for step in _in_time_order(rows, time):
         step.select("value").write.mode("append").text(f"{base}/in")
         stream = build(topics.line_stream(spark, f"{base}/in"))
@@ -43,7 +42,6 @@ def _stream(spark, name, rows, time, build, mode, sink=None):
             stream, sink(f"{base}/out") if sink else sinks.batch_folder_sink(f"{base}/out"),
             f"{base}/checkpoint", mode, spark.sparkContext.defaultParallelism,
         )
-    rows.unpersist()
     return f"{base}/out"
 
 
