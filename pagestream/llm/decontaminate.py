@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagestream.llm.common import schema
 
@@ -312,11 +313,13 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """`docs` without the rows whose text holds a window of an item; all columns stay."""
     clean = docs
     for block in _blocks(benchmark, "item_id", "text"):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+        clean = clean.where(~_leaks(docs.sparkSession.sparkContext.broadcast(block))(F.col(text_col)))
+    return clean
 
-        @F.pandas_udf(schema("leaks boolean").fields[0].dataType)
-        def leaks(texts: pd.Series, sent=sent) -> pd.Series:
-            return pd.Series([bool(x) for x in search_texts(texts.tolist(), _index(sent.value))], dtype=bool)
 
-        clean = clean.where(~leaks(F.col(text_col)))
-    return clean
+def _leaks(sent):
+    @F.pandas_udf(T.BooleanType())
+    def leaks(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(x) for x in search_texts(texts.tolist(), _index(sent.value))], dtype=bool)
+
+    return leaks
