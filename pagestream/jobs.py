@@ -15,6 +15,7 @@ With `--topics-folder` in place of `--servers` topics are folders of files.
 import argparse
 
 from pagestream.operators import parse
+from pagestream.operators.expand import partitions_for
 from pagestream.plans import dumps, edits, expansion, page_views, results
 from pagestream.schemas import CATEGORY
 from pagestream.session import build_session
@@ -73,9 +74,10 @@ def start_view(spark, broker, checkpoints, folder, n=results.SERVED, latest=Fals
 
 
 def expand(spark, dump, categories, out, **span):
-    views = files.scan_views(spark, dump, row_id="row_id")
-    rows = expansion.single_views(views, expansion.labels_of(categories), **span)
-    sinks.write_indexed_csv(expansion.sorted_views(rows), out)
+    views = expansion.with_row_id(files.scan_views(spark, dump))
+    partitions = partitions_for(views)
+    rows = expansion.single_views(views, expansion.labels_of(categories), partitions=partitions, **span)
+    sinks.write_indexed_csv(expansion.sorted_views(rows, partitions=partitions), out)
 
 
 def _options():
@@ -85,7 +87,7 @@ def _options():
     where = options.add_mutually_exclusive_group()
     where.add_argument("--servers", default="localhost:9092")
     where.add_argument("--topics-folder")
-    options.add_argument("--checkpoints", default="checkpoints")
+    options.add_argument("--checkpoints", required=True, help="a folder that all machines share")
     jobs = options.add_subparsers(dest="job", required=True)
     count = jobs.add_parser("count")
     count.add_argument("--queries", nargs="+", default=topics.RESULT_TOPICS, choices=topics.RESULT_TOPICS)

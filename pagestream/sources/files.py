@@ -3,26 +3,32 @@
 from pyspark.sql import functions as F
 
 from pagestream import schemas
+from pagestream.functions.text import strict_bigint
 
 
-def scan_views(spark, path, quoted=False, on_malformed="FAILFAST", row_id=None):
+def scan_views(spark, path, quoted=False, on_malformed="FAILFAST"):
     """All tab-separated files of a folder as page views, no header line.
 
     Dump fields are raw text, so quotes mean nothing unless `quoted`. A line that
-    does not fit fails the job, or is dropped with `on_malformed="DROPMALFORMED"`.
-    `row_id` names a column with a number per row, fixed for a given set of files.
+    does not fit, an empty count included, fails the job, or is dropped with
+    `on_malformed="DROPMALFORMED"`.
     """
-    reader = spark.read.schema(schemas.VIEW).option("sep", "\t").option("mode", on_malformed)
+    texts = ", ".join(f"{name} string" for name in schemas.VIEW.names)
+    reader = spark.read.schema(texts).option("sep", "\t").option("mode", on_malformed)
     # A line is judged by all its fields, whichever a query needs: no pruning, and the
     # filter makes even a bare count read them.
     reader = reader.option("columnPruning", False).option("quote", '"' if quoted else "")
     if quoted:
         reader = reader.option("escape", '"')
-    rows = reader.csv(path).where(F.col("n").isNotNull())
+    n = strict_bigint(F.col("n"))
+    fits = n.isNotNull()
+    if on_malformed.upper() == "FAILFAST":
+        bad = F.raise_error(F.concat(F.lit("MALFORMED count: "), F.coalesce("n", F.lit(""))))
+        fits = F.when(fits, True).otherwise(bad.cast("boolean"))
+    rows = reader.csv(path).where(fits)
     # The reader gives null for an empty field.
-    columns = [F.coalesce(c, F.lit("")).alias(c) for c in ("prev", "curr", "link")] + ["n"]
-    if row_id:
-        columns.append(F.monotonically_increasing_id().alias(row_id))
+    columns = [F.coalesce(c, F.lit("")).alias(c) for c in ("prev", "curr", "link")]
+    columns.append(n.alias("n"))
     return rows.select(*columns)
 
 
@@ -46,14 +52,17 @@ def scan_lines(spark, path):
 
 
 def scan_json_objects(spark, path, schema=schemas.CHANGE_EVENT):
-    """Pretty-printed JSON objects written one after another, as column `e`.
+    """JSON objects written one after another, pretty-printed or one per line, as column `e`.
 
-    An object ends at a closing brace in the first column of a line. As a record
+    An object begins at an opening brace in the first column of a line. As a record
     separator it lets Spark cut large files into splits, where reading a file as
-    one text would not.
+    one text would not. An object that is broken, or has no type, gives no row.
     """
-    pieces = spark.read.option("lineSep", "\n}").text(path).where(F.trim(_flat("value")) != "")
-    return pieces.select(F.from_json(F.concat("value", F.lit("\n}")), schema).alias("e"))
+    pieces = spark.read.option("lineSep", "\n{").text(path).where(F.trim(_flat("value")) != "")
+    begun = F.ltrim(_flat("value")).startswith("{")  # the first of a file
+    whole = F.when(begun, F.col("value")).otherwise(F.concat(F.lit("{"), "value"))
+    rows = pieces.select(F.explode(F.array(F.from_json(whole, schema))).alias("e"))
+    return rows.where(F.col("e.type").isNotNull() if "type" in schema.names else F.col("e").isNotNull())
 
 
 def _flat(column):

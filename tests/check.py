@@ -55,7 +55,7 @@ if __name__ == "__main__":
     spark.sparkContext.setLogLevel("ERROR")
     connection, bad = duck(sf_dir), 0
     for name, query in queries().items():
-        if sys.argv[2:] and name not in sys.argv[2:]:
+        if name not in oracle_sql() or sys.argv[2:] and name not in sys.argv[2:]:
             continue
         began = time.time()
         try:

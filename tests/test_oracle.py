@@ -2,11 +2,12 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from pagestream.plans import expansion
 from tests.check import compare, duck
 from workload import catalog, oracle
 
+queries, oracle_sql = lambda: catalog.QUERIES, lambda: oracle.ORACLE
 SF_DIR = "/root/testdata/sf0.001"
 
 

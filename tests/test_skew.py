@@ -99,3 +99,28 @@ def test_the_key_may_include_the_wiki(spark, rows):
     )
     joined = categories.with_categories(edits, known, on=("wiki", "title"), hot_edits={"T": 1.0})
     assert rows(joined) == [(1, "a", "T", "X")]
+
+
+def test_hot_page_is_cut_with_derived_labels(spark, setting):
+    """A third of all views on one page: no task of the join gets more than a part of them."""
+    from pagestream.plans import expansion
+
+    setting("spark.sql.autoBroadcastJoinThreshold", "-1")
+    setting("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    setting("spark.sql.shuffle.partitions", "16")
+    setting("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    setting("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+    setting("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "16k")
+    setting("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "1.5")
+    views = spark.range(12000).repartition(12).selectExpr(
+        "'p' as prev", "if(id % 3 = 0, 'hot', concat('c', id)) as curr", "uuid() as link", "1L as n", "id as row_id"
+    )
+    pages = spark.createDataFrame(
+        [("hot", 0, "Category:Stars of stars", False), ("c1", 0, "Category:Moons", False)],
+        "title string, pos int, category string, hidden boolean",
+    )
+    joined = categories.with_main_category(views, expansion.labels_of(pages), row_id="row_id")
+    placed = joined.select("curr", "link", "category", F.spark_partition_id().alias("at")).collect()
+    sizes = [(at, sum(r["at"] == at for r in placed if r["curr"] == "hot")) for at in {r["at"] for r in placed}]
+    assert sum(r[1] for r in sizes) == 4000
+    assert max(r[1] for r in sizes) < 4000 / 3

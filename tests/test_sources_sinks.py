@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagestream.operators import categories, ordering
 from pagestream.plans import dumps
+from pagestream.plans import expansion
 from pagestream.sources import files, topics
 from pagestream.streaming import sinks
 
@@ -59,11 +60,38 @@ def test_all_files_of_a_folder_are_scanned_raw(spark, rows, tmp_path):
     }
 
 
-def test_row_ids_are_distinct_and_repeat(spark, rows, tmp_path):
-    folder = _dump(tmp_path / "dump")
-    first = rows(files.scan_views(spark, folder, row_id="row_id"))
-    assert first == rows(files.scan_views(spark, folder, row_id="row_id"))
-    assert len({r[-1] for r in first}) == 3
+def test_single_views_do_not_depend_on_the_number_of_tasks(spark, rows, setting, tmp_path):
+    folder = tmp_path / "dump"
+    folder.mkdir()
+    for name in "ab":
+        (folder / name).write_text("".join(f"p{i % 7}\tc{i % 5}\tlink\t{i % 4 - 1}\n" for i in range(400)))
+    found = []
+    for tasks in (2, 8):
+        setting("spark.sql.leafNodeDefaultParallelism", tasks)
+        setting("spark.sql.files.maxPartitionBytes", 4096 // tasks)
+        views = expansion.with_row_id(files.scan_views(spark, str(folder)))
+        labels = spark.createDataFrame([("c1", "x")], "title string, category string")
+        found.append(rows(expansion.single_views(views, labels)))
+    assert found[0] == found[1]
+    assert len(found[0]) == 2 * sum(max(0, i % 4 - 1) for i in range(400))
+    assert len({r[-2] for r in found[0]}) <= 35
+
+
+def test_an_empty_count_fails_or_drops(spark, tmp_path):
+    (tmp_path / "bad").write_text("a\tb\tc\t\na\tb\tc\t1\n")
+    path = str(tmp_path / "bad")
+    with pytest.raises(Exception, match="MALFORMED"):
+        files.scan_views(spark, path).count()
+    assert files.scan_views(spark, path, on_malformed="DROPMALFORMED").count() == 1
+
+
+def test_compact_pretty_and_broken_json_objects(spark, tmp_path):
+    (tmp_path / "events").write_text(
+        '{"type": "edit", "id": 1}\n{"type": "edit", "id": 2}\n{\n  "type": "log",\n  "meta": {\n    "id": "x"\n  },\n  "id": 3\n}\n'
+        '{"type": \n{"type": "edit", "id": 4}\n{"id": 5}\n'
+    )
+    got = files.scan_json_objects(spark, str(tmp_path / "events"))
+    assert sorted(r[0] for r in got.select("e.id").collect()) == [1, 2, 3, 4]
 
 
 def test_malformed_dump_lines_fail_or_drop(spark, tmp_path):
