@@ -101,7 +101,8 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 40) -> tupl
         return np.zeros(0), {}
     v = votes.astype(float)
     given = labels >= 0
-    post = np.where(labels == 1, 0.9, np.where(labels == 0, 0.1, 0.3))
+    fired = v.sum(axis=1)  # where no label is given, voters on the whole are taken to be better than chance
+    post = np.where(labels == 1, 0.9, np.where(labels == 0, 0.1, np.where(fired > fired.mean(), 0.7, 0.1)))
     discount = np.ones(m)
     info: dict = {}
     for step in range(rounds):
