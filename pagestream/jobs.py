@@ -6,13 +6,17 @@
     count    the four counting queries side by side
     ingest   change events, looked up in a category table, to the edit topic
     replay   files of a dump to the page-view topic, one per interval
+    tail     the last lines of a dump to the page-view topic
+    split    a dump into files of a number of lines
     view     the largest or last result per key, kept over the result topics
+    events   the newest change events, kept over their topic
     expand   a dump to single dated views, as CSV
 
 With `--topics-folder` in place of `--servers` topics are folders of files.
 """
 
 import argparse
+import time
 
 from pagestream.operators import parse
 from pagestream.operators.expand import partitions_for
@@ -52,27 +56,38 @@ def start_ingest(spark, broker, checkpoints, categories, events_topic, by_batch=
     if by_batch:
         return edits.start_edit_lines_by_batch(
             events, categories,
-            lambda rows, batch_id: broker.write_lines(rows, topics.EDIT_TOPIC, batch_id),
+            lambda rows, batch_id: broker.write_lines(rows, topics.EDIT_TOPIC, "ingest-by-batch", batch_id),
             f"{checkpoints}/ingest-by-batch",
         )
-    return edits.start_edit_lines(
-        events, categories, broker.line_sink(topics.EDIT_TOPIC), f"{checkpoints}/ingest"
-    )
+    sink = broker.line_sink(topics.EDIT_TOPIC, "ingest")
+    return edits.start_edit_lines(events, categories, sink, f"{checkpoints}/ingest")
 
 
 def start_replay(spark, broker, checkpoints, folder, every="60 seconds"):
-    return dumps.replay_dump(
-        spark, folder, broker.line_sink(topics.PAGE_VIEW_TOPIC), f"{checkpoints}/replay", every=every
-    )
+    sink = broker.line_sink(topics.PAGE_VIEW_TOPIC, "replay")
+    return dumps.replay_dump(spark, folder, sink, f"{checkpoints}/replay", every=every)
+
+
+def tail(spark, broker, dump, n=200):
+    """Each call adds its lines, also to a file topic."""
+    lines = dumps.last_lines(spark, dump, n)
+    broker.write_lines(lines, topics.PAGE_VIEW_TOPIC, "tail", time.time_ns())
 
 
-def start_view(spark, broker, checkpoints, folder, n=results.SERVED, latest=False):
+def start_view(spark, broker, checkpoints, folder, n=results.SERVED, latest=False, shares=None, drain=False):
     _, query = results.start_result_view(
-        broker.results(spark), folder, f"{checkpoints}/view", n, latest
+        broker.results(spark), folder, f"{checkpoints}/view", n, latest, drain=drain,
+        order=broker.result_order, shares_folder=shares,
     )
     return query
 
 
+def start_events(spark, broker, checkpoints, folder, events_topic, n=20, drain=False):
+    events = parse.parse_change_events(broker.lines(spark, events_topic))
+    _, query = results.start_latest_events(events, folder, f"{checkpoints}/events", n, drain=drain)
+    return query
+
+
 def expand(spark, dump, categories, out, **span):
     views = expansion.with_row_id(files.scan_views(spark, dump))
     partitions = partitions_for(views)
@@ -104,6 +119,18 @@ def _options():
     view.add_argument("folder")
     view.add_argument("-n", type=int, default=results.SERVED)
     view.add_argument("--latest", action="store_true", help="last value per key, not the largest")
+    view.add_argument("--shares", help="a folder for the shares of the charted keys")
+    last = jobs.add_parser("tail")
+    last.add_argument("dump")
+    last.add_argument("-n", type=int, default=200)
+    split = jobs.add_parser("split")
+    split.add_argument("dump")
+    split.add_argument("out")
+    split.add_argument("--rows-per-file", type=int, default=dumps.ROWS_PER_FILE)
+    events = jobs.add_parser("events")
+    events.add_argument("folder")
+    events.add_argument("--events-topic", required=True)
+    events.add_argument("-n", type=int, default=20)
     expanding = jobs.add_parser("expand")
     expanding.add_argument("dump")
     expanding.add_argument("out")
@@ -119,8 +146,11 @@ def main(arguments=None):
     if getattr(chosen, "categories", None):
         known = spark.read.schema(CATEGORY).parquet(chosen.categories)
     if chosen.job == "expand":
-        expand(spark, chosen.dump, known, chosen.out)
-        return
+        return expand(spark, chosen.dump, known, chosen.out)
+    if chosen.job == "tail":
+        return tail(spark, broker, chosen.dump, chosen.n)
+    if chosen.job == "split":
+        return dumps.split_dump(spark.read.text(chosen.dump), chosen.out, chosen.rows_per_file)
     to = (spark, broker, chosen.checkpoints)
     if chosen.job == "count":
         start_counts(*to, chosen.queries, chosen.sliding_every, chosen.state_partitions)
@@ -128,8 +158,10 @@ def main(arguments=None):
         start_ingest(*to, known, chosen.events_topic, chosen.by_batch)
     elif chosen.job == "replay":
         start_replay(*to, chosen.folder, chosen.every)
+    elif chosen.job == "events":
+        start_events(*to, chosen.folder, chosen.events_topic, chosen.n)
     else:
-        start_view(*to, chosen.folder, chosen.n, chosen.latest)
+        start_view(*to, chosen.folder, chosen.n, chosen.latest, chosen.shares)
     runner.await_any(spark)
 
 

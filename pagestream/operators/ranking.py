@@ -5,10 +5,6 @@ from pyspark.sql import functions as F
 
 from pagestream.functions import text
 
-# Above this many rows Spark does not cut a ranked group before the shuffle.
-_PRE_CUT = 1000
-
-
 def top_rows(rows, n, *ties, value="value"):
     """The `n` largest values; each task keeps `n` rows, and those are merged."""
     return rows.orderBy(F.desc(value), *ties).limit(n)
@@ -22,29 +18,38 @@ def max_per_key(messages):
 
 def latest_per_key(messages):
     """The number of the last message per topic and key."""
-    numbers = messages.select(
-        "topic", "key", "offset", text.leading_int(F.col("value")).alias("value")
-    )
-    return numbers.groupBy("topic", "key").agg(
-        F.max_by("value", "offset").alias("value"), F.max("offset").alias("offset")
-    )
+    number = text.leading_int(F.col("value")).alias("value")
+    sent_at = ["sent_at"] if "sent_at" in messages.columns else []
+    return last_of_key(messages.select("topic", "key", "offset", *sent_at, number)).drop("sent_at")
+
+
+def last_of_key(numbers, order=("offset", "sent_at")):
+    """Per topic and key the row that comes last by `order`, the larger value among equals.
+
+    Columns that are not there do not count. Of file topics the offset is the batch, and
+    within it the later window counts; of a broker with several partitions take
+    `order=("sent_at", "offset")`, as their offsets do not compare.
+    """
+    place = [name for name in order if name in numbers.columns]
+    last = F.max(F.struct(*place, "value")).alias("last")
+    rows = numbers.groupBy("topic", "key").agg(last)
+    return rows.select("topic", "key", *[F.col(f"last.{name}").alias(name) for name in ("value", *place)])
 
 
 def top_per_topic(keyed, n=100):
     """The `n` largest values of each topic, with their `rank` from the largest.
 
-    Each task cuts a topic to `n` rows before the shuffle. Spark does that itself
-    for a small `n`; for a large one, topics are first ranked in pieces.
+    Topics are first ranked in pieces, so no task gets a whole topic, however many keys
+    it has and however large `n` is.
     """
     order = [F.desc_nulls_last("value"), F.asc("key")]
-    if n > _PRE_CUT:
-        pieces = Window.partitionBy("topic", "_piece").orderBy(*order)
-        keyed = (
-            keyed.withColumn("_piece", F.pmod(F.xxhash64("key"), F.lit(256)))
-            .withColumn("_rank", F.row_number().over(pieces))
-            .where(F.col("_rank") <= n)
-            .drop("_piece", "_rank")
-        )
+    pieces = Window.partitionBy("topic", "_piece").orderBy(*order)
+    keyed = (
+        keyed.withColumn("_piece", F.pmod(F.xxhash64("key"), F.lit(256)))
+        .withColumn("_rank", F.row_number().over(pieces))
+        .where(F.col("_rank") <= n)
+        .drop("_piece", "_rank")
+    )
     by_topic = Window.partitionBy("topic").orderBy(*order)
     return keyed.withColumn("rank", F.row_number().over(by_topic)).where(F.col("rank") <= n)
 

@@ -1,5 +1,8 @@
 """Dumps: cut into files, replayed at a set pace, looked at from the end."""
 
+import re
+from urllib.parse import unquote
+
 from pagestream.operators import ordering
 from pagestream.sources import files
 from pagestream.streaming import replay, sinks
@@ -11,8 +14,22 @@ def split_dump(lines, folder, rows_per_file=ROWS_PER_FILE):
     sinks.write_split_files(lines, folder, rows_per_file)
 
 
+def _literal(name):
+    """A listed file as a path to read: without percent codes, nothing in it a pattern."""
+    return re.sub(r"([\\*?{}\[\]])", r"\\\1", unquote(name))
+
+
 def last_lines(spark, path, n=200):
-    return ordering.tail_lines(files.scan_lines(spark, path), n)
+    """Files are taken from the last by name backwards, twice as many each time, until they
+    hold `n` lines; those before are not opened."""
+    names = sorted(files.scan_lines(spark, path).inputFiles())
+    taken = 1
+    while True:
+        lines = files.scan_lines(spark, [_literal(name) for name in names[-taken:]] or path)
+        if taken >= len(names) or lines.limit(n).count() == n:
+            break
+        taken *= 2
+    return ordering.tail_lines(lines, n)
 
 
 def replay_dump(spark, folder, sink, checkpoint, **pace):

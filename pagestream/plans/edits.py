@@ -48,7 +48,8 @@ def wiki_counts(edits, threshold=20, distinct_edits=False,
     """Wikis with at least `threshold` rows in a window.
 
     A row is an edit and one of its categories. With `distinct_edits` an edit counts
-    once, whatever its number of categories.
+    once, whatever its number of categories; as lines hold no edit id, two edits of one
+    page in one second are one.
     """
     watched = _watched(edits, delay)
     if distinct_edits:
@@ -72,10 +73,15 @@ def start_edit_lines_by_batch(event_messages, categories, write, checkpoint, eve
     def handle(batch, batch_id):
         rows = _edits(batch).persist()
         try:
+            hot_edits = joins.hot_values(rows, "title")
+            hot = F.col("title").isin(*hot_edits, *hot_categories)
+            # What is not hot is joined with the table where it lies.
             joined = cats.with_categories(
-                rows, categories, hot_edits=joins.hot_values(rows, "title"),
+                rows.where(~hot), categories, hot_edits={}, hot_categories={}
+            ).unionByName(cats.with_categories(
+                rows.where(hot), categories.where(hot), hot_edits=hot_edits,
                 hot_categories=hot_categories, edit_id="event_id",
-            )
+            ))
             write(messages.to_lines(joined, *EDIT.names), batch_id)
         finally:
             rows.unpersist()

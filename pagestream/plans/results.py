@@ -15,8 +15,12 @@ def result_view(messages, n=SERVED, latest=False):
 
 def shares(messages, n=CHARTED):
     """The shown keys of each topic with their percentage of what is shown."""
-    keyed = ranking.max_per_key(filters.known_topics(messages))
-    return ranking.share_of_topic(ranking.top_per_topic(keyed, n))
+    return kept_shares(ranking.max_per_key(filters.known_topics(messages)), n)
+
+
+def kept_shares(keyed, n=CHARTED):
+    """The same from one value per topic and key, as a kept view has them."""
+    return ranking.share_of_topic(ranking.top_per_topic(keyed.select("topic", "key", "value"), n))
 
 
 def latest_events(events, n=20):
@@ -25,11 +29,22 @@ def latest_events(events, n=20):
 
 
 def start_result_view(message_stream, folder, checkpoint, n=SERVED, latest=False, every=None,
-                      drain=False):
-    """Keep the view over the stream; returns the table and the running query."""
-    table = tables.latest_results(folder) if latest else tables.largest_results(folder, n)
+                      drain=False, order=("offset", "sent_at"), shares_folder=None):
+    """Keep the view over the stream; returns the table and the running query.
+
+    `shares_folder` gets the shares of what the view holds after each batch, in slots as
+    the table has them.
+    """
+    table = tables.latest_results(folder, order) if latest else tables.largest_results(folder, n)
+
+    def handle(batch, batch_id):
+        table.update(batch, batch_id)
+        if shares_folder:
+            shown = kept_shares(table.after(batch.sparkSession, batch_id))
+            shown.write.mode("overwrite").parquet(table.slot(shares_folder, batch_id))
+
     query = runner.start(
-        filters.known_topics(message_stream), sinks.batch_sink(table.update), checkpoint,
+        filters.known_topics(message_stream), sinks.batch_sink(handle), checkpoint,
         every=every, drain=drain,
     )
     return table, query

@@ -41,8 +41,11 @@ def kafka_stream(spark, servers, topics, **more):
 
 
 def line_stream(spark, folder, files_per_trigger=None):
-    """The same as a stream of `value` rows from a growing folder of text files."""
-    reader = spark.readStream.format("text")
+    """The same as a stream of `value` rows from a growing folder of text files.
+
+    Folders in it are read too, whatever their names: each writer of a topic has its own.
+    """
+    reader = spark.readStream.format("text").option("recursiveFileLookup", True)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.load(folder)
@@ -50,13 +53,17 @@ def line_stream(spark, folder, files_per_trigger=None):
 
 _FILE_RESULTS = T.StructType(
     schemas.MESSAGE.fields
-    + [T.StructField("topic", T.StringType()), T.StructField("batch_id", T.LongType())]
+    + [
+        T.StructField("window", T.StructType([T.StructField("start", T.TimestampType())])),
+        T.StructField("topic", T.StringType()), T.StructField("batch_id", T.LongType()),
+    ]
 )
 
 
 def file_results(spark, folder, topics=RESULT_TOPICS):
     """Messages of several file topics with the topic name; the batch is the offset.
 
+    One batch may hold several windows of a key: `sent_at` is the start of the window.
     `topic` is a folder column, so topics not asked for are not read.
     """
     rows = spark.read.schema(_FILE_RESULTS).parquet(folder)
@@ -72,15 +79,17 @@ def file_result_stream(spark, folder, topics=RESULT_TOPICS, files_per_trigger=No
 
 def _as_results(rows, topics):
     return rows.where(F.col("topic").isin(*topics)).select(
-        "topic", "key", "value", F.col("batch_id").alias("offset")
+        "topic", "key", "value", F.col("batch_id").alias("offset"),
+        F.col("window.start").alias("sent_at"),
     )
 
 
 def kafka_results(messages):
-    """Text columns of result messages read by `kafka_stream`."""
+    """Text columns of result messages read by `kafka_stream`; `sent_at` is the message's time."""
     return messages.select(
         "topic",
         F.col("key").cast("string").alias("key"),
         F.col("value").cast("string").alias("value"),
         "offset",
+        F.col("timestamp").alias("sent_at"),
     )

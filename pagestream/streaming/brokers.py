@@ -5,6 +5,9 @@ from pagestream.streaming import sinks
 
 
 class KafkaTopics:
+    # Offsets of different partitions do not compare.
+    result_order = ("sent_at", "offset")
+
     def __init__(self, servers, **options):
         self.servers, self.options = servers, options
 
@@ -16,10 +19,10 @@ class KafkaTopics:
         """A stream of result messages, see `schemas.RESULT`."""
         return topics.kafka_results(topics.kafka_stream(spark, self.servers, names, **self.options))
 
-    def line_sink(self, topic):
+    def line_sink(self, topic, writer):
         return sinks.kafka_sink(self.servers, topic)
 
-    def write_lines(self, rows, topic, batch_id):
+    def write_lines(self, rows, topic, writer, batch_id):
         """Lines of one micro-batch; a repeated batch sends them again."""
         options = {"kafka.bootstrap.servers": self.servers, "topic": topic}
         rows.write.format("kafka").options(**options).save()
@@ -29,7 +32,13 @@ class KafkaTopics:
 
 
 class FileTopics:
-    """Lines in `<root>/<topic>/`, results in `<root>/results/topic=<topic>/batch_id=<n>/`."""
+    """Lines in `<root>/<topic>/`, results in `<root>/results/topic=<topic>/batch_id=<n>/`.
+
+    Each writer of a line topic has a folder of its own in it, `writer=<name>/batch_id=<n>`,
+    so several jobs can feed one topic; files put there by hand are read too.
+    """
+
+    result_order = ("offset", "sent_at")
 
     def __init__(self, root, files_per_trigger=None):
         self.root, self.files_per_trigger = root, files_per_trigger
@@ -40,12 +49,16 @@ class FileTopics:
     def results(self, spark, names=topics.RESULT_TOPICS):
         return topics.file_result_stream(spark, f"{self.root}/results", names, self.files_per_trigger)
 
-    def line_sink(self, topic):
-        return sinks.line_folder_sink(f"{self.root}/{topic}")
+    def line_sink(self, topic, writer):
+        return sinks.batch_sink(lambda rows, batch_id: self.write_lines(rows, topic, writer, batch_id))
+
+    def write_lines(self, rows, topic, writer, batch_id):
+        """Lines of one micro-batch; a repeated batch replaces them.
 
-    def write_lines(self, rows, topic, batch_id):
-        """Lines of one micro-batch; a repeated batch replaces them."""
-        rows.write.mode("overwrite").text(f"{self.root}/{topic}/batch_id={batch_id}")
+        A stream that had read the first files reads the new ones too, so a reader that
+        counts may count such a batch twice, as with a broker.
+        """
+        rows.write.mode("overwrite").text(f"{self.root}/{topic}/writer={writer}/batch_id={batch_id}")
 
     def result_sink(self, topic):
         return sinks.topic_folder_sink(f"{self.root}/results", topic)

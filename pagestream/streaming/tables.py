@@ -33,12 +33,16 @@ class KeptTable:
             if self.read_twice:
                 rows.unpersist()
 
+    def slot(self, folder, batch_id):
+        """Where something derived from the table as of this batch is kept, in another folder."""
+        return f"{folder}/slot={batch_id % self.slots}"
+
     def after(self, spark, batch_id):
         """The table as the batch with this number left it."""
         return spark.read.parquet(self._slot(batch_id))
 
     def _slot(self, batch_id):
-        return f"{self.folder}/slot={batch_id % self.slots}"
+        return self.slot(self.folder, batch_id)
 
 
 def _numbers(messages, *more):
@@ -59,19 +63,17 @@ def largest_results(folder, n=100):
     return KeptTable(folder, lambda batch, _: _numbers(batch), reduce)
 
 
-def latest_results(folder):
-    """Every key with its last value, by offset.
+def latest_results(folder, order=("offset", "sent_at")):
+    """Every key with its last value, see `ranking.last_of_key`.
 
     Here a value can fall and let another key rise again, so no key is cut before
     the table is read; cut it with `top_per_topic` then.
     """
 
-    def reduce(rows):
-        return rows.groupBy("topic", "key").agg(
-            F.max_by("value", "offset").alias("value"), F.max("offset").alias("offset")
-        )
+    def shape(batch, _):
+        return _numbers(batch, *[name for name in order if name in batch.columns])
 
-    return KeptTable(folder, lambda batch, _: _numbers(batch, "offset"), reduce)
+    return KeptTable(folder, shape, lambda rows: ranking.last_of_key(rows, order))
 
 
 def latest_events(folder, n=20):

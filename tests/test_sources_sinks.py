@@ -40,10 +40,10 @@ def test_kafka_sink_options():
 
 def test_kafka_messages_become_results(spark, rows):
     messages = spark.createDataFrame(
-        [("top_resource", bytearray(b"k"), bytearray(b"5"), 3, 0)],
-        "topic string, key binary, value binary, offset long, partition int",
+        [("top_resource", bytearray(b"k"), bytearray(b"5"), 3, 0, None)],
+        "topic string, key binary, value binary, offset long, partition int, timestamp timestamp",
     )
-    assert rows(topics.kafka_results(messages)) == [("top_resource", "k", "5", 3)]
+    assert rows(topics.kafka_results(messages)) == [("top_resource", "k", "5", 3, None)]
 
 
 def _dump(folder):
@@ -173,10 +173,22 @@ def test_file_topics_keep_name_and_batch(spark, rows, tmp_path):
     for topic in ("top_resource", "event_wikitype", "elsewhere"):
         data.write.parquet(f"{tmp_path}/topic={topic}/batch_id=4")
     assert rows(topics.file_results(spark, str(tmp_path))) == [
-        ("event_wikitype", "k", "1", 4), ("top_resource", "k", "1", 4)
+        ("event_wikitype", "k", "1", 4, None), ("top_resource", "k", "1", 4, None)
     ]
 
 
+def test_the_tail_opens_only_the_last_files(spark, rows, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.gz").write_text("no gzip file")
+    for name, count in (("b b", 4), ("c", 3), ("d", 2)):
+        (tmp_path / "d" / name).write_text("".join(f"{name}{i}\n" for i in range(count)))
+    got = [r[0] for r in dumps.last_lines(spark, str(tmp_path / "d"), 4).collect()]
+    assert got == ["c1", "c2", "d0", "d1"]
+    (tmp_path / "d" / "a.gz").unlink()
+    assert [r[0] for r in dumps.last_lines(spark, str(tmp_path / "d"), 7).collect()][:2] == ["b b2", "b b3"]
+    assert dumps.last_lines(spark, str(tmp_path / "d"), 99).count() == 9
+
+
 def test_a_bucketed_table_is_joined_in_place(spark, tmp_path, setting):
     setting("spark.sql.autoBroadcastJoinThreshold", "-1")
     known = spark.range(100).selectExpr("concat('T', id) as title", "'Category:X' as category", "false as hidden")

@@ -146,7 +146,7 @@ def test_hot_titles_are_cut_in_each_batch(spark, tmp_path, rows, monkeypatch):
 
     def write(frame, batch_id):
         hot.append("_pieces" in frame._jdf.queryExecution().optimizedPlan().toString())
-        broker.write_lines(frame, "wikievent", batch_id)
+        broker.write_lines(frame, "wikievent", "by-batch", batch_id)
 
     edits.start_edit_lines_by_batch(
         broker.lines(spark, "changes"), known, write, str(tmp_path / "c"), drain=True
@@ -255,7 +255,7 @@ def test_the_whole_application_on_file_topics(spark, tmp_path):
     _put(tmp_path / "topics" / "changes", "a", [event % (i, T0) for i in range(25)])
 
     def filled(topic):
-        return lambda: list((tmp_path / "topics" / topic / "_spark_metadata").glob("[0-9]*"))
+        return lambda: list((tmp_path / "topics" / topic).rglob("_SUCCESS"))
 
     replay_query = jobs.start_replay(spark, broker, checkpoints, str(tmp_path / "dump"), "1 second")
     _until(filled("wikistream"), [replay_query])
@@ -282,7 +282,8 @@ def test_kafka_topics_use_the_connector(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(topics, "kafka_stream", lambda session, servers, names, **more: asked.append(
         (servers, names, more)) or session.createDataFrame(
-        [("t", bytearray(b"k"), bytearray(b"5"), 3)], "topic string, key binary, value binary, offset long"))
+        [("t", bytearray(b"k"), bytearray(b"5"), 3, None)],
+        "topic string, key binary, value binary, offset long, timestamp timestamp"))
     broker = KafkaTopics("h:1", minPartitions="4")
     assert broker.lines(spark, "wikistream").columns == ["value"]
     assert broker.results(spark).first()["value"] == "5"
@@ -303,3 +304,59 @@ def test_expand_job_writes_csv(spark, tmp_path):
     rows = spark.read.option("header", True).csv(str(tmp_path / "out")).collect()
     assert sorted(r[0] for r in rows) == ["0", "1", "2"]
     assert {(r["prev"], r["curr"], r["link"], r["category"]) for r in rows} == {("p", "A", "link", "Letters")}
+
+
+def test_two_writers_and_loose_files_of_one_topic(spark, tmp_path):
+    broker = FileTopics(str(tmp_path / "topics"))
+    (tmp_path / "topics").mkdir()
+    _put(tmp_path / "topics" / "t", "loose", ["l"])
+    _put(tmp_path / "in", "a", ["a"])
+    sink = broker.line_sink("t", "one")
+    runner.drain(topics.line_stream(spark, str(tmp_path / "in")), sink, str(tmp_path / "c1"))
+
+    def read():
+        runner.drain(broker.lines(spark, "t"), sinks.batch_folder_sink(str(tmp_path / "out")), str(tmp_path / "c2"))
+        return sorted(r["value"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert read() == ["a", "l"]
+    broker.write_lines(spark.createDataFrame([("b",)], "value string"), "t", "two", 0)
+    assert read() == ["a", "b", "l"]
+    _put(tmp_path / "in", "c", ["c"])
+    runner.drain(topics.line_stream(spark, str(tmp_path / "in")), sink, str(tmp_path / "c1"))
+    assert read() == ["a", "b", "c", "l"]
+
+
+def test_the_latest_view_takes_the_later_window_of_a_batch(spark, tmp_path):
+    broker = FileTopics(str(tmp_path / "topics"))
+    rows = [("k", "9", 60), ("k", "5", 120), ("other", "1", 60)]
+    for batch, order in enumerate((rows, rows[::-1])):
+        data = spark.createDataFrame(order, "key string, value string, at long").selectExpr(
+            "key", "value", "named_struct('start', timestamp_seconds(at), 'end', timestamp_seconds(at + 60)) as window"
+        )
+        folder = f"{tmp_path}/topics/results/topic=event_wikitype/batch_id={batch}"
+        data.coalesce(1).write.parquet(folder)
+        jobs.start_view(
+            spark, broker, str(tmp_path / "c"), str(tmp_path / "view"), latest=True,
+            shares=str(tmp_path / "shares"), drain=True,
+        ).awaitTermination()
+        kept = spark.read.parquet(f"{tmp_path}/view/slot={batch}").collect()
+        assert {r["key"]: r["value"] for r in kept} == {"k": 5, "other": 1}
+        shown = spark.read.parquet(f"{tmp_path}/shares/slot={batch}").collect()
+        assert {r["key"]: float(r["share"]) for r in shown} == {"k": 83.3, "other": 16.7}
+
+
+def test_tail_split_and_events_jobs(spark, tmp_path):
+    broker = FileTopics(str(tmp_path / "topics"))
+    _put(tmp_path / "dump", "a", [f"p\tA\tlink\t{i}" for i in range(9)])
+    for _ in range(2):
+        jobs.tail(spark, broker, str(tmp_path / "dump"), 3)
+    got = sorted(r[0][-1] for r in spark.read.text(f"{tmp_path}/topics/wikistream").select("value").collect())
+    assert got == ["6", "6", "7", "7", "8", "8"]
+    event = '{"id": %d, "type": "edit", "title": "T", "timestamp": %d, "wiki": "w"}'
+    _put(tmp_path / "topics" / "changes", "a", [event % (i, i) for i in range(5)])
+    query = jobs.start_events(spark, broker, str(tmp_path / "c"), str(tmp_path / "events"), "changes", 2, drain=True)
+    query.awaitTermination()
+    kept = spark.read.parquet(f"{tmp_path}/events/slot=0").collect()
+    assert sorted(r["event_id"] for r in kept) == [3, 4]
+    for words in (["tail", "d", "-n", "5"], ["split", "d", "o"], ["events", "f", "--events-topic", "t"]):
+        assert jobs._options().parse_args(["--checkpoints", "c", *words]).job == words[0]

@@ -348,14 +348,15 @@ def result_share(spark, sf_dir):
 def _result_topics(spark, sf_dir):
     """The result messages as file topics, one folder per topic and batch."""
     folder = run_dir(spark, "result-topics")
-    rows = inputs.results(spark, sf_dir).withColumn("batch_id", F.col("offset") % 4)
+    window = F.struct(F.timestamp_seconds("offset").alias("start"))
+    rows = inputs.results(spark, sf_dir).withColumns({"batch_id": F.col("offset") % 4, "window": window})
     rows.drop("offset").write.partitionBy("topic", "batch_id").parquet(folder)
     return folder
 
 
 @query
 def result_topics_scan(spark, sf_dir):
-    return topics.file_results(spark, _result_topics(spark, sf_dir))
+    return topics.file_results(spark, _result_topics(spark, sf_dir)).drop("sent_at")
 
 
 @query
@@ -371,6 +372,19 @@ def result_view_stream(spark, sf_dir):
     return ranking.top_per_topic(table.after(spark, runner.last_batch(running)))
 
 
+@query
+def result_view_latest_stream(spark, sf_dir):
+    """The last value of each key; a batch holds several windows of a key."""
+    base = run_dir(spark, "latest-view")
+    messages_in = topics.file_result_stream(spark, _result_topics(spark, sf_dir), files_per_trigger=5)
+    table, running = results.start_result_view(
+        messages_in, f"{base}/view", f"{base}/checkpoint", latest=True, drain=True
+    )
+    running.awaitTermination()
+    kept = table.after(spark, runner.last_batch(running))
+    return ranking.top_per_topic(kept.select("topic", "key", "value"))
+
+
 @query
 def latest_events(spark, sf_dir):
     return results.latest_events(_events(spark, sf_dir))

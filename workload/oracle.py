@@ -43,6 +43,7 @@ PARTS = {
     "top_windows": """
         select curr as key, value, window_start from page_windows
         order by value desc, key, window_start limit 20""",
+    # The words of the noise filter, and the names of topics below.
     "quiet": """
         select * from edits where wiki = 'enwiki' and not regexp_matches(categoryText,
           'Articles|articles|Wikidata|Noindexed|external|Pages|pages|CS1|AfD|AC|Stubs|stub')""",
@@ -58,6 +59,12 @@ PARTS = {
         union all select 'top_resource_sliding', key, value, window_start from top_windows
         union all select 'event_top_categories', key, value, window_start from category_counts
         union all select 'event_wikitype', key, value, window_start from wiki_counts""",
+    "last_of_batch": """
+        select topic, key, arg_max(value, (offset_ % 4) * 10000000000 + offset_) as value
+        from results group by topic, key""",
+    "latest_ranked": """
+        select *, row_number() over (partition by topic order by value desc, key) as rank
+        from last_of_batch""",
     "keyed": """
         select topic, key, max(value) as value from results group by topic, key""",
     "ranked": """
@@ -187,6 +194,8 @@ _sql("result_view_latest_per_key", _RESULTS,
         from results group by topic, key""")
 _sql("result_top_n result_view_stream", [*_RESULTS, "keyed", "ranked"],
      "select * from ranked where rank <= 100")
+_sql("result_view_latest_stream", [*_RESULTS, "last_of_batch", "latest_ranked"],
+     "select * from latest_ranked where rank <= 100")
 _sql("result_share", [*_RESULTS, "keyed", "ranked"],
      """select *, cast(((value * 2000 + sum(value) over w) // (2 * sum(value) over w)) as double) / 10
                as share
