@@ -1,5 +1,6 @@
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagestream import jobs
@@ -294,7 +295,10 @@ def test_kafka_topics_use_the_connector(spark, monkeypatch):
 def test_job_arguments():
     chosen = jobs._options().parse_args(["--servers", "h:1", "--checkpoints", "c", "count", "--queries", "top_resource"])
     assert (chosen.job, chosen.queries, chosen.sliding_every) == ("count", ["top_resource"], "60 seconds")
-    assert jobs._options().parse_args(["--topics-folder", "f", "replay", "d"]).every == "60 seconds"
+    replay_job = ["--topics-folder", "f", "--checkpoints", "c", "replay", "d"]
+    assert jobs._options().parse_args(replay_job).every == "60 seconds"
+    with pytest.raises(SystemExit):
+        jobs._options().parse_args(["--topics-folder", "f", "replay", "d"])
 
 
 def test_expand_job_writes_csv(spark, tmp_path):
