@@ -364,3 +364,25 @@ def test_tail_split_and_events_jobs(spark, tmp_path):
     assert sorted(r["event_id"] for r in kept) == [3, 4]
     for words in (["tail", "d", "-n", "5"], ["split", "d", "o"], ["events", "f", "--events-topic", "t"]):
         assert jobs._options().parse_args(["--checkpoints", "c", *words]).job == words[0]
+
+
+def test_what_is_not_hot_is_joined_with_a_bucketed_table_in_place(spark, tmp_path, setting):
+    setting("spark.sql.autoBroadcastJoinThreshold", "-1")
+    known = spark.range(40).selectExpr("concat('T', id) as title", "'Category:X' as category", "false as hidden")
+    sinks.write_bucketed(known, "known_by_batch", "title", 4, str(tmp_path / "table"))
+    event = '{"id": %d, "type": "edit", "title": "T%d", "timestamp": 1, "wiki": "w"}'
+    _put(tmp_path / "in", "a", [event % (i, i % 40 if i % 3 else 1) for i in range(120)])
+    plans, counts = [], []
+
+    def write(lines, _):
+        counts.append(lines.count())
+        plans.append(lines._jdf.queryExecution().executedPlan().toString())
+
+    edits.start_edit_lines_by_batch(
+        topics.line_stream(spark, str(tmp_path / "in")), spark.table("known_by_batch"), write,
+        str(tmp_path / "c"), drain=True,
+    ).awaitTermination()
+    assert counts == [120]
+    # Both sides of the hot branch, and only the batch of the other.
+    assert plans[0].count("Exchange hashpartitioning") == 3
+    spark.sql("drop table known_by_batch")
