@@ -11,6 +11,7 @@ classifier over terms is then trained on the posterior labels and scores every w
 from __future__ import annotations
 
 import re
+from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -34,22 +35,30 @@ LEAST_Z = 4.5
 INSULTS = frozenset(
     "idiot moron stupid scum trash clown loser pathetic worthless disgusting imbecile dumb filth".split()
 )
+BEGINNINGS = (4, 5, 6, 7)
 _WORD = re.compile(r"[^\W\d_]{3,}")
 _SECOND_PERSON = re.compile(r"\byou(?:'re| are) (?:an? |so |such )?\w+", re.IGNORECASE)
-PATTERNS = ("insult", "several_insults", "shouting", "exclaiming", "addressed")
+#: Shares of a text's words from which on lexicon words are dense.
+DENSE, DENSER = 0.01, 0.02
+PATTERNS = (
+    "insult", "several_insults", "shouting", "exclaiming", "addressed", "lexicon_twice", "lexicon_dense", "lexicon_denser",
+)
 
 
 def terms_of(text: str) -> set[str]:
-    """Words of three letters or more in lower case, and the first 4, 5 and 6 letters of longer ones, as "x*"."""
+    """Words of three letters or more in lower case, and the first 4 to 7 letters of longer ones, as "x*"."""
     words = set(_WORD.findall(text.lower()))
     out = set(words)
-    for n in (4, 5, 6):
+    for n in BEGINNINGS:
         out.update([w[:n] + "*" for w in words if len(w) > n])
     return out
 
 
-def patterns_of(text: str, insults: int) -> list[int]:
-    """Numbers of the pattern voters that fire."""
+def patterns_of(text: str, insults: int, hits: int, words: int) -> list[int]:
+    """Numbers of the pattern voters that fire; `hits` of the text's `words` are in the lexicon.
+
+    A long text holds a lexicon word by chance, so how dense they lie counts beside which they are.
+    """
     fired = []
     if insults:
         fired.append(0)
@@ -61,29 +70,35 @@ def patterns_of(text: str, insults: int) -> list[int]:
         fired.append(3)
     if "you" in text and _SECOND_PERSON.search(text):
         fired.append(4)
+    if hits > 1:
+        fired.append(5)
+        if hits >= DENSE * words:
+            fired.append(6)
+        if hits >= DENSER * words:
+            fired.append(7)
     return fired
 
 
 class Model(NamedTuple):
     terms: dict[str, int]
+    #: Numbers of the terms that speak for toxic.
+    lexicon: frozenset[int]
     weights: np.ndarray
     bias: float
 
     def features(self, text: str | None) -> list[int]:
         """Numbers of the terms in a text, and of its patterns behind them."""
         text = text or ""
-        words = set(_WORD.findall(text.lower()))
-        get, found = self.terms.get, set()
-        for w in words:
-            found.add(get(w))
-            if len(w) > 4:
-                found.add(get(w[:4] + "*"))
-                if len(w) > 5:
-                    found.add(get(w[:5] + "*"))
-                    if len(w) > 6:
-                        found.add(get(w[:6] + "*"))
+        words = Counter(_WORD.findall(text.lower()))
+        get, found, hits = self.terms.get, set(), 0
+        for w, times in words.items():
+            own = [get(w), *[get(w[:n] + "*") for n in BEGINNINGS if len(w) > n]]
+            found.update(own)
+            if w in INSULTS or not self.lexicon.isdisjoint(own):
+                hits += times
         found.discard(None)
-        return sorted(found) + [len(self.terms) + p for p in patterns_of(text, len(words & INSULTS))]
+        patterns = patterns_of(text, len(words.keys() & INSULTS), hits, words.total())
+        return sorted(found) + [len(self.terms) + p for p in patterns]
 
     def score(self, text: str | None) -> float:
         z = self.bias + float(self.weights[self.features(text)].sum())
@@ -195,7 +210,8 @@ def fit(
     )
     terms = {r["term"]: i for i, r in enumerate(best)}
     voters = [i for i, r in enumerate(best) if r["toward"] > 0][:LEXICON_VOTERS]
-    draft = Model(terms, np.zeros(len(terms) + len(PATTERNS)), 0.0)
+    lexicon = frozenset(i for i, r in enumerate(best) if r["toward"] > 0)
+    draft = Model(terms, lexicon, np.zeros(len(terms) + len(PATTERNS)), 0.0)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def features(texts: pd.Series) -> pd.Series:
@@ -212,7 +228,7 @@ def fit(
                 votes[i, columns[c]] = True
     posterior, _ = label_model(votes, marks)
     weights, bias = train_linear(lists, posterior, len(draft.weights))
-    return Model(terms, weights, bias)
+    return Model(terms, lexicon, weights, bias)
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str, out: str) -> DataFrame:

@@ -234,6 +234,22 @@ def test_toxicity_learns_and_generalises(spark, docs):
     assert 0 <= empty.score(None) <= 1
 
 
+def test_lexicon_words_count_by_how_dense_they_lie():
+    model = toxicity.Model({"bad*": 0, "fine": 1}, frozenset([0]), np.zeros(2 + len(toxicity.PATTERNS)), 0.0)
+    base = 2
+
+    def fired(text):
+        return {toxicity.PATTERNS[f - base] for f in model.features(text) if f >= base}
+
+    assert toxicity.terms_of("Badness fine") >= {"badness", "badn*", "badne*", "badnes*", "fine"}
+    model = model._replace(terms={"badn*": 0, "fine": 1})
+    assert fired("badness fine") == set()  # a single one may be chance
+    assert fired("badness badness fine") == {"lexicon_twice", "lexicon_dense", "lexicon_denser"}
+    assert fired("badness badnesses" + " fine" * 148) == {"lexicon_twice", "lexicon_dense"}
+    assert fired("badness badnesses" + " fine" * 500) == {"lexicon_twice"}
+    assert fired(None) == fired("") == set()
+
+
 def test_label_model_discounts_copies_of_a_voter():
     rng = np.random.default_rng(0)
     truth = rng.random(3000) < 0.3
