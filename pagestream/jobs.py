@@ -29,8 +29,11 @@ from pagestream.streaming.brokers import FileTopics, KafkaTopics
 
 
 def start_counts(spark, broker, checkpoints, wanted=topics.RESULT_TOPICS,
-                 sliding_every="60 seconds", partitions=None):
-    """Start the wanted queries, each with its own checkpoint, without waiting."""
+                 sliding_every="60 seconds", partitions=None, bounded=None):
+    """Start the wanted queries, each with its own checkpoint, without waiting.
+
+    With `bounded`, a folder, the sliding ranking keeps its table there and has bounded state.
+    """
     views = parse.parse_views(broker.lines(spark, topics.PAGE_VIEW_TOPIC))
     edit_rows = parse.parse_edits(broker.lines(spark, topics.EDIT_TOPIC))
     starts = {
@@ -41,6 +44,12 @@ def start_counts(spark, broker, checkpoints, wanted=topics.RESULT_TOPICS,
         topics.TOP_CATEGORIES_TOPIC: lambda *to: edits.start_top_categories(edit_rows, *to),
         topics.WIKI_TOPIC: lambda *to: edits.start_wiki_counts(edit_rows, *to),
     }
+    if bounded:
+        topic = topics.TOP_PAGES_SLIDING_TOPIC
+        starts[topic] = lambda _, checkpoint: page_views.start_top_windows(
+            views, bounded, lambda rows, batch_id: broker.write_results(rows, topic, batch_id),
+            f"{checkpoint}-bounded", every=sliding_every,
+        )
     with runner.state_partitions(spark, partitions):
         return [
             starts[name](broker.result_sink(name), f"{checkpoints}/{name}") for name in wanted
@@ -108,6 +117,7 @@ def _options():
     count.add_argument("--queries", nargs="+", default=topics.RESULT_TOPICS, choices=topics.RESULT_TOPICS)
     count.add_argument("--sliding-every", default="60 seconds")
     count.add_argument("--state-partitions", type=int)
+    count.add_argument("--bounded", metavar="FOLDER", help="sliding ranking with bounded state, its table kept here")
     ingest = jobs.add_parser("ingest")
     ingest.add_argument("--categories", required=True)
     ingest.add_argument("--events-topic", required=True)
@@ -153,7 +163,7 @@ def main(arguments=None):
         return dumps.split_dump(spark.read.text(chosen.dump), chosen.out, chosen.rows_per_file)
     to = (spark, broker, chosen.checkpoints)
     if chosen.job == "count":
-        start_counts(*to, chosen.queries, chosen.sliding_every, chosen.state_partitions)
+        start_counts(*to, chosen.queries, chosen.sliding_every, chosen.state_partitions, chosen.bounded)
     elif chosen.job == "ingest":
         start_ingest(*to, known, chosen.events_topic, chosen.by_batch)
     elif chosen.job == "replay":

@@ -40,7 +40,7 @@ def running_page_windows(views, time=None, **window):
 
 
 def top_of_latest_windows(kept, n=20):
-    """The `n` largest pairs of a `latest_windows` table."""
+    """The `n` largest pairs of a `latest_windows` or `top_windows` table."""
     return ranking.top_rows(kept, n, "key", "window_start").select("key", "value", "window_start")
 
 
@@ -57,6 +57,38 @@ def start_top_pages_sliding(views, sink, checkpoint, time=None, every="60 second
     )
 
 
+def window_messages(top, width_seconds=240):
+    """Ranked pairs of a kept table as messages."""
+    start = F.col("window_start")
+    window = F.struct(
+        F.timestamp_seconds(start).alias("start"), F.timestamp_seconds(start + width_seconds).alias("end")
+    )
+    return messages.to_message(top.withColumn("window", window), "key", keep=["window"])
+
+
+def start_top_windows(views, folder, publish, checkpoint, time=None, every="60 seconds", n=20,
+                      width_seconds=240, slide_seconds=120, delay_seconds=240, drain=False):
+    """The ranking of `start_top_pages_sliding` with state that does not grow over time.
+
+    Complete mode emits every page and window since the start. Here the watermark lets go of
+    closed windows, and the kept table holds open ones and the `n` largest closed ones. Rows
+    later than the delay are dropped; by the clock none is. `publish(rows, batch_id)` gets
+    the ranking of each batch.
+    """
+    table = tables.top_windows(folder, n, width_seconds, delay_seconds)
+    width, slide, delay = (f"{s} seconds" for s in (width_seconds, slide_seconds, delay_seconds))
+
+    def handle(batch, batch_id):
+        table.update(batch, batch_id)
+        top = top_of_latest_windows(table.after(batch.sparkSession, batch_id), n)
+        publish(window_messages(top, width_seconds), batch_id)
+
+    return runner.start(
+        running_page_windows(views, time, width=width, slide=slide, delay=delay),
+        sinks.batch_sink(handle), checkpoint, mode="update", every=every, drain=drain,
+    )
+
+
 def start_latest_windows(views, folder, publish, checkpoint, k, slide_seconds=120, time=None,
                          every="60 seconds", n=20, drain=False, **window):
     """Sliding top pages with bounded state: only the newest `k` windows compete.

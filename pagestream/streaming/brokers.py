@@ -30,6 +30,10 @@ class KafkaTopics:
     def result_sink(self, topic):
         return sinks.kafka_sink(self.servers, topic)
 
+    def write_results(self, rows, topic, batch_id):
+        """Result messages of one micro-batch; a repeated batch sends them again."""
+        self.write_lines(rows.select("key", "value"), topic, None, batch_id)
+
 
 class FileTopics:
     """Lines in `<root>/<topic>/`, results in `<root>/results/topic=<topic>/batch_id=<n>/`.
@@ -62,3 +66,6 @@ class FileTopics:
 
     def result_sink(self, topic):
         return sinks.topic_folder_sink(f"{self.root}/results", topic)
+
+    def write_results(self, rows, topic, batch_id):
+        rows.write.mode("overwrite").parquet(f"{self.root}/results/topic={topic}/batch_id={batch_id}")

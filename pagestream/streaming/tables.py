@@ -87,6 +87,25 @@ def latest_events(folder, n=20):
     return KeptTable(folder, shape, lambda rows: ranking.latest_rows(rows, n))
 
 
+def _window_sums(batch, batch_id):
+    return batch.select(
+        "key",
+        F.unix_seconds("window.start").alias("window_start"),
+        F.col("value").cast("bigint").alias("value"),
+        F.lit(batch_id).cast("bigint").alias("version"),
+    )
+
+
+def _last_sums(rows):
+    return rows.groupBy("key", "window_start").agg(
+        F.max_by("value", "version").alias("value"), F.max("version").alias("version")
+    )
+
+
+def _newest(rows):
+    return rows.agg(F.max("window_start")).first()[0] or 0
+
+
 def latest_windows(folder, k, slide_seconds):
     """Running sums of the newest `k` windows, from an update-mode windowed roll-up.
 
@@ -94,20 +113,26 @@ def latest_windows(folder, k, slide_seconds):
     watermark, update mode lets go of old ones, and this table holds `k`.
     """
 
-    def shape(batch, batch_id):
-        return batch.select(
-            "key",
-            F.unix_seconds("window.start").alias("window_start"),
-            F.col("value").cast("bigint").alias("value"),
-            F.lit(batch_id).cast("bigint").alias("version"),
-        )
+    def reduce(rows):
+        return _last_sums(rows.where(F.col("window_start") > _newest(rows) - k * slide_seconds))
+
+    return KeptTable(folder, _window_sums, reduce, read_twice=True)
+
+
+def top_windows(folder, n, width_seconds, delay_seconds):
+    """What the `n` largest (key, window) sums of all time need, from an update-mode roll-up.
+
+    Windows that can still change stay in full, of the others only the `n` largest sums:
+    these are final, so nothing that was cut can come back, whatever signs the counts have.
+    A row of the newest window was seen, so the watermark has passed, before the next batch,
+    whatever ends `delay_seconds` before that window starts.
+    """
 
     def reduce(rows):
-        newest = rows.agg(F.max("window_start")).first()[0] or 0
-        return (
-            rows.where(F.col("window_start") > newest - k * slide_seconds)
-            .groupBy("key", "window_start")
-            .agg(F.max_by("value", "version").alias("value"), F.max("version").alias("version"))
+        closed = F.col("window_start") + width_seconds + delay_seconds <= _newest(rows)
+        sums = _last_sums(rows)
+        return sums.where(~closed).unionByName(
+            ranking.top_rows(sums.where(closed), n, "key", "window_start")
         )
 
-    return KeptTable(folder, shape, reduce, read_twice=True)
+    return KeptTable(folder, _window_sums, reduce, read_twice=True)

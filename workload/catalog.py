@@ -31,13 +31,20 @@ def _in_time_order(rows, time, chunks=3):
         yield rows.where((F.col(time) >= low) & (F.col(time) < low + step))
 
 
-def _stream(spark, name, rows, time, build, mode, sink=None):
+def _stream(spark, name, rows, time, build, mode, sink=None, timed=False):
     """Feed the `value` lines step by step to a stream that ends and starts again
-    on its checkpoint for each step; returns the folder of its output."""
+    on its checkpoint for each step; returns the folder of its output.
+
+    `timed` lines carry their time in a column beside them, as messages of a broker do.
+    """
     base = run_dir(spark, name)
     for step in _in_time_order(rows, time):
-        step.select("value").write.mode("append").text(f"{base}/in")
-        stream = build(topics.line_stream(spark, f"{base}/in"))
+        if timed:
+            step.select(time, "value").write.mode("append").parquet(f"{base}/in")
+            stream = build(spark.readStream.schema(f"{time} bigint, value string").parquet(f"{base}/in"))
+        else:
+            step.select("value").write.mode("append").text(f"{base}/in")
+            stream = build(topics.line_stream(spark, f"{base}/in"))
         runner.drain(
             stream, sink(f"{base}/out") if sink else sinks.batch_folder_sink(f"{base}/out"),
             f"{base}/checkpoint", mode, spark.sparkContext.defaultParallelism,
@@ -56,19 +63,9 @@ def _last_update(spark, folder):
     return rows.groupBy("key", "window_start").agg(F.max_by("value", "batch_id").alias("value"))
 
 
-def _view_lines_with_time(spark, sf_dir):
-    """View lines whose first field is the time, for event-time windows over lines."""
-    rows = inputs.views(spark, sf_dir)
-    return rows.select("ts", text.tab_joined(*map(F.col, ("ts", "curr", "link", "n"))).alias("value"))
-
-
 def _parse_timed(lines):
-    """`ts, curr, n` from those lines; the line form is an edit line's."""
-    rows = parse.parse_edits(lines)
-    return rows.select(
-        F.timestamp_seconds("timestamp").alias("event_time"), F.col("wiki").alias("curr"),
-        text.strict_bigint(F.col("categoryText")).alias("n"),
-    )
+    rows = parse.parse_views(lines, keep=["ts"])
+    return rows.withColumn("event_time", F.timestamp_seconds("ts"))
 
 
 # Parsing.
@@ -156,16 +153,31 @@ def top_resource_sliding(spark, sf_dir):
 @query
 def top_resource_sliding_stream(spark, sf_dir):
     out = _stream(
-        spark, "top_resource_sliding", _view_lines_with_time(spark, sf_dir), "ts",
+        spark, "top_resource_sliding", inputs.view_lines(spark, sf_dir, keep=["ts"]), "ts",
         lambda rows: page_views.top_pages_sliding(_parse_timed(rows), "event_time"), "complete",
+        timed=True,
     )
     return aggregates.with_window_seconds(_last_complete(spark, out))
 
 
+@query
+def top_resource_sliding_bounded_stream(spark, sf_dir):
+    """The same from bounded state: open windows, and the top of the closed ones."""
+    table = tables.top_windows(run_dir(spark, "top-windows"), 20, 240, 240)
+    kept = _kept_windows(spark, sf_dir, "top-windows-stream", table)
+    top = page_views.window_messages(page_views.top_of_latest_windows(kept))
+    return aggregates.with_window_seconds(top)
+
+
 @query
 def top_resource_latest_windows(spark, sf_dir):
     """Only the newest five windows compete, with bounded state."""
     table = tables.latest_windows(run_dir(spark, "latest-windows"), k=5, slide_seconds=120)
+    return page_views.top_of_latest_windows(_kept_windows(spark, sf_dir, "latest-windows-stream", table))
+
+
+def _kept_windows(spark, sf_dir, name, table):
+    """The table as the stream of all view lines leaves it."""
     last = {}
 
     def sink(_out):
@@ -176,11 +188,11 @@ def top_resource_latest_windows(spark, sf_dir):
         return sinks.batch_sink(handle)
 
     _stream(
-        spark, "latest-windows-stream", _view_lines_with_time(spark, sf_dir), "ts",
+        spark, name, inputs.view_lines(spark, sf_dir, keep=["ts"]), "ts",
         lambda rows: page_views.running_page_windows(_parse_timed(rows), "event_time"),
-        "update", sink,
+        "update", sink, timed=True,
     )
-    return page_views.top_of_latest_windows(table.after(spark, last["batch"]))
+    return table.after(spark, last["batch"])
 
 
 # Edits.

@@ -144,7 +144,7 @@ _sql("view_window_sum", ["views", "page_windows"], "select * from page_windows")
 _sql("processing_time_windows", ["views"],
      """select curr, cast(2 as bigint) as windows, cast(2 * sum(n) as bigint) as value
         from views group by curr""")
-_sql("top_resource_sliding top_resource_sliding_stream", ["views", "page_windows", "top_windows"],
+_sql("top_resource_sliding top_resource_sliding_stream top_resource_sliding_bounded_stream", ["views", "page_windows", "top_windows"],
      "select key, cast(value as varchar) as value, window_start from top_windows")
 _sql("top_resource_latest_windows", ["views", "page_windows"],
      """select curr as key, value, window_start from page_windows
