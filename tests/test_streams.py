@@ -386,3 +386,18 @@ def test_what_is_not_hot_is_joined_with_a_bucketed_table_in_place(spark, tmp_pat
     # Both sides of the hot branch, and only the batch of the other.
     assert plans[0].count("Exchange hashpartitioning") == 3
     spark.sql("drop table known_by_batch")
+
+
+def test_top_windows_keeps_open_windows_and_the_top_of_closed_ones(spark, tmp_path):
+    table = tables.top_windows(str(tmp_path / "view"), 2, 240, 240)
+
+    def batch(*rows):
+        named = spark.createDataFrame(list(rows), "key string, start bigint, value string")
+        return named.select("key", F.struct(F.timestamp_seconds("start").alias("start")).alias("window"), "value")
+
+    table.update(batch(("a", 0, "5"), ("b", 0, "-3"), ("c", 0, "-9"), ("d", 600, "1")), 0)
+    table.update(batch(("d", 600, "-2"), ("e", 600, "-7")), 1)  # a sum may fall while its window is open
+    kept = table.after(spark, 1)
+    assert {(r["key"], r["value"]) for r in kept.collect()} == {("a", 5), ("b", -3), ("d", -2), ("e", -7)}
+    top = page_views.window_messages(page_views.top_of_latest_windows(kept, 2)).collect()
+    assert [(r["key"], r["value"]) for r in top] == [("a", "5"), ("d", "-2")]
