@@ -3,7 +3,8 @@
 For each byte prefix of a piece the encoding's last token is stored. It is unique: of the
 tokens that end at a byte, exactly one forms, with the last token of the prefix before it, a
 pair that encodes to itself. The encoding is read backwards from the last prefix; appending
-bytes only adds entries, and an edit recomputes entries from its first changed byte on.
+bytes only adds entries. An edit recomputes entries from its first changed byte on, until as
+many in a row as the longest token has bytes agree with the old ones; the rest is copied.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ from pyspark.sql import types as T
 
 from pagestream.llm.common import schema
 
-#: Entries of a worker's tables of pieces and of pairs; a full table is started anew.
-TABLE_ENTRIES = 400_000
-PAIR_ENTRIES = 500_000
+#: Bytes that a worker's table of pieces may take, about; its older half goes when it is full.
+TABLE_BYTES = 24_000_000
+#: Entries of the tables of pairs and of edges; a full table is started anew.
+PAIR_ENTRIES, EDGE_ENTRIES = 50_000, 10_000
 
 
 class PrefixEncoder:
@@ -35,14 +37,15 @@ class PrefixEncoder:
         self.ranks = ranks
         self.tokens = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._parts: dict[int, tuple[int, int] | None] = {}
+        self._pairs: dict[int, bool] = {}
+        # The two halves of each token: -2 not known yet, -1 none.
+        self._halves = tuple(array("i", [-2]) * (max(self.tokens) + 1) for _ in range(2))
         self._edges: tuple[dict, dict] = ({}, {})
 
     def parts(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge made it; None for a byte or a token no merge reaches."""
-        found = self._parts.get(token, 0)
-        if found == 0:
+        left, right = self._halves[0][token], self._halves[1][token]
+        if left == -2:
             data, ranks = self.tokens[token], self.ranks
             rest = [data[i:i + 1] for i in range(len(data))]
             while len(rest) > 2:
@@ -52,15 +55,17 @@ class PrefixEncoder:
                 if rank >= token:
                     break
                 rest[at:at + 2] = [rest[at] + rest[at + 1]]
-            found = (ranks[rest[0]], ranks[rest[1]]) if len(rest) == 2 else None
-            self._parts[token] = found
-        return found
+            left, right = (ranks[rest[0]], ranks[rest[1]]) if len(rest) == 2 else (-1, -1)
+            self._halves[0][token], self._halves[1][token] = left, right
+        return None if left == -1 else (left, right)
 
     def _edge(self, token: int, side: int) -> list[tuple[bytes, int]]:
         """The tokens that stand at one edge while it is merged, last first, each with the rank that ends it."""
         edges = self._edges[side]
         found = edges.get(token)
         if found is None:
+            if len(edges) >= EDGE_ENTRIES:
+                edges.clear()
             found, at, ends = [], token, 1 << 62
             while True:
                 found.append((self.tokens[at], ends))
@@ -77,54 +82,54 @@ class PrefixEncoder:
         They don't if, at some time while they are merged, what stands on both sides of the
         border merges first. Of equal ranks the one further left goes first.
         """
-        known = self._pairs.get((left, right))
-        if known is None:
-            if len(self._pairs) >= PAIR_ENTRIES:
-                self._pairs.clear()
-            known, get = True, self.ranks.get
-            lefts, rights = self._edge(left, 1), self._edge(right, 0)
-            i = j = 0
-            while True:
-                (a, ends), (b, b_ends) = lefts[i], rights[j]
-                rank = get(a + b)
-                if rank is not None and rank < ends and rank <= b_ends:
-                    known = False
-                    break
-                # back in time: undo the later of the two merges
-                born_a = self._born(lefts, i)
-                born_b = self._born(rights, j)
-                if born_a < 0 and born_b < 0:
-                    break
-                if born_a >= born_b:
-                    i += 1
-                else:
-                    j += 1
-            self._pairs[left, right] = known
-        return known
+        get = self.ranks.get
+        lefts, rights = self._edge(left, 1), self._edge(right, 0)
+        i = j = 0
+        while True:
+            (a, ends), (b, b_ends) = lefts[i], rights[j]
+            rank = get(a + b)
+            if rank is not None and rank < ends and rank <= b_ends:
+                return False
+            # back in time: undo the later of the two merges
+            born_a = self._born(lefts, i)
+            born_b = self._born(rights, j)
+            if born_a < 0 and born_b < 0:
+                return True
+            if born_a >= born_b:
+                i += 1
+            else:
+                j += 1
 
     @staticmethod
     def _born(edge: list[tuple[bytes, int]], at: int) -> int:
         """The rank of the merge that made this entry; -1 for a byte."""
         return edge[at + 1][1] if at + 1 < len(edge) else -1
 
+    def _last(self, data: bytes, end: int, out: array) -> int:
+        """The last token of data[:end], from the entries before it."""
+        get, pairs, longest = self.ranks.get, self._pairs, self.longest
+        for start in range(end - longest if end > longest else 0, end):
+            token = get(data[start:end])
+            if token is None:
+                continue
+            if start == 0:
+                fits = end == 1 or self.parts(token) is not None
+            else:
+                key = out[start - 1] << 32 | token
+                fits = pairs.get(key)
+                if fits is None:
+                    if len(pairs) >= PAIR_ENTRIES:
+                        pairs.clear()
+                    fits = pairs[key] = self.stands(out[start - 1], token)
+            if fits:
+                return token
+        raise ValueError("a byte has no token")
+
     def prefixes(self, data: bytes, last: array | None = None, keep: int = 0) -> array:
         """last[i]: the last token of data[:i + 1]; the first `keep` entries of `last` are used as they are."""
         out = array("l", last[:keep]) if last is not None else array("l")
-        get, pairs, stands, longest = self.ranks.get, self._pairs.get, self.stands, self.longest
         for end in range(len(out) + 1, len(data) + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                token = get(data[start:end])
-                if token is None:
-                    continue
-                if start == 0:
-                    fits = len(data[:end]) == 1 or self.parts(token) is not None
-                else:
-                    fits = pairs((out[start - 1], token))
-                    if fits is None:
-                        fits = stands(out[start - 1], token)
-                if fits:
-                    out.append(token)
-                    break
+            out.append(self._last(data, end, out))
         return out
 
     def append(self, data: bytes, last: array, more: bytes) -> array:
@@ -132,13 +137,27 @@ class PrefixEncoder:
         return self.prefixes(data + more, last, len(data))
 
     def edit(self, last: array, data: bytes, changed: bytes) -> array:
-        """The entries of `changed`, from those of `data`; what is before the first changed byte stays."""
-        same = 0
-        for a, b in zip(data, changed):
-            if a != b:
-                break
+        """The entries of `changed`, from those of `data`.
+
+        What is before the first changed byte stays. Behind the last one an entry follows from
+        the bytes of the longest token and the entries before these, so once that many agree
+        with the old ones, all later ones do.
+        """
+        same, shorter = 0, min(len(data), len(changed))
+        while same < shorter and data[same] == changed[same]:
             same += 1
-        return self.prefixes(changed, last, same)
+        tail = 0
+        while tail < shorter - same and data[len(data) - 1 - tail] == changed[len(changed) - 1 - tail]:
+            tail += 1
+        out, shift, agreed = array("l", last[:same]), len(data) - len(changed), 0
+        for end in range(same + 1, len(changed) + 1):
+            out.append(self._last(changed, end, out))
+            kept = end > len(changed) - tail and out[-1] == last[end - 1 + shift]
+            agreed = agreed + 1 if kept else 0
+            if agreed >= self.longest:
+                out.extend(last[end + shift:])
+                break
+        return out
 
     def read(self, last: array) -> list[int]:
         """The encoding, from its entries."""
@@ -161,7 +180,7 @@ class BatchEncoder:
     pairs in a table of fixed size that keeps the pair last seen in each slot.
     """
 
-    WIDEST, SLOTS = 32, 21
+    WIDEST, SLOTS = 32, 19
 
     def __init__(self, encoder: PrefixEncoder):
         self.encoder = encoder
@@ -298,7 +317,7 @@ class Tokenizer:
     """Text to ids and back, with a rank file and a pattern that splits text into pieces."""
 
     #: Code points of text that are split before their new pieces are encoded together.
-    TOGETHER = 2_000_000
+    TOGETHER = 200_000
 
     def __init__(self, rank_file: str, pattern: str):
         with open(rank_file, "rb") as lines:
@@ -306,19 +325,28 @@ class Tokenizer:
         self.encoder = PrefixEncoder(ranks)
         self.batch = BatchEncoder(self.encoder)
         self.split = regex.compile(pattern).findall
+        # Pieces with their ids: the older half of the table, and the half that grows.
+        self.old: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.taken = 0
 
     def _learn(self, new: set[str]) -> None:
-        if len(self.pieces) + len(new) > TABLE_ENTRIES:
-            self.pieces.clear()
+        """Puts pieces into the table. It may outgrow its bound by the new pieces of one round."""
+        if self.taken > TABLE_BYTES // 2:
+            self.old, self.pieces, self.taken = self.pieces, {}, 0
         short, long = [], []
         for piece in new:
+            if (ids := self.old.get(piece)) is not None:
+                self.pieces[piece] = ids
+                continue
             data = piece.encode()
             (short if len(data) <= BatchEncoder.WIDEST else long).append((piece, data))
         for (piece, _), ids in zip(short, self.batch.encode([d for _, d in short])):
             self.pieces[piece] = ids
         for piece, data in long:
             self.pieces[piece] = array("I", self.encoder.encode(data)).tobytes()
+        # A string, its bytes and their place in the table take about 200 bytes beside what they hold.
+        self.taken += sum(200 + 2 * len(p) + len(self.pieces[p]) for p in new)
 
     def encode_all(self, texts) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers; none for null or empty."""
@@ -333,12 +361,12 @@ class Tokenizer:
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
         split = [self.split(t) for t in texts]
-        known = self.pieces
-        new = {p for pieces in split for p in pieces if p not in known}
+        new = {p for pieces in split for p in pieces if p not in self.pieces}
         if new:
-            if len(known) + len(new) > TABLE_ENTRIES:
+            if self.taken > TABLE_BYTES // 2:
                 new = {p for pieces in split for p in pieces}
             self._learn(new)
+        known = self.pieces
         for pieces in split:
             yield b"".join(map(known.__getitem__, pieces))
 

@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagestream.llm.common import cut_lineage
+from pagestream.operators.joins import hot_values, skew_join
+
+
+def joined_by_hub(rows: DataFrame, values: DataFrame, key: str, row_id: str) -> DataFrame:
+    """`rows` with the one row of `values` for their key, keys with many rows dealt to several tasks."""
+    return skew_join(rows, values, [key], hot_left=hot_values(rows, key), left_id=row_id)
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -13,7 +19,7 @@ def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
     return (
-        both.join(least, "a").where(F.col("b") > F.col("a"))
+        joined_by_hub(both, least, "a", "b").where(F.col("b") > F.col("a"))
         .select(F.col("b").alias("a"), F.col("m").alias("b"))
     )
 
@@ -23,7 +29,7 @@ def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
     return (
-        down.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        joined_by_hub(down, least, "a", "b").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         .union(least.select("a", F.col("m").alias("b")))
     )
 

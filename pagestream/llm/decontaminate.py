@@ -13,7 +13,6 @@ and each block meets all texts.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -218,11 +217,6 @@ def merged(index: Index, hits: list[tuple[int, int, int, int]], places: np.ndarr
     return [(item, a, b, e, len(ws)) for item, (a, b, e, ws) in sorted(rows.items())]
 
 
-@lru_cache(maxsize=1)
-def _index(items: tuple) -> Index:
-    return Index(list(items))
-
-
 def search_texts(texts: list[str | None], index: Index) -> list[list[tuple]]:
     """For each text the rows of `merged`. Texts are hashed together, hits stay within a text."""
     out: list[list[tuple]] = []
@@ -286,7 +280,7 @@ def find_leaks(
         sent = spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            index = _index(sent.value)
+            index = Index(list(sent.value))  # once a task, and gone with it
             for batch in batches:
                 rows = [
                     (place, *row)
@@ -319,7 +313,9 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def _leaks(sent):
     @F.pandas_udf(T.BooleanType())
-    def leaks(texts: pd.Series) -> pd.Series:
-        return pd.Series([bool(x) for x in search_texts(texts.tolist(), _index(sent.value))], dtype=bool)
+    def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = Index(list(sent.value))  # once a task, and gone with it
+        for texts in batches:
+            yield pd.Series([bool(x) for x in search_texts(texts.tolist(), index)], dtype=bool)
 
     return leaks

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagestream.llm import (
-    byte_bpe, chat_format, decontaminate, html_text, language_id, quality_llr, secret_scan, simhash, toxicity,
-    url_filter,
+    byte_bpe, chat_format, decontaminate, filter_audit, html_text, language_id, metric_join, quality_llr, secret_scan,
+    simhash, toxicity, url_filter, zone_clusters,
 )
 from pagestream.llm.common import fold, ship, table
 from pagestream.llm.url_filter import Rule
@@ -79,11 +79,26 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return metric_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_zone_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return zone_clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_url_filter, op3_byte_bpe, op4_simhash, op5_quality_llr, op6_html_text, op7_toxicity,
-        op8_decontaminate, op9_chat_format, op10_language_id,
+        op8_decontaminate, op9_chat_format, op10_language_id, op11_metric_join, op12_zone_clusters, op13_filter_audit,
     )
 }
 
@@ -167,5 +182,111 @@ FROM own LEFT JOIN decided USING (address)
 """
 
 
+_FINITE = "coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), false)"
+
+
+def _metric_sql() -> str:
+    return f"""
+WITH RECURSIVE vectors AS (
+  SELECT row_number() OVER () AS k, vec_id, label, CAST(embedding AS DOUBLE[]) AS e,
+         {_FINITE} AND len(embedding) > 0 AND label IS NOT NULL AS finite FROM embeddings
+), normed AS (
+  SELECT k, label, e, sqrt(list_dot_product(e, e)) AS size FROM vectors WHERE finite
+), links AS (
+  SELECT a.k AS a, b.k AS b FROM normed a JOIN normed b ON a.label = b.label AND len(a.e) = len(b.e) AND a.k <> b.k
+  WHERE a.size > 0 AND b.size > 0 AND list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.98
+), reach(node, other) AS (
+  SELECT k, k FROM vectors UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.other = links.a
+), classes AS (
+  SELECT node, min(vec_id) AS component_id FROM reach JOIN vectors ON other = k GROUP BY node
+), counts AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM vectors JOIN classes ON k = node LEFT JOIN counts ON k = a
+"""
+
+
+def _clusters_sql(rounds: int = 3) -> str:
+    def assigned(step: int) -> str:
+        square = "list_sum(list_transform(list_zip(q.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        return f"""a{step} AS (
+  SELECT k, any_value(vec_id) AS vec_id, any_value(v) AS v, min(o).c AS c, min(o).d AS d FROM (
+    SELECT q.k, q.vec_id, q.v, {{'d': CAST({square} AS BIGINT), 'c': c.c}} AS o FROM kept q CROSS JOIN c{step} c
+  ) GROUP BY k
+)"""
+
+    def moved(step: int) -> str:
+        return f"""s{step} AS (
+  SELECT c, p, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(1, 65)) AS p FROM a{step - 1}) GROUP BY c, p
+), m{step} AS (
+  SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY p) AS v FROM s{step} GROUP BY c
+), c{step} AS (
+  SELECT old.c, coalesce(new.v, old.v) AS v FROM c{step - 1} old LEFT JOIN m{step} new USING (c)
+)"""
+
+    steps = [assigned(0)]
+    for step in range(1, rounds + 1):
+        steps += [moved(step), assigned(step)]
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND {_FINITE}
+), c0 AS (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS INTEGER) AS c, v
+  FROM kept QUALIFY c < 16
+), {", ".join(steps)}
+SELECT vec_id, a.c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.c = c.c
+"""
+
+
+def _audit_sql() -> str:
+    words = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+    steps = ", ".join(
+        f"('{order}', {step + 1}, {filter_audit.bits(order[step])}, {filter_audit.bits(order[:step])})"
+        for order in filter_audit.ORDERS for step in range(5)
+    )
+    return f"""
+WITH words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {words} AS w FROM documents
+), firsts AS (
+  SELECT text, min(doc_id) AS least FROM words GROUP BY text
+), marked AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id
+), masks AS (
+  SELECT part,
+    CASE WHEN len(w) < 100 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN words.doc_id > least THEN 16 ELSE 0 END AS mask,
+    coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM words JOIN firsts USING (text) LEFT JOIN marked ON words.doc_id = marked.doc_id
+), counts AS (
+  SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masks GROUP BY part, mask
+), steps(filter_order, step, own, before) AS (VALUES {steps}
+), told AS (
+  SELECT part, filter_order, step, own,
+    sum(CASE WHEN mask & (own | before) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & own <> 0 AND mask & before <> 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM counts CROSS JOIN steps GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM told
+"""
+
+
 #: The others hash words, run automata or fit models, which SQL can't express; tests compare them with brute force.
-ORACLE: dict[str, str] = {"op2_url_filter": _url_sql()}
+ORACLE: dict[str, str] = {
+    "op2_url_filter": _url_sql(), "op11_metric_join": _metric_sql(), "op12_zone_clusters": _clusters_sql(),
+    "op13_filter_audit": _audit_sql(),
+}
