@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from pagestream.llm.common import cut_lineage, schema
 
-#: Vectors of a block.
-BLOCK_ROWS = 512
+#: Vectors of a block; from the smaller number on it ends where the curve enters another cell of its first level.
+BLOCK_ROWS, LEAST_ROWS = 512, 32
 #: Bits of each component that place a vector on the curve.
 CURVE_BITS = 5
 #: Integers up to this keep squared distances and sums of a block within 64 bits.
@@ -129,17 +129,20 @@ def zone_blocks(vectors: DataFrame, scale: int, dim: int, id_col: str, vector_co
         low, high = whole.min(axis=0), whole.max(axis=0)
         return (ids, whole.dtype == object, _bytes(whole), _bytes(low), _bytes(high))
 
+    most, fewest = BLOCK_ROWS, LEAST_ROWS
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, rows = [], []
+        ids, rows, last = [], [], None
         for batch in batches:
             found = []
             own = batch["id"].astype(object).where(batch["id"].notna(), None).tolist()
-            for i, v in zip(own, batch["vec"].to_list()):
-                ids.append(i if i is None or isinstance(i, (str, bytes)) else int(i))
-                rows.append(v)
-                if len(rows) == BLOCK_ROWS:
+            for i, v, cell in zip(own, batch["vec"].to_list(), batch["cell"].to_list()):
+                if len(rows) >= most or len(rows) >= fewest and cell != last:
                     found.append(pack(ids, rows))
                     ids, rows = [], []
+                ids.append(i if i is None or isinstance(i, (str, bytes)) else int(i))
+                rows.append(v)
+                last = cell
             if found:
                 yield pd.DataFrame(found, columns=out.names)
         if rows:
@@ -147,7 +150,7 @@ def zone_blocks(vectors: DataFrame, scale: int, dim: int, id_col: str, vector_co
 
     keyed = kept.withColumn("place", place("vec")).withColumn("tie", F.xxhash64("id", F.monotonically_increasing_id()))
     ordered = keyed.repartitionByRange("place", "tie").sortWithinPartitions("place", "tie")
-    return ordered.select("id", "vec").mapInPandas(cut, out)
+    return ordered.select("id", "vec", F.substring("place", 1, (dim + 7) // 8).alias("cell")).mapInPandas(cut, out)
 
 
 def _bytes(numbers: np.ndarray) -> bytes:

@@ -162,6 +162,7 @@ def brute_clusters(rows, k=16, rounds=3, scale=64, dim=64):
 
 @pytest.mark.parametrize("kind", ["plain", "few", "huge", "ties"])
 def test_clusters_equal_plain_rounds(spark, rows, monkeypatch, kind):
+    monkeypatch.setattr(zone_clusters, "LEAST_ROWS", 4)
     monkeypatch.setattr(zone_clusters, "BLOCK_ROWS", 16)
     rng = np.random.default_rng(8)
     data = vectors_of(rng, 120, groups=(90, 20))
