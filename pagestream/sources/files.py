@@ -1,4 +1,4 @@
-"""Files: tab-separated dumps, text lines with their place, concatenated JSON."""
+"""Files: tab-separated dumps, and text lines with their place."""
 
 from pyspark.sql import functions as F
 
@@ -49,21 +49,3 @@ def scan_lines(spark, path):
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("line_in_task"),
     )
-
-
-def scan_json_objects(spark, path, schema=schemas.CHANGE_EVENT):
-    """JSON objects written one after another, pretty-printed or one per line, as column `e`.
-
-    An object begins at an opening brace in the first column of a line. As a record
-    separator it lets Spark cut large files into splits, where reading a file as
-    one text would not. An object that is broken, or has no type, gives no row.
-    """
-    pieces = spark.read.option("lineSep", "\n{").text(path).where(F.trim(_flat("value")) != "")
-    begun = F.ltrim(_flat("value")).startswith("{")  # the first of a file
-    whole = F.when(begun, F.col("value")).otherwise(F.concat(F.lit("{"), "value"))
-    rows = pieces.select(F.explode(F.array(F.from_json(whole, schema))).alias("e"))
-    return rows.where(F.col("e.type").isNotNull() if "type" in schema.names else F.col("e").isNotNull())
-
-
-def _flat(column):
-    return F.translate(F.col(column), "\r\n\t", "   ")

@@ -1,5 +1,7 @@
 import glob
 import gzip
+import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from pagestream.operators import categories, ordering
 from pagestream.plans import dumps
 from pagestream.plans import expansion
-from pagestream.sources import files, topics
+from pagestream.sources import files, json_objects, topics
 from pagestream.streaming import sinks
 
 
@@ -90,7 +92,7 @@ def test_compact_pretty_and_broken_json_objects(spark, tmp_path):
         '{"type": "edit", "id": 1}\n{"type": "edit", "id": 2}\n{\n  "type": "log",\n  "meta": {\n    "id": "x"\n  },\n  "id": 3\n}\n'
         '{"type": \n{"type": "edit", "id": 4}\n{"id": 5}\n'
     )
-    got = files.scan_json_objects(spark, str(tmp_path / "events"))
+    got = json_objects.scan_json_objects(spark, str(tmp_path / "events"))
     assert sorted(r[0] for r in got.select("e.id").collect()) == [1, 2, 3, 4]
 
 
@@ -138,12 +140,58 @@ def test_concatenated_json(spark, rows, tmp_path, setting, newline, split):
 """
     whole = "".join(document % (i, i * 2) for i in range(20)).rstrip("\n")
     (tmp_path / "events.json").write_bytes(whole.replace("\n", newline).encode())
-    got = files.scan_json_objects(spark, str(tmp_path / "events.json"))
+    got = json_objects.scan_json_objects(spark, str(tmp_path / "events.json"))
     assert rows(got.select("e.id", "e.type", "e.length.new")) == sorted(
         [(i, "edit", i * 2) for i in range(20)], key=repr
     )
 
 
+LAYOUTS = {
+    "side by side": lambda o: json.dumps(o),
+    "blanks": lambda o: "  " + json.dumps(o) + " \t ",
+    "lines": lambda o: json.dumps(o) + "\n",
+    "indented": lambda o: "\n    " + json.dumps(o, indent=4).replace("\n", "\n    "),
+    "unindented": lambda o: json.dumps(o, indent=0) + "\n",
+    "braces first": lambda o: json.dumps(o, indent=0).replace(": {", ":\n{") + "\n\n",
+}
+
+
+@pytest.mark.parametrize("split", ["128MB", "61", "7"])
+def test_json_objects_of_every_layout(spark, tmp_path, setting, split):
+    setting("spark.sql.files.maxPartitionBytes", split)
+    setting("spark.sql.files.openCostInBytes", "0")
+    texts = ['}{ "', '\\"}\\', "} {\n{", "", '"', "\\", "a } { b", "ü}{"]
+    rng, expected = random.Random(12), []
+    for number, layouts in enumerate([[k] for k in LAYOUTS] + [list(LAYOUTS)] * 3):
+        whole = ""
+        for k in range(12):
+            event = {"id": number * 100 + k, "type": "edit", "comment": rng.choice(texts), "length": {"old": k, "new": 2}}
+            expected.append((event["id"], event["comment"]))
+            whole += LAYOUTS[rng.choice(layouts)](event)
+        (tmp_path / f"f{number}.json").write_bytes(whole.rstrip("\n" if number % 2 else "").encode())
+    got = json_objects.scan_json_objects(spark, str(tmp_path)).select("e.id", "e.comment").collect()
+    assert sorted(map(tuple, got)) == sorted(expected)
+    assert json_objects.broken_json_objects(spark, str(tmp_path)).count() == 0
+    numbers = json_objects.scan_json_texts(spark, str(tmp_path)).groupBy("file").agg(F.sort_array(F.collect_list("number")))
+    assert all(r[1] == list(range(12)) for r in numbers.collect())
+
+
+def test_broken_json_objects_are_told_by_number(spark, tmp_path):
+    (tmp_path / "events").write_text('{"type": "edit", "id": 1} {"type": edit} {"id": 3, "type": "log"}{"type": "edit", "id": ')
+    (tmp_path / "blank").write_text(" \n")
+    (tmp_path / "empty").write_text("")
+    got = json_objects.scan_json_objects(spark, str(tmp_path))
+    assert sorted(r[0] for r in got.select("e.id").collect()) == [1, 3]
+    broken = json_objects.broken_json_objects(spark, str(tmp_path)).orderBy("number").collect()
+    assert [(r["number"], r["value"].strip()) for r in broken] == [(1, '{"type": edit}'), (3, '{"type": "edit", "id":')]
+
+
+def test_compressed_json_objects(spark, tmp_path):
+    with gzip.open(tmp_path / "e.json.gz", "wt") as out:
+        out.write("".join('{"type": "edit", "id": %d} ' % i for i in range(300)))
+    assert json_objects.scan_json_objects(spark, str(tmp_path)).count() == 300
+
+
 def test_indexed_csv(spark, tmp_path):
     data = spark.createDataFrame([('say "x", y', "b"), ("a", None)], "prev string, category string")
     sinks.write_indexed_csv(

@@ -7,7 +7,7 @@ from pagestream.operators import aggregates, categories, expand, filters, joins,
 from pagestream.plans import dumps, edits, expansion, page_views, results
 from pagestream.schemas import CATEGORY_REPLY, VIEW
 from pagestream.session import run_dir
-from pagestream.sources import files, topics
+from pagestream.sources import files, json_objects, topics
 from pagestream.streaming import runner, sinks, tables
 from workload import inputs
 
@@ -97,11 +97,13 @@ def change_event_parse(spark, sf_dir):
 
 @query
 def json_concat_scan(spark, sf_dir):
+    """Objects side by side, indented, unindented and pretty, in one folder."""
     folder = run_dir(spark, "json-objects")
-    inputs.change_event_json(spark, sf_dir, pretty=True).write.text(folder)
-    return files.scan_json_objects(spark, folder).select(
+    inputs.mixed_json_objects(spark, sf_dir).write.option("lineSep", " ").text(folder)
+    return json_objects.scan_json_objects(spark, folder).select(
         F.col("e.id").alias("event_id"), "e.type", "e.title", "e.timestamp", "e.wiki",
         F.col("e.meta.domain").alias("domain"), F.col("e.length.new").alias("new_length"),
+        F.col("e.comment").alias("comment"),
     )
 
 

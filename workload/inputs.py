@@ -92,6 +92,24 @@ def change_event_json(spark, sf_dir, pretty=False, keep=()):
     return change_events(spark, sf_dir).select(*keep, text.alias("value"))
 
 
+def mixed_json_objects(spark, sf_dir):
+    """The events as JSON objects of five layouts, by their ids."""
+    events = change_event_json(spark, sf_dir, keep=["event_id"])
+    pretty = change_event_json(spark, sf_dir, pretty=True, keep=["event_id"])
+    both = events.withColumn("kind", F.col("event_id") % 5).where("kind in (0, 1)").unionByName(
+        pretty.withColumn("kind", F.col("event_id") % 5).where("kind > 1")
+    )
+    layouts = {
+        1: F.concat(F.lit("  "), "value", F.lit("\n")),
+        2: F.concat(F.lit("\n    "), F.replace("value", F.lit("\n"), F.lit("\n    "))),
+        3: F.regexp_replace("value", r"\n\s+", "\n"),
+    }
+    value = F.col("value")
+    for kind, layout in layouts.items():
+        value = F.when(F.col("kind") == kind, layout).otherwise(value)
+    return both.select(value.alias("value"))
+
+
 def categories(spark, sf_dir):
     return table(spark, sf_dir, "part").selectExpr(
         "inline(array("

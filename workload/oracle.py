@@ -134,7 +134,7 @@ _sql("change_event_parse", ["change_events"],
         from change_events""")
 _sql("json_concat_scan", ["change_events"],
      """select event_id, type, title, timestamp, wiki, wiki || '.example' as domain,
-               event_id + 7 as new_length from change_events""")
+               event_id + 7 as new_length, 'said "so" {here}' as comment from change_events""")
 
 _sql("top_resource top_resource_stream", ["views", "top_pages"],
      "select key, cast(value as varchar) as value from top_pages")
