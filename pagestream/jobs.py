@@ -32,7 +32,9 @@ def start_counts(spark, broker, checkpoints, wanted=topics.RESULT_TOPICS,
                  sliding_every="60 seconds", partitions=None, bounded=None):
     """Start the wanted queries, each with its own checkpoint, without waiting.
 
-    With `bounded`, a folder, the sliding ranking keeps its table there and has bounded state.
+    With `bounded`, a folder, the rankings of pages and of categories keep their tables
+    there: bounded state for sliding windows, panes for categories, and the changed pages
+    only for the cumulative ranking, which then needs counts that are not negative.
     """
     views = parse.parse_views(broker.lines(spark, topics.PAGE_VIEW_TOPIC))
     edit_rows = parse.parse_edits(broker.lines(spark, topics.EDIT_TOPIC))
@@ -44,12 +46,19 @@ def start_counts(spark, broker, checkpoints, wanted=topics.RESULT_TOPICS,
         topics.TOP_CATEGORIES_TOPIC: lambda *to: edits.start_top_categories(edit_rows, *to),
         topics.WIKI_TOPIC: lambda *to: edits.start_wiki_counts(edit_rows, *to),
     }
-    if bounded:
-        topic = topics.TOP_PAGES_SLIDING_TOPIC
-        starts[topic] = lambda _, checkpoint: page_views.start_top_windows(
-            views, bounded, lambda rows, batch_id: broker.write_results(rows, topic, batch_id),
-            f"{checkpoint}-bounded", every=sliding_every,
+    def kept(start, rows, topic, **more):
+        return lambda _, checkpoint: start(
+            rows, f"{bounded}/{topic}", lambda out, batch_id: broker.write_results(out, topic, batch_id),
+            f"{checkpoint}-bounded", **more,
         )
+
+    if bounded:
+        for topic, start, rows, more in (
+            (topics.TOP_PAGES_TOPIC, page_views.start_top_pages_bounded, views, {}),
+            (topics.TOP_PAGES_SLIDING_TOPIC, page_views.start_top_windows, views, {"every": sliding_every}),
+            (topics.TOP_CATEGORIES_TOPIC, edits.start_category_panes, edit_rows, {}),
+        ):
+            starts[topic] = kept(start, rows, topic, **more)
     with runner.state_partitions(spark, partitions):
         return [
             starts[name](broker.result_sink(name), f"{checkpoints}/{name}") for name in wanted
@@ -117,7 +126,7 @@ def _options():
     count.add_argument("--queries", nargs="+", default=topics.RESULT_TOPICS, choices=topics.RESULT_TOPICS)
     count.add_argument("--sliding-every", default="60 seconds")
     count.add_argument("--state-partitions", type=int)
-    count.add_argument("--bounded", metavar="FOLDER", help="sliding ranking with bounded state, its table kept here")
+    count.add_argument("--bounded", metavar="FOLDER", help="rankings from tables kept here, with less state")
     ingest = jobs.add_parser("ingest")
     ingest.add_argument("--categories", required=True)
     ingest.add_argument("--events-topic", required=True)

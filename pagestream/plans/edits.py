@@ -6,7 +6,7 @@ from pagestream.functions import dates
 from pagestream.operators import aggregates, categories as cats, filters, joins, messages, parse
 from pagestream.schemas import EDIT
 from pagestream.sources import topics
-from pagestream.streaming import runner, sinks
+from pagestream.streaming import runner, sinks, tables
 
 
 def _edits(event_messages):
@@ -43,6 +43,48 @@ def top_categories(edits, wiki="enwiki", noise=filters.NOISE, threshold=5,
     return messages.to_message(filters.at_least(counts, threshold), "categoryText", keep=["window"])
 
 
+def category_panes(edits, wiki="enwiki", noise=filters.NOISE, width_seconds=1800, slide_seconds=120, delay_seconds=1800):
+    """Counts of the same categories per pane of one slide, for update mode and `OpenPanes`.
+
+    The watermark waits until the last window that has a pane is closed.
+    """
+    wanted = filters.without_noise(filters.of_wiki(edits, wiki), noise)
+    watched = _watched(wanted, f"{delay_seconds + width_seconds - slide_seconds} seconds")
+    slide = f"{slide_seconds} seconds"
+    counts = aggregates.windowed_count(watched, "categoryText", "event_time", slide, slide)
+    return messages.to_message(counts, "categoryText", keep=["window"])
+
+
+def pane_handler(panes, publish, threshold=5):
+    """For `batch_sink`: keeps the panes and publishes the windows that a batch changed.
+
+    `publish(rows, batch_id)` gets `key, value, window`, as update mode gives them. A row
+    late for some windows of its pane counts for those that are not closed.
+    """
+
+    def handle(batch, batch_id):
+        panes.update(batch, batch_id)
+        changed = filters.at_least(panes.changed_windows(batch.sparkSession, batch_id), threshold)
+        start = F.col("window_start")
+        window = F.struct(
+            F.timestamp_seconds(start).alias("start"), F.timestamp_seconds(start + panes.width).alias("end")
+        )
+        publish(messages.to_message(changed.withColumn("window", window), "key", keep=["window"]), batch_id)
+
+    return handle
+
+
+def start_category_panes(edits, folder, publish, checkpoint, every="1 minute", threshold=5, drain=False,
+                         width_seconds=1800, slide_seconds=120, delay_seconds=1800, **which):
+    """`start_top_categories` with state per pane; the folder keeps the open panes."""
+    spans = {"width_seconds": width_seconds, "slide_seconds": slide_seconds, "delay_seconds": delay_seconds}
+    panes = tables.OpenPanes(folder, **spans)
+    return runner.start(
+        category_panes(edits, **spans, **which), sinks.batch_sink(pane_handler(panes, publish, threshold)),
+        checkpoint, "update", every, drain,
+    )
+
+
 def wiki_counts(edits, threshold=20, distinct_edits=False,
                 width="5 minutes", slide="1 minute", delay="10 minutes", closed_only=False):
     """Wikis with at least `threshold` rows in a window.

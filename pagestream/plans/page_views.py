@@ -50,6 +50,29 @@ def start_top_pages(views, sink, checkpoint, n=10):
     )
 
 
+def running_page_totals(views):
+    """All page sums as messages, for update mode."""
+    return messages.to_message(aggregates.total_by(views, "curr", "n"), "curr")
+
+
+def start_top_pages_bounded(views, folder, publish, checkpoint, every=None, n=10, drain=False):
+    """The ranking of `start_top_pages` without giving out every page at each trigger.
+
+    A batch gives the pages it changed, and the kept table holds the `n` largest. Exact
+    while no count is negative, see `tables.top_keys`. `publish(rows, batch_id)` gets the
+    ranking of each batch.
+    """
+    table = tables.top_keys(folder, n)
+
+    def handle(batch, batch_id):
+        table.update(batch, batch_id)
+        publish(messages.to_message(table.after(batch.sparkSession, batch_id), "key"), batch_id)
+
+    return runner.start(
+        running_page_totals(views), sinks.batch_sink(handle), checkpoint, mode="update", every=every, drain=drain,
+    )
+
+
 def start_top_pages_sliding(views, sink, checkpoint, time=None, every="60 seconds", n=20, **window):
     return runner.start(
         top_pages_sliding(views, time, n, **window), sink, checkpoint, mode="complete",

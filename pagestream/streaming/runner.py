@@ -52,3 +52,14 @@ def await_any(spark):
 def last_batch(query):
     """Number of the last batch a query ran."""
     return query.lastProgress["batchId"]
+
+
+def late_rows(query):
+    """Rows dropped as later than the watermark, over the batches whose progress is kept.
+
+    Counted behind the map-side combine: rows of one key and window in one task are one.
+    """
+    return sum(
+        state["numRowsDroppedByWatermark"]
+        for progress in query.recentProgress for state in progress["stateOperators"]
+    )

@@ -1,3 +1,5 @@
+import pathlib
+import random
 import time
 
 import pytest
@@ -61,11 +63,7 @@ def test_late_rows_are_dropped_one_batch_later(spark, tmp_path):
         run()
     _put(tmp_path / "in", "d", [_edit(1), _edit(61)])
     query = run()
-    dropped = sum(
-        state["numRowsDroppedByWatermark"]
-        for progress in query.recentProgress for state in progress["stateOperators"]
-    )
-    assert dropped == 5
+    assert runner.late_rows(query) == 5
     rows = spark.read.parquet(str(tmp_path / "out")).withColumn("at", F.unix_seconds("window.start"))
     last = {r["at"]: r["value"] for r in rows.groupBy("at").agg(F.max_by("value", "batch_id").alias("value")).collect()}
     assert last[T0] == "1" and last[T0 + 61 * 60] == "2"
@@ -343,7 +341,7 @@ def test_the_latest_view_takes_the_later_window_of_a_batch(spark, tmp_path):
             spark, broker, str(tmp_path / "c"), str(tmp_path / "view"), latest=True,
             shares=str(tmp_path / "shares"), drain=True,
         ).awaitTermination()
-        kept = spark.read.parquet(f"{tmp_path}/view/slot={batch}").collect()
+        kept = tables.latest_results(str(tmp_path / "view"), broker.result_order).after(spark, batch).collect()
         assert {r["key"]: r["value"] for r in kept} == {"k": 5, "other": 1}
         shown = spark.read.parquet(f"{tmp_path}/shares/slot={batch}").collect()
         assert {r["key"]: float(r["share"]) for r in shown} == {"k": 83.3, "other": 16.7}
@@ -395,9 +393,119 @@ def test_top_windows_keeps_open_windows_and_the_top_of_closed_ones(spark, tmp_pa
         named = spark.createDataFrame(list(rows), "key string, start bigint, value string")
         return named.select("key", F.struct(F.timestamp_seconds("start").alias("start")).alias("window"), "value")
 
-    table.update(batch(("a", 0, "5"), ("b", 0, "-3"), ("c", 0, "-9"), ("d", 600, "1")), 0)
+    table.update(batch(("a", 0, "5"), ("b", 0, "-3"), ("c", 0, "-9"), ("b2", 0, "-3"), ("d", 600, "1")), 0)
     table.update(batch(("d", 600, "-2"), ("e", 600, "-7")), 1)  # a sum may fall while its window is open
-    kept = table.after(spark, 1)
+    assert table.after(spark, 1).count() == 6
+    table.update(batch(("e", 600, "-7")), 2)
+    kept = table.after(spark, 2)
     assert {(r["key"], r["value"]) for r in kept.collect()} == {("a", 5), ("b", -3), ("d", -2), ("e", -7)}
     top = page_views.window_messages(page_views.top_of_latest_windows(kept, 2)).collect()
     assert [(r["key"], r["value"]) for r in top] == [("a", "5"), ("d", "-2")]
+
+
+def _timed_stream(spark, folder):
+    rows = spark.readStream.schema("t long, curr string, n long").json(folder)
+    return rows.withColumn("t", F.timestamp_seconds("t"))
+
+
+def _put_views(tmp_path, name, *views):
+    _put(tmp_path / "in", name, ['{"t": %d, "curr": "%s", "n": %d}' % (T0 + t, page, n) for t, page, n in views])
+
+
+def test_bounded_top_windows_equal_complete_mode_with_negative_and_late_rows(spark, tmp_path):
+    """A row that comes in the batch in which the watermark passes its window still counts."""
+    published = {}
+
+    def stream():
+        rows = spark.readStream.schema("t long, curr string, n long").option("maxFilesPerTrigger", 1)
+        return rows.json(str(tmp_path / "in")).withColumn("t", F.timestamp_seconds("t"))
+
+    def run():
+        with runner.state_partitions(spark, 2):
+            query = page_views.start_top_windows(
+                stream(), str(tmp_path / "kept"),
+                lambda rows, batch_id: published.update({batch_id: [(r["key"], r["value"], r["window"]["start"]) for r in rows.collect()]}),
+                str(tmp_path / "bounded"), time="t", every=None, n=3, drain=True,
+            )
+            query.awaitTermination()
+        return query
+
+    _put_views(tmp_path, "a", (0, "A", 10), (0, "B", 9), (100_000, "Z", 1))
+    time.sleep(1.1)  # files come in order of their times
+    _put_views(tmp_path, "b", (0, "A", -5), (100_010, "Z", 1))
+    assert runner.late_rows(run()) == 0
+    runner.drain(
+        page_views.top_pages_sliding(stream(), "t", 3), sinks.batch_folder_sink(str(tmp_path / "out")),
+        str(tmp_path / "complete"), "complete", 2,
+    )
+    complete = _last_batch(spark, tmp_path / "out").orderBy(F.desc("value"), "window.start").collect()
+    assert [(r["key"], r["value"]) for r in complete] == [("B", "9"), ("B", "9"), ("A", "5")]
+    assert published[max(published)] == [(r["key"], r["value"], r["window"]["start"]) for r in complete]
+    # Two batches on, such rows are late: dropped, and told.
+    _put_views(tmp_path, "c", (0, "B", -9), (0, "C", 50), (200_000, "Z", 1))
+    assert runner.late_rows(run()) == 4
+    assert published[max(published)] == [(r["key"], r["value"], r["window"]["start"]) for r in complete]
+
+
+def test_bounded_top_pages_take_only_what_can_rank(spark, tmp_path):
+    seen, handed = {}, []
+
+    def run():
+        page_views.start_top_pages_bounded(
+            _timed_stream(spark, str(tmp_path / "in")), str(tmp_path / "kept"),
+            lambda rows, batch_id: seen.update({batch_id: [tuple(r) for r in rows.collect()]}),
+            str(tmp_path / "checkpoint"), n=3, drain=True,
+        ).awaitTermination()
+        return seen[max(seen)]
+
+    _put_views(tmp_path, "a", *[(0, f"p{i}", i) for i in range(20)])
+    assert run() == [("p19", "19"), ("p18", "18"), ("p17", "17")]
+    _put_views(tmp_path, "b", (0, "p1", 40), (0, "p17", 1), (0, "p2", 16))
+    assert run() == [("p1", "41"), ("p19", "19"), ("p17", "18")]
+    _put_views(tmp_path, "c", (0, "p3", 15), (0, "p18", 0))
+    assert run() == [("p1", "41"), ("p19", "19"), ("p17", "18")]
+    _put_views(tmp_path, "d", (0, "p2", 2))
+    assert run() == [("p1", "41"), ("p2", "20"), ("p19", "19")]
+
+
+def test_panes_give_the_windows_of_update_mode_with_less_state(spark, tmp_path):
+    rng, states = random.Random(3), {}
+    for number in range(4):
+        minutes = [number * 40 + rng.randrange(60) for _ in range(200)]
+        _put(tmp_path / "in", f"f{number}", [_edit(m, category=rng.choice("abc")) for m in minutes])
+        edit_rows = parse.parse_edits(topics.line_stream(spark, str(tmp_path / "in")))
+        write = lambda rows, batch_id: rows.write.mode("overwrite").parquet(str(tmp_path / f"panes/batch_id={batch_id}"))
+        with runner.state_partitions(spark, 2):
+            query = edits.start_category_panes(edit_rows, str(tmp_path / "kept"), write, str(tmp_path / "c1"), every=None, drain=True)
+            query.awaitTermination()
+        copied = runner.drain(
+            edits.top_categories(edit_rows), sinks.batch_folder_sink(str(tmp_path / "copied")), str(tmp_path / "c2"), "update", 2,
+        )
+        for name, run in (("panes", query), ("copied", copied)):
+            states[name] = max(p["stateOperators"][0]["numRowsUpdated"] for p in run.recentProgress)
+
+    def last(folder):
+        rows = spark.read.parquet(str(tmp_path / folder)).groupBy("key", "window").agg(F.max_by("value", "batch_id").alias("value"))
+        return {(r["key"], r["window"]["start"], r["window"]["end"]): r["value"] for r in rows.collect()}
+
+    assert last("panes") == last("copied") and len(last("panes")) > 100
+    assert states["panes"] * 1.3 < states["copied"]
+
+
+def test_latest_view_writes_the_batch_not_all_keys(spark, tmp_path):
+    sizes, expected = {}, {}
+    for many in (200, 2_000):
+        view = tables.latest_results(str(tmp_path / f"view{many}"))
+        first = spark.range(many).selectExpr("'t' as topic", "concat('k', id) as key", "string(id) as value", "0L as offset")
+        view.update(first, 0)
+        for batch_id in range(1, 20):
+            rows = [("t", f"k{batch_id % 7}", str(batch_id * 10), batch_id), ("t", "late", "1", -batch_id)]
+            view.update(_results(spark, *rows), batch_id)
+            view.update(_results(spark, *rows), batch_id)
+            expected |= {f"k{batch_id % 7}": batch_id * 10}
+        got = {r["key"]: r["value"] for r in view.after(spark, 19).collect()}
+        assert len(got) == many + 1 and {k: got[k] for k in expected} == expected and got["k9"] == 9
+        run = view.runs(18)[0]
+        sizes[many] = sum(f.stat().st_size for f in pathlib.Path(run).glob("*.parquet"))
+        assert len(view.runs(19)) == 6
+    assert sizes[2_000] <= sizes[200] * 1.1

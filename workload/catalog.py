@@ -131,6 +131,25 @@ def top_resource_stream(spark, sf_dir):
     return _last_complete(spark, out)
 
 
+@query
+def top_resource_bounded_stream(spark, sf_dir):
+    """The same in update mode: a kept table of the largest."""
+    table, last = tables.top_keys(run_dir(spark, "top-keys"), 10), {}
+
+    def sink(_out):
+        def handle(batch, batch_id):
+            table.update(batch, batch_id)
+            last["batch"] = batch_id
+
+        return sinks.batch_sink(handle)
+
+    _stream(
+        spark, "top_resource_bounded", inputs.view_lines(spark, sf_dir, keep=["ts"]), "ts",
+        lambda rows: page_views.running_page_totals(parse.parse_views(rows)), "update", sink,
+    )
+    return messages.to_message(table.after(spark, last["batch"]), "key")
+
+
 @query
 def view_window_sum(spark, sf_dir):
     sums = page_views.page_windows(inputs.timed_views(spark, sf_dir), "event_time")
@@ -219,6 +238,25 @@ def event_top_categories(spark, sf_dir):
 
 @query
 def event_top_categories_stream(spark, sf_dir):
+    """State per pane; the windows that a batch changed are made of the kept panes."""
+    lines = inputs.edit_lines(spark, sf_dir, keep=["timestamp"])
+    panes = tables.OpenPanes(run_dir(spark, "open-panes"), 1800, 120, 1800)
+
+    def sink(out):
+        return sinks.batch_sink(edits.pane_handler(
+            panes, lambda rows, batch_id: rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        ))
+
+    out = _stream(
+        spark, "event_top_categories", lines, "timestamp",
+        lambda rows: edits.category_panes(parse.parse_edits(rows)), "update", sink,
+    )
+    return _last_update(spark, out)
+
+
+@query
+def event_top_categories_copied_stream(spark, sf_dir):
+    """The same with each row copied into its windows, in Spark's own state."""
     lines = inputs.edit_lines(spark, sf_dir, keep=["timestamp"])
     out = _stream(
         spark, "event_top_categories", lines, "timestamp",

@@ -136,7 +136,7 @@ _sql("json_concat_scan", ["change_events"],
      """select event_id, type, title, timestamp, wiki, wiki || '.example' as domain,
                event_id + 7 as new_length, 'said "so" {here}' as comment from change_events""")
 
-_sql("top_resource top_resource_stream", ["views", "top_pages"],
+_sql("top_resource top_resource_stream top_resource_bounded_stream", ["views", "top_pages"],
      "select key, cast(value as varchar) as value from top_pages")
 _sql("page_totals", ["views"],
      "select curr, cast(sum(n) as bigint) as value from views group by curr")
@@ -152,7 +152,7 @@ _sql("top_resource_latest_windows", ["views", "page_windows"],
         order by value desc, key, window_start limit 20""")
 
 _sql("category_noise_filter", [*_EDITS, "quiet"], "select * from quiet")
-_sql("event_top_categories event_top_categories_stream", [*_EDITS, "quiet", "category_counts"],
+_sql("event_top_categories event_top_categories_stream event_top_categories_copied_stream", [*_EDITS, "quiet", "category_counts"],
      "select key, cast(value as varchar) as value, window_start from category_counts")
 _sql("event_top_categories_closed_stream", [*_EDITS, "quiet", "category_counts"],
      """select key, cast(value as varchar) as value, window_start from category_counts
