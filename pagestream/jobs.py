@@ -110,7 +110,9 @@ def expand(spark, dump, categories, out, **span):
     views = expansion.with_row_id(files.scan_views(spark, dump))
     partitions = partitions_for(views)
     rows = expansion.single_views(views, expansion.labels_of(categories), partitions=partitions, **span)
-    sinks.write_indexed_csv(expansion.sorted_views(rows, partitions=partitions), out)
+    counted = expansion.view_dates(views, partitions=partitions, **span)
+    within = {name: at for name, at in span.items() if name in ("start", "end")}
+    sinks.write_indexed_csv(expansion.sorted_views(rows, partitions=partitions, counted=counted, **within), out)
 
 
 def _options():

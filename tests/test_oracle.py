@@ -30,5 +30,5 @@ def test_query_equals_sql(spark, connection, name):
 
 
 def test_sorted_views_row_by_row(spark, connection):
-    frame = expansion.sorted_views(catalog._expanded(spark, SF_DIR))
+    frame = catalog._sorted(spark, SF_DIR)
     assert compare(frame, connection, oracle.SORTED_VIEWS) is None

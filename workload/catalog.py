@@ -486,9 +486,21 @@ def view_enrich_cut(spark, sf_dir):
     return categories.with_main_category(views, labels, found, row_id="row_id")
 
 
-def _expanded(spark, sf_dir):
+def _expanded(spark, sf_dir, partitions=None):
     labels = expansion.labels_of(inputs.categories(spark, sf_dir))
-    return expansion.single_views(inputs.titled_views(spark, sf_dir), labels)
+    return expansion.single_views(inputs.titled_views(spark, sf_dir), labels, partitions=partitions)
+
+
+def _sorted(spark, sf_dir):
+    views = inputs.titled_views(spark, sf_dir)
+    partitions = expand.partitions_for(views)
+    counted = expansion.view_dates(views, partitions=partitions)
+    return expansion.sorted_views(_expanded(spark, sf_dir, partitions), partitions=partitions, counted=counted)
+
+
+def _weight(*columns):
+    """16 bits of a hash, so that a sum over rows checks every column of each."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *columns)), 1, 4), 16, 10).cast("bigint")
 
 
 @query
@@ -500,19 +512,18 @@ def expand_views(spark, sf_dir):
         F.count(F.lit(1)).alias("views"),
         F.min("date").alias("first_date"), F.max("date").alias("last_date"),
         F.sum(second).alias("seconds"),
+        F.sum(second * _weight("prev", "curr", "link", "category")).alias("checksum"),
     ).withColumns({c: dates.date_text(F.col(c)) for c in ("first_date", "last_date")})
 
 
 @query
 def expand_views_sorted(spark, sf_dir):
     """Positions in the order of dates, summed up per hour to compare them."""
-    rows = expansion.sorted_views(_expanded(spark, sf_dir))
+    rows = _sorted(spark, sf_dir)
     return rows.groupBy(F.substring("date", 1, 13).alias("hour")).agg(
         F.count(F.lit(1)).alias("views"),
         F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"),
-        F.sum(F.col("idx") * F.length("curr")).alias("idx_by_name"),
-        F.sum(F.col("idx") * F.substring("date", 15, 2).cast("int")).alias("idx_by_minute"),
-        F.sum(F.length("category")).alias("category_length"),
+        F.sum(F.col("idx") * _weight("prev", "curr", "link", "date", "category")).alias("checksum"),
     )
 
 
@@ -550,7 +561,7 @@ def text_functions(spark, sf_dir):
 def csv_roundtrip(spark, sf_dir):
     folder = run_dir(spark, "csv")
     views = inputs.views(spark, sf_dir).select(*VIEW.names, "row_id")
-    ordered = ordering.numbered(ordering.in_order(views, "row_id", *VIEW.names))
+    ordered = ordering.numbered_by(views, "row_id", *VIEW.names)
     sinks.write_indexed_csv(ordered, folder)
     schema = "idx bigint, prev string, curr string, link string, n bigint, row_id string"
     return (

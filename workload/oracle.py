@@ -218,13 +218,13 @@ _sql("expand_views", _EXPANDED,
      """select curr, link, category, cast(day(date) as integer) as day, count(*) as views,
                strftime(min(date), '%Y-%m-%d %H:%M:%S') as first_date,
                strftime(max(date), '%Y-%m-%d %H:%M:%S') as last_date,
-               cast(sum(second) as bigint) as seconds
-        from expanded group by all""")
+               cast(sum(second) as bigint) as seconds,
+               cast(sum(second * cast('0x' || substr(md5(concat_ws('|', prev, curr, link, category)), 1, 4) as bigint)) as bigint) as checksum
+        from expanded group by curr, link, category, day(date)""")
 _sql("expand_views_sorted", [*_EXPANDED, "sorted"],
      """select strftime(date, '%Y-%m-%d %H') as hour, count(*) as views, min(idx) as first_idx,
-               max(idx) as last_idx, cast(sum(idx * length(curr)) as bigint) as idx_by_name,
-               cast(sum(idx * minute(date)) as bigint) as idx_by_minute,
-               cast(sum(length(category)) as bigint) as category_length
+               max(idx) as last_idx,
+               cast(sum(idx * cast('0x' || substr(md5(concat_ws('|', prev, curr, link, strftime(date, '%Y-%m-%d %H:%M:%S'), category)), 1, 4) as bigint)) as bigint) as checksum
         from sorted group by hour""")
 _sql("date_functions", [],
      """select o_orderkey,
