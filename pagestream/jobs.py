@@ -5,9 +5,9 @@
 
     count    the four counting queries side by side
     ingest   change events, looked up in a category table, to the edit topic
-    replay   files of a dump to the page-view topic, one per interval
+    replay   files of a dump, by name, to the page-view topic, one per interval
     tail     the last lines of a dump to the page-view topic
-    split    a dump into files of a number of lines
+    split    a dump into files of a number of lines, in line order
     view     the largest or last result per key, kept over the result topics
     events   the newest change events, kept over their topic
     expand   a dump to single dated views, as CSV
@@ -18,6 +18,8 @@ With `--topics-folder` in place of `--servers` topics are folders of files.
 import argparse
 import time
 
+from pyspark.sql import types as T
+
 from pagestream.operators import parse
 from pagestream.operators.expand import partitions_for
 from pagestream.plans import dumps, edits, expansion, page_views, results
@@ -65,25 +67,28 @@ def start_counts(spark, broker, checkpoints, wanted=topics.RESULT_TOPICS,
         ]
 
 
-def start_ingest(spark, broker, checkpoints, categories, events_topic, by_batch=False):
+def start_ingest(spark, broker, checkpoints, categories, events_topic, by_batch=False, parts=None):
     """`categories` is a table with the columns of `schemas.CATEGORY`.
 
-    `by_batch` looks for hot titles in each micro-batch and cuts them.
+    `by_batch` looks for hot titles in each micro-batch and cuts them. With `parts` the table
+    is laid out by `sinks.write_by_hash` in that many parts, and a batch reads its own only.
     """
     events = broker.lines(spark, events_topic)
-    if by_batch:
+    if by_batch or parts:
         return edits.start_edit_lines_by_batch(
             events, categories,
             lambda rows, batch_id: broker.write_lines(rows, topics.EDIT_TOPIC, "ingest-by-batch", batch_id),
-            f"{checkpoints}/ingest-by-batch",
+            f"{checkpoints}/ingest-by-batch", parts=parts,
         )
     sink = broker.line_sink(topics.EDIT_TOPIC, "ingest")
     return edits.start_edit_lines(events, categories, sink, f"{checkpoints}/ingest")
 
 
 def start_replay(spark, broker, checkpoints, folder, every="60 seconds"):
-    sink = broker.line_sink(topics.PAGE_VIEW_TOPIC, "replay")
-    return dumps.replay_dump(spark, folder, sink, f"{checkpoints}/replay", every=every)
+    return dumps.replay_dump(
+        spark, folder, lambda rows, batch_id: broker.write_lines(rows, topics.PAGE_VIEW_TOPIC, "replay", batch_id),
+        f"{checkpoints}/replay", every=every,
+    )
 
 
 def tail(spark, broker, dump, n=200):
@@ -133,6 +138,7 @@ def _options():
     ingest.add_argument("--categories", required=True)
     ingest.add_argument("--events-topic", required=True)
     ingest.add_argument("--by-batch", action="store_true", help="cut titles that are hot in a batch")
+    ingest.add_argument("--parts", type=int, help="the table lies in this many parts by hash; a batch reads its own")
     replay = jobs.add_parser("replay")
     replay.add_argument("folder")
     replay.add_argument("--every", default="60 seconds")
@@ -165,18 +171,20 @@ def main(arguments=None):
     broker = FileTopics(chosen.topics_folder) if chosen.topics_folder else KafkaTopics(chosen.servers)
     known = None
     if getattr(chosen, "categories", None):
-        known = spark.read.schema(CATEGORY).parquet(chosen.categories)
+        laid_out = getattr(chosen, "parts", None)
+        schema = T.StructType([*CATEGORY.fields, T.StructField("part", T.IntegerType())]) if laid_out else CATEGORY
+        known = spark.read.schema(schema).parquet(chosen.categories)
     if chosen.job == "expand":
         return expand(spark, chosen.dump, known, chosen.out)
     if chosen.job == "tail":
         return tail(spark, broker, chosen.dump, chosen.n)
     if chosen.job == "split":
-        return dumps.split_dump(spark.read.text(chosen.dump), chosen.out, chosen.rows_per_file)
+        return dumps.split_files(spark, chosen.dump, chosen.out, chosen.rows_per_file)
     to = (spark, broker, chosen.checkpoints)
     if chosen.job == "count":
         start_counts(*to, chosen.queries, chosen.sliding_every, chosen.state_partitions, chosen.bounded)
     elif chosen.job == "ingest":
-        start_ingest(*to, known, chosen.events_topic, chosen.by_batch)
+        start_ingest(*to, known, chosen.events_topic, chosen.by_batch, chosen.parts)
     elif chosen.job == "replay":
         start_replay(*to, chosen.folder, chosen.every)
     elif chosen.job == "events":

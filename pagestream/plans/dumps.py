@@ -1,8 +1,5 @@
 """Dumps: cut into files, replayed at a set pace, looked at from the end."""
 
-import re
-from urllib.parse import unquote
-
 from pagestream.operators import ordering
 from pagestream.sources import files
 from pagestream.streaming import replay, sinks
@@ -11,12 +8,13 @@ ROWS_PER_FILE = 50_000
 
 
 def split_dump(lines, folder, rows_per_file=ROWS_PER_FILE):
+    """Files of at most that many lines, for rows that lie in no order."""
     sinks.write_split_files(lines, folder, rows_per_file)
 
 
-def _literal(name):
-    """A listed file as a path to read: without percent codes, nothing in it a pattern."""
-    return re.sub(r"([\\*?{}\[\]])", r"\\\1", unquote(name))
+def split_files(spark, path, folder, rows_per_file=ROWS_PER_FILE):
+    """The lines of a dump in files of that many lines, in line order by name."""
+    sinks.write_numbered_lines(files.numbered_lines(spark, path), folder, rows_per_file)
 
 
 def last_lines(spark, path, n=200):
@@ -25,12 +23,13 @@ def last_lines(spark, path, n=200):
     names = sorted(files.scan_lines(spark, path).inputFiles())
     taken = 1
     while True:
-        lines = files.scan_lines(spark, [_literal(name) for name in names[-taken:]] or path)
+        lines = files.scan_lines(spark, [replay.literal(name) for name in names[-taken:]] or path)
         if taken >= len(names) or lines.limit(n).count() == n:
             break
         taken *= 2
     return ordering.tail_lines(lines, n)
 
 
-def replay_dump(spark, folder, sink, checkpoint, **pace):
-    return replay.replay_folder(spark, folder, sink, checkpoint, **pace)
+def replay_dump(spark, folder, write, checkpoint, **pace):
+    """The files of a folder by name; `write(lines, batch_id)` gets those of each batch."""
+    return replay.replay_by_name(spark, folder, write, checkpoint, **pace)

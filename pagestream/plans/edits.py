@@ -104,19 +104,32 @@ def start_edit_lines(event_messages, categories, sink, checkpoint, **join):
     return runner.start(edit_lines(event_messages, categories, **join), sink, checkpoint)
 
 
-def start_edit_lines_by_batch(event_messages, categories, write, checkpoint, every=None, drain=False):
+def of_titles(categories, rows, parts):
+    """The part of a table laid out by `sinks.write_by_hash` that the rows' titles lie in.
+
+    The list of parts has at most `parts` numbers. Other parts are not opened.
+    """
+    wanted = rows.select(sinks.hash_part("title", parts).alias("part")).distinct().collect()
+    return categories.where(F.col("part").isin([r["part"] for r in wanted])).drop("part")
+
+
+def start_edit_lines_by_batch(event_messages, categories, write, checkpoint, every=None, drain=False, parts=None):
     """For streams where one page may hold much of a micro-batch and is not known before.
 
     `write(lines, batch_id)` gets the lines of each batch, at least once. Hot titles
-    are looked for in each batch, those of the category table once.
+    are looked for in each batch, those of the category table once. A table with a column
+    `part`, laid out by `sinks.write_by_hash` in `parts` parts, is read for each batch only
+    where the batch's titles lie.
     """
     hot_categories = joins.hot_values(filters.visible(categories), "title")
+    whole = categories
 
     def handle(batch, batch_id):
         rows = _edits(batch).persist()
         try:
             hot_edits = joins.hot_values(rows, "title")
             hot = F.col("title").isin(*hot_edits, *hot_categories)
+            categories = of_titles(whole, rows, parts) if parts else whole
             # What is not hot is joined with the table where it lies.
             joined = cats.with_categories(
                 rows.where(~hot), categories, hot_edits={}, hot_categories={}

@@ -1,5 +1,6 @@
 """Files: tab-separated dumps, and text lines with their place."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagestream import schemas
@@ -49,3 +50,19 @@ def scan_lines(spark, path):
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("line_in_task"),
     )
+
+
+def numbered_lines(spark, path):
+    """`value, line`: lines with their number from 0, files in the order of their names.
+
+    Splits are counted first, a row per split; what lies before each is added to a line's
+    number in its split.
+    """
+    lines = scan_lines(spark, path)
+    split = ["file", "block_start"]
+    counts = lines.groupBy(*split).agg(F.count(F.lit(1)).alias("rows"), F.min("line_in_task").alias("first"))
+    earlier = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("rows").over(earlier), F.lit(0)) - F.col("first")
+    return lines.join(counts.select(*split, before.alias("shift")), split).select(
+        "value", (F.col("line_in_task") + F.col("shift")).alias("line")
+    )

@@ -1,5 +1,7 @@
 """Sinks. Each takes a stream writer and returns it ready to start."""
 
+from pyspark.sql import functions as F
+
 
 def kafka_sink(servers, topic):
     """Writes `key` (if there is one) and `value`; select these first."""
@@ -46,6 +48,30 @@ def write_split_files(lines, folder, rows_per_file=50_000):
     lines.write.option("maxRecordsPerFile", rows_per_file).text(folder)
 
 
+def write_numbered_lines(numbered, folder, rows_per_file=50_000, most_tasks=10_000):
+    """Text files of exactly `rows_per_file` lines, but for the last, that follow each other by name.
+
+    Takes `value, line` with lines numbered from 0. A task writes one file, or of very many
+    files some that follow each other.
+    """
+    files = -(-((numbered.agg(F.max("line")).first()[0] or 0) + 1) // rows_per_file)
+    each = -(-files // most_tasks)
+    task = F.floor(F.col("line") / F.lit(rows_per_file * each)).cast("int")
+    ordered = numbered.repartitionById(-(-files // each), task).sortWithinPartitions("line")
+    ordered.select("value").write.option("maxRecordsPerFile", rows_per_file).text(folder)
+
+
+def hash_part(column, parts):
+    """The folder of a value in what `write_by_hash` wrote."""
+    return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
+
+
+def write_by_hash(rows, folder, column, parts):
+    """Parquet in folders `part=<hash of a column>`: a reader that knows its values opens few of them."""
+    placed = rows.withColumn("part", hash_part(column, parts))
+    placed.repartition("part").write.mode("overwrite").partitionBy("part").parquet(folder)
+
+
 def write_views(views, folder, compression="none"):
     """Raw tab-separated files, as `scan_views` reads them."""
     writer = views.write.option("sep", "\t").option("quote", "").option("emptyValue", "")

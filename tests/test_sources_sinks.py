@@ -216,6 +216,23 @@ def test_split_files_hold_at_most_n_lines(spark, tmp_path):
     assert sum(sizes) == 1050 and max(sizes) <= 100
 
 
+@pytest.mark.parametrize("split", ["128MB", "700"])
+def test_split_files_hold_exactly_n_lines_in_order(spark, tmp_path, setting, split):
+    setting("spark.sql.files.maxPartitionBytes", split)
+    setting("spark.sql.files.openCostInBytes", "0")
+    lines = [f"line {i} " + "x" * (i * 31 % 57) + (" é" if i % 9 else "") for i in range(1037)]
+    (tmp_path / "dump").mkdir()
+    for name, (a, b) in {"b": (300, 1037), "a": (0, 299), "a1": (299, 300)}.items():
+        (tmp_path / "dump" / name).write_text("".join(f"{x}\n" for x in lines[a:b]))
+    dumps.split_files(spark, str(tmp_path / "dump"), str(tmp_path / "split"), 100)
+    found = [open(f).read().splitlines() for f in sorted(glob.glob(f"{tmp_path}/split/part-*"))]
+    assert [len(f) for f in found] == [100] * 10 + [37] and sum(found, []) == lines
+    numbered = files.numbered_lines(spark, str(tmp_path / "dump"))
+    sinks.write_numbered_lines(numbered, str(tmp_path / "few"), 100, most_tasks=3)
+    found = [open(f).read().splitlines() for f in sorted(glob.glob(f"{tmp_path}/few/part-*"))]
+    assert [len(f) for f in found] == [100] * 10 + [37] and sum(found, []) == lines
+
+
 def test_file_topics_keep_name_and_batch(spark, rows, tmp_path):
     data = spark.createDataFrame([("k", "1")], "key string, value string")
     for topic in ("top_resource", "event_wikitype", "elsewhere"):

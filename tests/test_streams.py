@@ -1,5 +1,7 @@
+import os
 import pathlib
 import random
+import re
 import time
 
 import pytest
@@ -170,6 +172,59 @@ def test_replay_takes_one_file_per_batch(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out")).count() == 95
 
 
+def test_replay_goes_by_name_and_on_after_a_restart(spark, tmp_path):
+    def put(name, seconds):
+        _put(tmp_path / "in", name, [f"{name} {i}" for i in range(3)])
+        os.utime(tmp_path / "in" / name, (T0 + seconds,) * 2)
+
+    sent = []
+
+    def run(fail_at=None):
+        def write(rows, batch_id):
+            got = [r[0] for r in rows.collect()]
+            sent.append((batch_id, got[0].split()[0], len(got)))
+            if len(sent) == fail_at:
+                raise RuntimeError("lost")
+
+        return dumps.replay_dump(spark, str(tmp_path / "in"), write, str(tmp_path / "c"), drain=True)
+
+    for at, name in enumerate(["d", "c", "b", "a"]):  # times against names
+        put(name, at)
+    with pytest.raises(Exception, match="lost"):
+        run(fail_at=2)
+    run()
+    names = [name for _, name, _ in sent]
+    assert names == ["a", "b", "b", "c", "d"] and {n for *_, n in sent} == {3}
+    put("bb", 9)
+    put("a{1}", 8)
+    run()
+    assert [name for _, name, _ in sent][5:] == ["a{1}", "bb"]
+    numbers = [number for number, *_ in sent]
+    assert numbers == sorted(numbers) and numbers[1] == numbers[2]
+
+
+def test_a_batch_reads_the_parts_its_titles_lie_in(spark, tmp_path, rows):
+    known = spark.range(400).selectExpr(
+        "concat('Page_', id) as title", "0 as pos", "concat('Category:C', id) as category", "false as hidden"
+    )
+    sinks.write_by_hash(known, str(tmp_path / "known"), "title", 50)
+    table = spark.read.parquet(str(tmp_path / "known"))
+    few = spark.createDataFrame([("Page_3",), ("Page_77",), ("nowhere",)], "title string")
+    read = edits.of_titles(table, few, 50)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[.*part#\d+L? IN|PartitionFilters: \[part#\d+ IN", plan)
+    assert read.select(F.input_file_name()).distinct().count() <= 3 and read.where("title = 'Page_77'").count() == 1
+    event = '{"id": %d, "type": "edit", "title": "Page_%d", "timestamp": 1, "wiki": "w"}'
+    _put(tmp_path / "in", "a", [event % (i, i * 7 % 500) for i in range(30)])
+    edits.start_edit_lines_by_batch(
+        topics.line_stream(spark, str(tmp_path / "in")), table,
+        lambda out, batch_id: out.write.mode("overwrite").text(f"{tmp_path}/out/batch_id={batch_id}"),
+        str(tmp_path / "c"), drain=True, parts=50,
+    ).awaitTermination()
+    batch = edits.edit_lines(spark.read.text(str(tmp_path / "in")), known)
+    assert rows(spark.read.text(str(tmp_path / "out")).select("value")) == rows(batch)
+
+
 def _results(spark, *rows):
     return spark.createDataFrame(rows, "topic string, key string, value string, offset long")
 

@@ -360,20 +360,32 @@ def edit_lines_stream(spark, sf_dir):
     return spark.read.text(out)
 
 
-@query
-def edit_lines_by_batch_stream(spark, sf_dir):
-    """Hot titles found and cut in each micro-batch."""
+def _by_batch(spark, sf_dir, known, parts=None):
     base = run_dir(spark, "edit-lines-by-batch")
     events = inputs.change_event_json(spark, sf_dir)
     events.write.option("maxRecordsPerFile", 50_000).text(f"{base}/in")
     edits.start_edit_lines_by_batch(
-        topics.line_stream(spark, f"{base}/in", 1), inputs.categories(spark, sf_dir),
+        topics.line_stream(spark, f"{base}/in", 1), known,
         lambda rows, batch_id: rows.write.mode("overwrite").text(f"{base}/out/batch_id={batch_id}"),
-        f"{base}/checkpoint", drain=True,
+        f"{base}/checkpoint", drain=True, parts=parts,
     ).awaitTermination()
     return spark.read.text(f"{base}/out").select("value")
 
 
+@query
+def edit_lines_by_batch_stream(spark, sf_dir):
+    """Hot titles found and cut in each micro-batch."""
+    return _by_batch(spark, sf_dir, inputs.categories(spark, sf_dir))
+
+
+@query
+def edit_lines_by_part_stream(spark, sf_dir):
+    """Each micro-batch reads the parts of the category table that its titles lie in."""
+    folder, parts = run_dir(spark, "categories-by-hash"), 64
+    sinks.write_by_hash(inputs.categories(spark, sf_dir), folder, "title", parts)
+    return _by_batch(spark, sf_dir, spark.read.parquet(folder), parts)
+
+
 # Results.
 
 
@@ -588,9 +600,10 @@ def gzip_scan(spark, sf_dir):
 
 
 def _split(spark, sf_dir):
-    folder = run_dir(spark, "split")
-    dumps.split_dump(inputs.view_lines(spark, sf_dir), folder)
-    return folder
+    base = run_dir(spark, "split")
+    inputs.view_lines(spark, sf_dir).write.text(f"{base}/dump")
+    dumps.split_files(spark, f"{base}/dump", f"{base}/files")
+    return f"{base}/files"
 
 
 @query
@@ -600,12 +613,14 @@ def split_files(spark, sf_dir):
 
 @query
 def replay_stream(spark, sf_dir):
+    """Files by name, one per batch."""
     base = run_dir(spark, "replay")
     dumps.replay_dump(
-        spark, _split(spark, sf_dir), sinks.line_folder_sink(f"{base}/out"),
+        spark, _split(spark, sf_dir),
+        lambda rows, batch_id: rows.write.mode("overwrite").text(f"{base}/out/batch_id={batch_id}"),
         f"{base}/checkpoint", drain=True,
-    ).awaitTermination()
-    return spark.read.text(f"{base}/out")
+    )
+    return spark.read.text(f"{base}/out").select("value")
 
 
 @query

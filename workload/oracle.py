@@ -184,7 +184,7 @@ _sql("category_first_page", [],
           from part)
         select reply_id, title, cast(unnest(range(0, len(texts))) as integer) as pos,
                unnest(texts) as category from chosen""")
-_sql("edit_lines edit_lines_stream edit_lines_by_batch_stream", _EDITS,
+_sql("edit_lines edit_lines_stream edit_lines_by_batch_stream edit_lines_by_part_stream", _EDITS,
      """select timestamp || chr(9) || wiki || chr(9) || title || chr(9) || categoryText as value
         from edits""")
 
