@@ -6,8 +6,11 @@ text minus place in the window). So shared q-grams are counted in overlapping di
 bands that reach the bound are kept, and a banded alignment verifies each of them.
 
 Texts are compared in lower case, with every run of signs other than letters and digits as one
-space. The benchmark is the stated query set: it goes to the tasks in blocks of bounded size,
-and each block meets all texts.
+space. Short windows use shorter grams, so the bound holds at the same rate of edits; those too
+short for one edit must occur exactly, as whole words. The benchmark is the stated query set:
+it goes to the tasks in blocks of bounded size. With more than one block a bitmap of all its
+grams finds, in one pass over the texts, the few that may hold a window; only these meet the
+blocks, one after another.
 """
 
 from __future__ import annotations
@@ -17,34 +20,36 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagestream.llm.common import schema
+from pagestream.llm.common import cut_lineage, free_name, schema
 
+#: Code points of a gram; fewer for windows that could not keep the bound with so many.
 Q = 10
 #: Code points of a window; shorter items are one window.
 WINDOW = 100
 #: Edits allowed per code point of a window.
 EDIT_RATE = 0.08
-#: Items with fewer code points, after normalising, are too short to tell and match nothing.
-MIN_ITEM = 24
 #: Code points of items sent to the tasks at a time.
 BLOCK_CHARS = 2_000_000
 #: Code points of texts looked at together in a task.
 _TOGETHER = 50_000
 _BITS = 23
+#: Bits of the bitmap of all grams of a benchmark of many blocks, as a power of two.
+_ALL_BITS = 27
 
 RESULT = schema("item_id long, start long, end long, edits long, windows long")
 
 
 def _fold_table() -> np.ndarray:
-    """For code points below 0x3000: the lower-case form, where it is one code point; 0 for no letter or digit."""
-    out = np.zeros(0x3000, np.uint32)
+    """For each code point of the first two planes: the lower-case form, where it is one code point; 0 for no letter or digit."""
+    out = np.zeros(0x20000, np.uint32)
     for code in range(len(out)):
-        low = chr(code).lower()
-        if chr(code).isalnum():
+        sign = chr(code)
+        if sign.isalnum():
+            low = sign.lower()
             out[code] = ord(low) if len(low) == 1 else code
     return out
 
@@ -60,7 +65,8 @@ def normalised(text: str) -> tuple[np.ndarray, np.ndarray]:
     low = _FOLD[0][np.minimum(raw, len(_FOLD[0]) - 1)]
     far = raw >= len(_FOLD[0])
     if far.any():
-        low = np.where(far, raw, low)
+        low = low.copy()
+        low[far] = [code if chr(code).isalnum() else 0 for code in raw[far].tolist()]
     letter = low != 0
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # a run's first sign stands for it
@@ -70,26 +76,32 @@ def normalised(text: str) -> tuple[np.ndarray, np.ndarray]:
     return codes, places
 
 
-def gram_hashes(codes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the Q codes from each place."""
-    n = len(codes) - Q + 1
+def gram_hashes(codes: np.ndarray, q: int = Q) -> np.ndarray:
+    """A 64-bit hash of the q codes from each place."""
+    n = len(codes) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     base = [1]
-    while len(base) <= Q:
+    while len(base) <= q:
         base.append(base[-1] * 0x9E3779B97F4A7C15 % 2**64)
     one = codes.astype(np.uint64)
-    two = one[:-1] * np.uint64(base[1]) + one[1:]
-    four = two[:-2] * np.uint64(base[2]) + two[2:]
-    eight = four[:-4] * np.uint64(base[4]) + four[4:]
-    ten = eight[:n] * np.uint64(base[2]) + two[8:8 + n]
-    return (ten ^ (ten >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    if q == 10:
+        two = one[:-1] * np.uint64(base[1]) + one[1:]
+        four = two[:-2] * np.uint64(base[2]) + two[2:]
+        eight = four[:-4] * np.uint64(base[4]) + four[4:]
+        whole = eight[:n] * np.uint64(base[2]) + two[8:8 + n]
+    else:
+        whole = np.zeros(n, np.uint64)
+        for at in range(q):
+            whole += one[at:at + n] * np.uint64(base[q - 1 - at])
+    return (whole ^ (whole >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
 class Window(NamedTuple):
     item: int
     codes: np.ndarray
     edits: int
+    q: int
     least: int
 
 
@@ -97,33 +109,53 @@ def windows_of(item: int, text: str | None) -> list[Window]:
     codes = normalised(text or "")[0]
     if len(codes) and codes[-1] == 32:
         codes = codes[:-1]
-    if len(codes) < MIN_ITEM:
+    if len(codes) and codes[0] == 32:
+        codes = codes[1:]
+    if not len(codes):
         return []
     size = min(WINDOW, len(codes))
     starts = sorted({*range(0, len(codes) - size + 1, WINDOW // 2), len(codes) - size})
     edits = int(size * EDIT_RATE)
-    while size + 1 - Q * (edits + 1) < 1:
-        edits -= 1
-    return [Window(item, codes[s:s + size], edits, size + 1 - Q * (edits + 1)) for s in starts]
+    q = min(Q, size // (edits + 1))
+    return [Window(item, codes[s:s + size], edits, q, size + 1 - q * (edits + 1)) for s in starts]
 
 
 class Index:
-    """Windows of a block of items, and where their q-grams are."""
+    """Windows of a block of items, and where their grams are, by the length of the grams."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.windows = [w for item, text in items for w in windows_of(item, text)]
-        hashes = [gram_hashes(w.codes) for w in self.windows]
+        self.grams = [Grams(self.windows, q) for q in sorted({w.q for w in self.windows}, reverse=True)]
+
+
+class Grams:
+    """The windows whose grams have q codes."""
+
+    def __init__(self, windows: list[Window], q: int):
+        self.windows, self.q = windows, q
+        own = [i for i, w in enumerate(windows) if w.q == q]
+        hashes = [gram_hashes(windows[i].codes, q) for i in own]
         at = np.concatenate([*hashes, np.zeros(0, np.uint64)])
         order = np.argsort(at, kind="stable")
         self.grams = at[order]
-        self.of = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])[order]
-        self.place = np.concatenate([*(np.arange(len(h)) for h in hashes), np.zeros(0, int)]).astype(np.int64)[order]
+        self.of = np.repeat(np.array(own, np.int32), [len(h) for h in hashes])[order]
+        self.place = np.concatenate([*(np.arange(len(h), dtype=np.int32) for h in hashes), np.zeros(0, np.int32)])[order]
         self.marks = np.zeros(1 << _BITS, bool)
         self.marks[(at >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        self.least = min((w.least for w in self.windows), default=1 << 62)
-        self.edits = max((w.edits for w in self.windows), default=0)
-        self.sizes = np.array([w.least for w in self.windows])
-        self.room = np.array([w.edits for w in self.windows])
+        self.least = min(windows[i].least for i in own)
+        self.reach = max(len(windows[i].codes) + windows[i].edits for i in own)  # codes that a match can span
+        self.sizes = np.array([w.least for w in windows])
+        self.room = np.array([w.edits for w in windows])
+
+    def whole_words(self, codes: np.ndarray, window: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Exact matches of windows without an edit, among hits of their first grams."""
+        found, n = [], len(codes)
+        for w, s in zip(window.tolist(), start.tolist()):
+            target = self.windows[w].codes
+            e = s + len(target)
+            if e <= n and (s == 0 or codes[s - 1] == 32) and (e == n or codes[e] == 32) and (codes[s:e] == target).all():
+                found.append((w, s, e, 0))
+        return found
 
     def search(self, codes: np.ndarray, hashes: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(window, start, end, edits) in `codes`: the best region of each window and band that is verified."""
@@ -134,14 +166,20 @@ class Index:
             return []
         text_at = np.repeat(hit, many)
         post = np.arange(many.sum()) + np.repeat(low - (np.cumsum(many) - many), many)
-        window, diagonal = self.of[post], text_at - self.place[post]
+        window, place = self.of[post].astype(np.int64), self.place[post]
+        diagonal = text_at - place
+        exact = self.room[window] == 0
+        found = []
+        if exact.any():
+            first = exact & (place == 0)
+            found = self.whole_words(codes, window[first], text_at[first])
+            window, diagonal = window[~exact], diagonal[~exact]
         # Each hit counts in the two bands of 2 (k + 1) diagonals that cover it: a match's diagonals lie in one.
         width = self.room[window] + 1
         band = np.floor_divide(diagonal, width)
         key = np.concatenate([window * 2**40 + (band + 2**20), window * 2**40 + (band + 2**20 - 1)])
         own, first, counts = np.unique(key, return_index=True, return_counts=True)
         full = counts >= self.sizes[np.concatenate([window, window])[first]]
-        found = []
         regions: list[list[int]] = []  # [window, first band, last band]; bands that overlap are aligned together
         for k in own[full].tolist():
             w, b = k >> 40, (k & (2**40 - 1)) - 2**20
@@ -219,24 +257,27 @@ def merged(index: Index, hits: list[tuple[int, int, int, int]], places: np.ndarr
 
 def search_texts(texts: list[str | None], index: Index) -> list[list[tuple]]:
     """For each text the rows of `merged`. Texts are hashed together, hits stay within a text."""
-    out: list[list[tuple]] = []
+    return [merged(index, hits, places, length) if hits else [] for hits, places, length in _hits(texts, index)]
+
+
+def _hits(texts: list[str | None], index: Index) -> Iterator[tuple[list, np.ndarray, int]]:
     held: list[tuple[np.ndarray, np.ndarray, int]] = []
 
-    def flush() -> None:
-        if not held:
-            return
-        hashes = gram_hashes(np.concatenate([c for c, _, _ in held]))
-        marked = np.concatenate([[0], np.cumsum(index.marks[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)])])
-        at = 0
-        for codes, places, length in held:
-            n = max(0, len(codes) - Q + 1)
-            sums = marked[at:at + n + 1]
-            reach = min(n, WINDOW + index.edits)  # grams that a match can span
-            if n and (sums[reach:] - sums[:n + 1 - reach]).max() >= index.least:
-                out.append(merged(index, index.search(codes, hashes[at:at + n]), places, length))
-            else:
-                out.append([])
-            at += len(codes)
+    def flush() -> Iterator[tuple[list, np.ndarray, int]]:
+        together = np.concatenate([np.zeros(0, np.uint32), *(c for c, _, _ in held)])
+        found: list[list] = [[] for _ in held]
+        for grams in index.grams:
+            hashes = gram_hashes(together, grams.q)
+            marked = np.concatenate([[0], np.cumsum(grams.marks[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)])])
+            at = 0
+            for own, (codes, _, _) in zip(found, held):
+                n = max(0, len(codes) - grams.q + 1)
+                sums = marked[at:at + n + 1]
+                reach = min(n, grams.reach)
+                if n and (sums[reach:] - sums[:n + 1 - reach]).max() >= grams.least:
+                    own += grams.search(codes, hashes[at:at + n])
+                at += len(codes)
+        yield from ((own, places, length) for own, (_, places, length) in zip(found, held))
         held.clear()
 
     size = 0
@@ -245,10 +286,40 @@ def search_texts(texts: list[str | None], index: Index) -> list[list[tuple]]:
         held.append((codes, places, len(text or "")))
         size += len(codes)
         if size >= _TOGETHER:
-            flush()
+            yield from flush()
             size = 0
-    flush()
-    return out
+    yield from flush()
+
+
+class Marks:
+    """Which grams a whole benchmark has, in a bitmap of fixed size, by the length of the grams."""
+
+    def __init__(self):
+        self.bits: dict[int, np.ndarray] = {}
+        self.least: dict[int, int] = {}
+        self.reach: dict[int, int] = {}
+
+    def add(self, index: Index) -> None:
+        for grams in index.grams:
+            q = grams.q
+            bits = self.bits.setdefault(q, np.zeros(1 << (_ALL_BITS - 3), np.uint8))
+            at = np.unique(grams.grams >> np.uint64(64 - _ALL_BITS)).astype(np.int64)
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            self.least[q] = min(self.least.get(q, 1 << 62), grams.least)
+            self.reach[q] = max(self.reach.get(q, 0), grams.reach)
+
+    def maybe(self, text: str | None) -> bool:
+        """False where the text holds no window, for certain."""
+        codes = normalised(text or "")[0]
+        for q, bits in self.bits.items():
+            at = (gram_hashes(codes, q) >> np.uint64(64 - _ALL_BITS)).astype(np.int64)
+            if not len(at):
+                continue
+            sums = np.concatenate([[0], np.cumsum(bits[at >> 3] >> (at & 7) & 1, dtype=np.int64)])
+            reach = min(len(at), self.reach[q])
+            if (sums[reach:] - sums[:len(sums) - reach]).max() >= self.least[q]:
+                return True
+        return False
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[tuple[int, str], ...]]:
@@ -265,50 +336,95 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[
         yield tuple(block)
 
 
+def _sent_blocks(spark: SparkSession, benchmark: DataFrame, id_col: str, text_col: str) -> Iterator:
+    """Each block as a broadcast that goes when the next is asked for."""
+    for block in _blocks(benchmark, id_col, text_col):
+        sent = spark.sparkContext.broadcast(block)
+        yield sent
+        sent.unpersist()
+
+
+def _suspects(docs: DataFrame, benchmark: DataFrame, id_col: str, item_col: str, item_text_col: str, text_col: str, out: str) -> DataFrame:
+    """`docs`, kept, with whether a text may hold a window of a benchmark of many blocks: one pass over all texts."""
+    marks = Marks()
+    for block in _blocks(benchmark, item_col, item_text_col):
+        marks.add(Index(list(block)))
+    sent = docs.sparkSession.sparkContext.broadcast(marks)  # a bitmap of fixed size for each length of grams
+
+    @F.pandas_udf(T.BooleanType())
+    def maybe(texts: pd.Series) -> pd.Series:
+        return pd.Series([sent.value.maybe(t) for t in texts], dtype=bool)
+
+    return cut_lineage(docs.withColumn(out, maybe(F.col(text_col))))
+
+
+def _more_than_one(benchmark: DataFrame, id_col: str, text_col: str) -> bool:
+    blocks = _blocks(benchmark, id_col, text_col)
+    return next(blocks, None) is not None and next(blocks, None) is not None
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """(id, item_id, start, end, edits, windows) for each row and item that it holds a window of.
 
-    start and end are code points of the text. Null and empty texts and items match nothing.
-    Repeated rows each give rows; other columns are not read. No shuffle: a pass over the
-    texts for each block of the benchmark.
+    start and end are code points of the text. Null and empty texts and items match nothing, nor
+    does an item without a letter or digit. Repeated rows each give rows; other columns are not
+    read. No shuffle: one pass over the texts, and with more than one block one more for each
+    block over those texts that the first pass leaves.
     """
-    spark, parts = docs.sparkSession, []
-    for block in _blocks(benchmark, item_col, item_text_col):
-        sent = spark.sparkContext.broadcast(block)
-
-        def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            index = Index(list(sent.value))  # once a task, and gone with it
-            for batch in batches:
-                rows = [
-                    (place, *row)
-                    for place, found in zip(batch.index, search_texts(batch["text"].tolist(), index)) for row in found
-                ]
-                out = pd.DataFrame(rows, columns=["place", *RESULT.names]).set_index("place")
-                yield batch[["id"]].join(out, how="inner")[["id", *RESULT.names]]
-
-        narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        kinds = narrow.select("id").schema.add(RESULT.fields[0])
-        for field in RESULT.fields[1:]:
-            kinds = kinds.add(field)
-        parts.append(narrow.mapInPandas(search, kinds))
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    many = _more_than_one(benchmark, item_col, item_text_col)
+    if many:
+        narrow = _suspects(narrow, benchmark, "id", item_col, item_text_col, "text", "maybe").where("maybe").drop("maybe")
+    kinds = T.StructType([*narrow.select("id").schema.fields, *RESULT.fields])
+    parts = []
+    for sent in _sent_blocks(docs.sparkSession, benchmark, item_col, item_text_col):
+        found = narrow.mapInPandas(_searcher(sent), kinds)
+        parts.append(cut_lineage(found) if many else found)
     if not parts:
-        empty = docs.select(F.col(id_col).alias("id"))
-        parts = [empty.select("id", *(F.lit(None).cast(f.dataType).alias(f.name) for f in RESULT.fields)).where(F.lit(False))]
+        parts = [narrow.select("id", *(F.lit(None).cast(f.dataType).alias(f.name) for f in RESULT.fields)).where(F.lit(False))]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out.withColumnRenamed("id", id_col)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the rows whose text holds a window of an item; all columns stay."""
-    clean = docs
-    for block in _blocks(benchmark, "item_id", "text"):
-        clean = clean.where(~_leaks(docs.sparkSession.sparkContext.broadcast(block))(F.col(text_col)))
-    return clean
+def _searcher(sent):
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = Index(list(sent.value))  # once a task, and gone with it
+        for batch in batches:
+            rows = [
+                (place, *row)
+                for place, found in zip(batch.index, search_texts(batch["text"].tolist(), index)) for row in found
+            ]
+            out = pd.DataFrame(rows, columns=["place", *RESULT.names]).set_index("place")
+            yield batch[["id"]].join(out, how="inner")[["id", *RESULT.names]]
+
+    return search
+
+
+def drop_leaks(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    item_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
+    """`docs` without the rows whose text holds a window of an item; all columns and other rows stay.
+
+    Null and empty texts stay. With more than one block the rows that may hold a window are cut
+    down block by block, each cut written before the next.
+    """
+    spark = docs.sparkSession
+    if not _more_than_one(benchmark, item_col, item_text_col):
+        for sent in _sent_blocks(spark, benchmark, item_col, item_text_col):
+            return docs.where(~_leaks(sent)(F.col(text_col)))
+        return docs
+    name = free_name(docs, "maybe")
+    marked = _suspects(docs, benchmark, id_col, item_col, item_text_col, text_col, name)
+    left = marked.where(F.col(name))
+    for sent in _sent_blocks(spark, benchmark, item_col, item_text_col):
+        left = cut_lineage(left.where(~_leaks(sent)(F.col(text_col))))
+    return marked.where(~F.col(name)).unionByName(left).drop(name)
 
 
 def _leaks(sent):

@@ -20,8 +20,8 @@ from pagestream.llm.common import schema
 
 #: Bytes of the longest context.
 ORDER = 4
-#: The fit looks at no more texts of a language than this, by a hash of their ids, and at none longer than this.
-TEXTS_PER_LANGUAGE, LONGEST = 400, 20_000
+#: The fit looks at no more texts of a language than this, by a hash of their ids, and at no more code points of them.
+TEXTS_PER_LANGUAGE, CODES_PER_LANGUAGE = 400, 2_000_000
 _TOGETHER = 200_000
 UNKNOWN = "und"
 
@@ -194,24 +194,39 @@ def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
 def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """The trees of every language in rows for which `usable` holds.
 
-    The sample is TEXTS_PER_LANGUAGE whole texts of at most LONGEST code points for each language;
-    it is all that the driver gets.
+    The sample is TEXTS_PER_LANGUAGE texts of each language, the smallest by a hash, of whatever
+    length; where they have more than CODES_PER_LANGUAGE code points, the fit reads so many. It
+    is all that the driver gets. Repeated rows count once; a table without rows, or without
+    texts, gives a model without languages. Hashes above a bar that follows from a language's
+    number of texts never leave their task, so no task gathers a language.
     """
-    rows = docs.where(usable & F.col(lang_col).isNotNull() & (F.length(text_col) <= LONGEST) & (F.length(text_col) > 0))
-    keys = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(text_col)).alias("h"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id", "h"), "id", "h")
-    chosen = keys.withColumn("n", F.row_number().over(order)).where(F.col("n") <= TEXTS_PER_LANGUAGE).drop("n").distinct()
+    rows = docs.where(usable & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(
+        F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.length(text_col).alias("size"),
+    )
+    keyed = rows.withColumn("h", F.xxhash64("id", F.xxhash64("text")))
+    many = keyed.groupBy("lang").agg(F.approx_count_distinct("h").alias("many"))
+    # About twice as many as wanted pass the bar: too few would, far from ever, only make the sample smaller.
+    share = F.shiftrightunsigned("h", 11) / F.lit(float(2**53))
+    near = keyed.join(F.broadcast(many), "lang").where(share * F.col("many") <= 2 * TEXTS_PER_LANGUAGE)
+    near = near.select("lang", "h", "size").distinct()
+    order = Window.partitionBy("lang").orderBy("h")
+    before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    chosen = near.withColumns({"n": F.row_number().over(order), "before": F.coalesce(before, F.lit(0))}).where(
+        (F.col("n") <= TEXTS_PER_LANGUAGE) & (F.col("before") < CODES_PER_LANGUAGE)
+    )
+    picked = keyed.join(F.broadcast(chosen.select("lang", "h", "before")), ["lang", "h"])  # TEXTS_PER_LANGUAGE rows a language
+    room = (F.lit(CODES_PER_LANGUAGE) - F.col("before")).cast("int")
     texts: dict[str, list[bytes]] = {}
-    picked = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(
-        F.broadcast(chosen), ["id", "lang"]  # TEXTS_PER_LANGUAGE rows a language
-    ).where(F.xxhash64("text") == F.col("h")).select("lang", "text").distinct()
-    for lang, text in sorted(map(tuple, picked.collect())):
+    for lang, text in sorted(map(tuple, picked.select("lang", F.substring("text", F.lit(1), room)).distinct().collect())):
         texts.setdefault(lang, []).append(text.encode())
     return train(texts)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) for each row; a null text or one without a letter is UNKNOWN. Other columns are not read."""
+    """(id, lang_pred, score) for each row; a null text or one without a letter is UNKNOWN.
+
+    Repeated rows each give a row, an empty table none. Other columns are not read.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     @F.pandas_udf(schema("lang_pred string, score double"))

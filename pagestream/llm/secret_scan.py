@@ -3,7 +3,8 @@
 A text is read as source or configuration: pairs of a name and a literal are lexed
 (`name = "x"`, `"name": "x"`, `NAME=x`, `name := x`, `name: type = "x"`, joined parts), a name
 set to a constant carries it on to where the name is the value, and each literal is scored by
-how sensitive its target names are and how much it looks like a key. Fixed patterns for
+how sensitive its target names are and how much it looks like a key or a passphrase. A name
+set inside an indented block is known until a line with less indentation. Fixed patterns for
 assignments, access keys and long hex runs are found beside it.
 """
 
@@ -34,7 +35,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 
 _NAME = re.compile(
-    r"""(?<![\w$.-])(["']?)([A-Za-z_$][\w$.-]{0,127})\1\]?[ \t]*(:=|=>|=(?![=>])|:(?![:/]))[ \t]*"""
+    r"""(?<![\w$.-])(["']?)([A-Za-z_$][\w$.-]*)\1\]?[ \t]*(:=|=>|=(?![=>])|:(?![:/]))[ \t]*"""
 )
 _VALUE = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([^\s"'`,;(){}\[\]<>&|+]+)""")
 _JOIN = re.compile(r"[ \t]*\+[ \t]*(?=[\"'`\w$])")
@@ -52,6 +53,15 @@ SENSITIVE = {
 }
 #: Parts that make a following "key" sensitive.
 _KEY_OF = {"api", "access", "private", "secret", "signing", "encryption", "master", "account", "client", "auth"}
+#: From here on a name is sensitive enough for words with blanks between them; so many words, none of these, make a passphrase.
+PHRASE_OF, PHRASE_WORDS = 0.9, 4
+# Words of messages and descriptions.
+_PLAIN_WORDS = frozenset(
+    "a an and are as at be by can cannot do does enter for forgot from has have if in incorrect invalid is it its least missing must my no not "
+    "of on or our please required reset should that the this to too use used was wrong you your will with".split()
+)
+_PHRASE = re.compile(r"[A-Za-z0-9'_-]+(?:[ \t]+[A-Za-z0-9'_-]+)+")
+_INDENT = re.compile(r"^([ \t]*)\S", re.MULTILINE)
 #: A literal counts from this product of sensitivity and strength on.
 THRESHOLD = 0.5
 
@@ -73,11 +83,11 @@ def sensitivity(name: str) -> float:
 
 
 def strength(literal: str, quoted: bool) -> float:
-    """0 to 1: length, mix and entropy of a literal; 0 for placeholders and short ones.
+    """0 to 1: length, mix and entropy of a literal; 0 for placeholders, short ones and those with blanks.
 
     A bare word needs both letters and digits, so "secret: happiness" in prose is none.
     """
-    if len(literal) < 8 or _PLACEHOLDER.match(literal) or any(c.isspace() for c in literal):
+    if len(literal) < 8 or _PLACEHOLDER.match(literal) or any(map(str.isspace, literal)):
         return 0.0
     kinds = sum(map(bool, (re.search("[a-z]", literal), re.search("[A-Z]", literal), re.search(r"\d", literal), re.search(r"[^\w]", literal))))
     if not quoted and not (re.search(r"\d", literal) and re.search(r"[A-Za-z]", literal)):
@@ -87,6 +97,14 @@ def strength(literal: str, quoted: bool) -> float:
     return min(1.0, bits / 3.5 + 0.1 * (kinds - 1))
 
 
+def is_passphrase(literal: str, name: str) -> bool:
+    """Several different words under the name of a password, none of them a word of messages."""
+    if not _PHRASE.fullmatch(literal) or sensitivity(name) < PHRASE_OF:
+        return False
+    words = literal.lower().split()
+    return len(set(words)) >= PHRASE_WORDS and len(literal) >= 16 and _PLAIN_WORDS.isdisjoint(words)
+
+
 def base_spans(text: str) -> list[Span]:
     found = []
     if ":" in text or "=" in text:
@@ -105,9 +123,20 @@ def literal_spans(text: str) -> list[Span]:
     if ":" not in text and "=" not in text:
         return []
     known: dict[str, tuple] = {}
+    scopes: list[tuple[int, str, tuple | None]] = []  # names set in blocks: indentation, and what they were before
     found: set[Span] = set()
-    at = 0
+    at = line = depth = 0
     while m := _NAME.search(text, at):
+        for begun in _INDENT.finditer(text, line, m.end()):
+            indent = len(begun[1])
+            while scopes and scopes[-1][0] > indent:
+                _, old, before = scopes.pop()
+                if before is None:
+                    known.pop(old, None)
+                else:
+                    known[old] = before
+            line = begun.end()
+            depth = indent
         name, pieces, pos = m[2], [], m.end()
         while v := _VALUE.match(text, pos):
             quote = v.lastindex or 0
@@ -128,10 +157,13 @@ def literal_spans(text: str) -> list[Span]:
                 break
             pos = j.end()
         if pieces:
-            known[name] = known[name.rpartition(".")[2]] = tuple(pieces)
+            for each in {name, name.rpartition(".")[2]}:
+                if depth:
+                    scopes.append((depth, each, known.get(each)))
+                known[each] = tuple(pieces)
             whole = "".join(p[0] for p in pieces)
             quoted = any(p[3] for p in pieces)
-            if sensitivity(name) * strength(whole, quoted) >= THRESHOLD:
+            if sensitivity(name) * strength(whole, quoted) >= THRESHOLD or quoted and is_passphrase(whole, name):
                 found.update(Span("literal", s, e, s) for _, s, e, _ in pieces if e > s)
         at = max(pos, m.end())
     return sorted(found, key=lambda s: s.start)
@@ -144,9 +176,14 @@ def _ordered(spans: list[Span]) -> list[Span]:
 def find_secrets(text: str | None) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans); a literal that lies in a base span isn't listed again."""
     text = text or ""
-    base = base_spans(text)
-    more = [s for s in literal_spans(text) if not any(b.start <= s.start and s.end <= b.end for b in base)]
-    return _ordered(base), _ordered(base + more)
+    base = _ordered(base_spans(text))
+    more, at, reach = [], 0, 0
+    for s in literal_spans(text):  # both in order of their starts
+        while at < len(base) and base[at].start <= s.start:
+            reach, at = max(reach, base[at].end), at + 1
+        if s.end > reach:
+            more.append(s)
+    return base, _ordered(base + more)
 
 
 def joined(spans: list[Span]) -> str:

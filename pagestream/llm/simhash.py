@@ -20,12 +20,12 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagestream.llm.common import cut_lineage, free_name
-from pagestream.llm.components import components
+from pagestream.llm.components import components, joined_by_hub
 
 BYTES = 8
 MAX_BITS = 4
@@ -147,7 +147,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = cut_lineage(near_groups(nodes.select("fp", "weight")))
     named = nodes.join(groups, "fp", "left").select("fp", "least", F.coalesce("group", "fp").alias("group"))
     least = named.groupBy("group").agg(F.min("least").alias("component_id"))
-    by_print = named.join(least, "group").select("fp", "component_id")
+    by_print = joined_by_hub(named, least, "group", "fp").select("fp", "component_id")
     return marked.join(by_print, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
@@ -157,8 +157,10 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     A group whose ids are all null keeps one of its rows by that hash.
     """
     found = near_duplicates(docs, id_col, text_col)
-    keep = found.select(F.col("component_id").alias("_keep")).distinct()
-    rank, row = free_name(docs, "_rank"), [F.col(f"`{c}`") for c in docs.columns]
-    kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
-    order = Window.partitionBy(F.col(id_col)).orderBy(F.xxhash64(*row))
-    return kept.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)
+    id_name, row = free_name(docs, "kept_id"), free_name(docs, "kept_row")
+    keep = found.select(F.col("component_id").alias(id_name)).distinct()
+    kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col(id_name)), "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    # Combined on the map side, so very many rows of one id do not meet.
+    first = kept.groupBy(F.col(f"`{id_col}`").alias(id_name)).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias(row))
+    return first.select(*[F.col(f"`{row}`.`{c}`").alias(c) for c in docs.columns])

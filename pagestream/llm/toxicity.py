@@ -184,13 +184,14 @@ def fit(
     """The model, from rows of `docs` for which `usable` holds and their labels, at most SAMPLE_ROWS.
 
     Rows without a label take part in the label model. Several labels of an id count as the
-    largest. What reaches the driver is bounded: TERMS terms and the sampled rows' term numbers.
+    largest; repeated rows count once, rows of one id with other texts for themselves. What reaches the driver is bounded: TERMS terms and the sampled rows' term numbers.
     """
     given = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    ids = docs.where(usable & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct().join(given, "id", "left")
-    chosen = ids.orderBy(F.col("label").isNull(), F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = cut_lineage(rows.join(F.broadcast(chosen), "id"))  # at most SAMPLE_ROWS ids
+    narrow = docs.where(usable & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    keys = narrow.select("id", F.xxhash64("text").alias("h")).distinct().join(given, "id", "left")
+    chosen = keys.orderBy(F.col("label").isNull(), F.xxhash64("id"), "id", "h").limit(SAMPLE_ROWS)
+    picked = narrow.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["id", "h"])  # at most SAMPLE_ROWS keys
+    rows = cut_lineage(picked.groupBy("id", "h").agg(F.first("label").alias("label"), F.first("text").alias("text")))
 
     counted = rows.where("label is not null").select("label", F.explode(_terms("text")).alias("term"))
     sums = counted.groupBy("term").agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n"))
@@ -217,7 +218,7 @@ def fit(
     def features(texts: pd.Series) -> pd.Series:
         return pd.Series([draft.features(t) for t in texts], dtype=object)
 
-    sample = rows.select("label", features("text").alias("f")).toPandas()  # at most SAMPLE_ROWS ids
+    sample = rows.select("label", features("text").alias("f")).toPandas()  # at most SAMPLE_ROWS rows
     lists = [list(map(int, f)) for f in sample["f"]]
     marks = sample["label"].fillna(-1).to_numpy(int)
     columns = {c: k for k, c in enumerate([*voters, *range(len(terms), len(terms) + len(PATTERNS))])}
