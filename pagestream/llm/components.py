@@ -9,9 +9,9 @@ from pagestream.llm.common import cut_lineage
 from pagestream.operators.joins import hot_values, skew_join
 
 
-def joined_by_hub(rows: DataFrame, values: DataFrame, key: str, row_id: str) -> DataFrame:
-    """`rows` with the one row of `values` for their key, keys with many rows dealt to several tasks."""
-    return skew_join(rows, values, [key], hot_left=hot_values(rows, key), left_id=row_id)
+def joined_by_hub(rows: DataFrame, values: DataFrame, key: str, row_id: str, how: str = "inner") -> DataFrame:
+    """`rows` with the one row of `values` for their key, keys with many rows dealt to several tasks by `row_id`."""
+    return skew_join(rows, values, [key], how, hot_left=hot_values(rows, key), left_id=row_id)
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Nulls and loops are ignored; no link gives no row. A step keeps at most as many links as
     before, a hub's links are combined on the map side, and the joins' hot keys are split by
-    adaptive execution. Each round is a reliable checkpoint. Ends when the links no longer
+    hot_values and skew_join. Each round is a reliable checkpoint. Ends when the links no longer
     change: then every node points at its smallest one.
     """
     links = links.select("a", "b").where(F.col("a") != F.col("b")).distinct()
