@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagestream.session import shared_dir
+
 KINDS = {"long": T.LongType(), "string": T.StringType(), "binary": T.BinaryType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "int": T.IntegerType()}
 
 
@@ -38,15 +39,9 @@ def fold(name: str, parts: int) -> Column:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """`df` as a reliable checkpoint in the folder that spark.checkpoint.dir names.
 
-    A session without one (tests, local runs) gets a folder below its warehouse.
+    A local session without one (tests) gets a temporary folder; on a cluster that is an error.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None)
-            or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints")
-        )
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
