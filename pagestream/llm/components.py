@@ -9,9 +9,11 @@ from pagestream.llm.common import cut_lineage
 from pagestream.operators.joins import hot_values, skew_join
 
 
-def joined_by_hub(rows: DataFrame, values: DataFrame, key: str, row_id: str, how: str = "inner") -> DataFrame:
-    """`rows` with the one row of `values` for their key, keys with many rows dealt to several tasks by `row_id`."""
-    return skew_join(rows, values, [key], how, hot_left=hot_values(rows, key), left_id=row_id)
+def joined_by_hub(
+    rows: DataFrame, values: DataFrame, key: str, row_id: str, how: str = "inner", share: float = 0.02
+) -> DataFrame:
+    """`rows` with the one row of `values` for their key, keys with that share of the rows dealt to several tasks by `row_id`."""
+    return skew_join(rows, values, [key], how, hot_left=hot_values(rows, key, share), left_id=row_id)
 
 
 def _large_star(links: DataFrame) -> DataFrame:
