@@ -15,8 +15,10 @@ HEADLINE = (
     "event_wikitype event_wikitype_distinct change_event_parse json_concat_scan category_enrich "
     "edit_lines result_top_n result_share latest_events page_main_category view_enrich "
     "expand_views expand_views_sorted csv_roundtrip gzip_scan tail_lines "
-    "top_resource_stream top_resource_sliding_stream top_resource_latest_windows "
+    "top_resource_stream top_resource_bounded_stream top_resource_sliding_stream "
+    "top_resource_sliding_bounded_stream top_resource_latest_windows "
     "event_top_categories_stream event_wikitype_stream edit_lines_stream result_view_stream "
+    "result_view_latest_stream "
     "latest_events_stream replay_stream"
 ).split()
 
