@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pagestream.functions import dates
+from pagestream.functions import dates, text
 from pagestream.operators import aggregates, categories as cats, filters, joins, messages, parse
 from pagestream.schemas import EDIT
 from pagestream.sources import topics
@@ -24,6 +24,13 @@ def edit_lines(event_messages, categories, **join):
     return messages.to_lines(enriched_edits(event_messages, categories, **join), *EDIT.names)
 
 
+def edit_messages(event_messages, categories, **join):
+    """The lines as `value`, and as `key` the event's id, by which its lines are one edit."""
+    rows = enriched_edits(event_messages, categories, keep=["event_id"], **join)
+    key = F.col("event_id").cast("string").alias("key")
+    return rows.select(key, text.tab_joined(*[F.col(c) for c in EDIT.names]).alias("value"))
+
+
 def _watched(edits, delay):
     timed = edits.withColumn("event_time", dates.event_time(F.col("timestamp")))
     return timed.withWatermark("event_time", delay)
@@ -85,16 +92,20 @@ def start_category_panes(edits, folder, publish, checkpoint, every="1 minute", t
     )
 
 
-def wiki_counts(edits, threshold=20, distinct_edits=False,
+def wiki_counts(edits, threshold=20, distinct_edits=False, edit_id=None,
                 width="5 minutes", slide="1 minute", delay="10 minutes", closed_only=False):
     """Wikis with at least `threshold` rows in a window.
 
     A row is an edit and one of its categories. With `distinct_edits` an edit counts
-    once, whatever its number of categories; as lines hold no edit id, two edits of one
-    page in one second are one.
+    once, whatever its number of categories. `edit_id` names the column that tells edits
+    apart, as the key of `edit_messages` does; a stream then remembers an id as long as the
+    watermark waits. Lines alone hold no id: two edits of one page in one second are one.
     """
     watched = _watched(edits, delay)
-    if distinct_edits:
+    if distinct_edits and edit_id:
+        once = watched.dropDuplicatesWithinWatermark if watched.isStreaming else watched.dropDuplicates
+        watched = once([edit_id])
+    elif distinct_edits:
         watched = watched.dropDuplicates(["event_time", "wiki", "title"])
     counts = aggregates.windowed_count(watched, "wiki", "event_time", width, slide, closed_only)
     return messages.to_message(filters.at_least(counts, threshold), "wiki", keep=["window"])

@@ -114,13 +114,16 @@ def _judged(spark, path, schema):
     def record(text):
         return F.from_json(text, wide, {"columnNameOfCorruptRecord": _BROKEN})
 
+    def judged(text, e):
+        return F.struct(text.alias("value"), e.alias("e"))
+
     texts = scan_json_texts(spark, path).withColumn("e", F.explode(F.array(record("value"))))
     broken = F.coalesce(F.col(f"e.{_BROKEN}").isNotNull(), F.lit(True))
-    whole = texts.where(~broken).select("file", "number", "value", "e")
-    parts = F.explode(F.split("value", r"\r?\n(?=\{)"))
-    cut = texts.where(broken).select("file", "number", parts.alias("value")).where(F.col("value").rlike(r"\S"))
-    both = whole.unionByName(cut.withColumn("e", F.explode(F.array(record("value")))))
-    return both.withColumn("broken", F.coalesce(F.col(f"e.{_BROKEN}").isNotNull(), F.lit(True)))
+    parts = F.filter(F.split("value", r"\r?\n(?=\{)"), lambda part: part.rlike(r"\S"))
+    again = F.transform(parts, lambda part: judged(part, record(part)))
+    one = F.array(judged(F.col("value"), F.col("e")))
+    rows = texts.select("file", "number", F.inline(F.when(broken, again).otherwise(one)))
+    return rows.withColumn("broken", F.coalesce(F.col(f"e.{_BROKEN}").isNotNull(), F.lit(True)))
 
 
 def scan_json_objects(spark, path, schema=schemas.CHANGE_EVENT):

@@ -107,6 +107,26 @@ def test_distinct_edits_in_update_mode(spark, tmp_path):
     assert [r["value"] for r in rows.orderBy("batch_id").collect()] == ["1", "2"]
 
 
+def test_edits_are_told_apart_by_their_id_with_state_that_stays_flat(spark, tmp_path):
+    kept = []
+    for number in range(5):
+        minute = number * 30
+        lines = [
+            '{"timestamp": %d, "wiki": "enwiki", "key": "%s"}' % (T0 + minute * 60, key)
+            for key in [f"{number}a", f"{number}a", f"{number}b"]  # two edits of a page in one second, one on two lines
+        ]
+        _put(tmp_path / "in", f"f{number}", lines)
+        rows = spark.readStream.schema("timestamp long, wiki string, key string").json(str(tmp_path / "in"))
+        query = runner.drain(
+            edits.wiki_counts(rows, threshold=1, distinct_edits=True, edit_id="key"),
+            sinks.batch_folder_sink(str(tmp_path / "out")), str(tmp_path / "c"), "update", 2,
+        )
+        kept.append(sum(s["numRowsTotal"] for s in query.recentProgress[-1]["stateOperators"]))
+    values = spark.read.parquet(str(tmp_path / "out"))
+    assert {r[0] for r in values.groupBy("window").agg(F.max_by("value", "batch_id")).select("max_by(value, batch_id)").collect()} == {"2"}
+    assert kept[-1] <= kept[1]
+
+
 def test_closed_windows_equal_the_batch(spark, tmp_path):
     lines = [_edit(m / 3, category=c) for m in range(60) for c in ("Cats", "Dogs")[: 1 + m % 2]]
     build = lambda rows: edits.top_categories(rows, threshold=2, closed_only=True)

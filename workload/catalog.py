@@ -31,17 +31,19 @@ def _in_time_order(rows, time, chunks=3):
         yield rows.where((F.col(time) >= low) & (F.col(time) < low + step))
 
 
-def _stream(spark, name, rows, time, build, mode, sink=None, timed=False):
+def _stream(spark, name, rows, time, build, mode, sink=None, timed=False, keep=()):
     """Feed the `value` lines step by step to a stream that ends and starts again
     on its checkpoint for each step; returns the folder of its output.
 
-    `timed` lines carry their time in a column beside them, as messages of a broker do.
+    `timed` lines carry their time in a column beside them, as messages of a broker do, and
+    what else `keep` names, as text.
     """
     base = run_dir(spark, name)
     for step in _in_time_order(rows, time):
         if timed:
-            step.select(time, "value").write.mode("append").parquet(f"{base}/in")
-            stream = build(spark.readStream.schema(f"{time} bigint, value string").parquet(f"{base}/in"))
+            step.select(time, *keep, "value").write.mode("append").parquet(f"{base}/in")
+            schema = ", ".join([f"{time} bigint", *(f"{name} string" for name in keep), "value string"])
+            stream = build(spark.readStream.schema(schema).parquet(f"{base}/in"))
         else:
             step.select("value").write.mode("append").text(f"{base}/in")
             stream = build(topics.line_stream(spark, f"{base}/in"))
@@ -308,6 +310,19 @@ def event_wikitype_distinct_stream(spark, sf_dir):
     return _last_update(spark, out)
 
 
+@query
+def event_wikitype_distinct_id_stream(spark, sf_dir):
+    """Edits told apart by the id that their messages carry."""
+    out = _stream(
+        spark, "event_wikitype_distinct_id", inputs.edit_messages(spark, sf_dir, keep=["timestamp"]), "timestamp",
+        lambda rows: edits.wiki_counts(
+            parse.parse_edits(rows, keep=["key"]), threshold=5, distinct_edits=True, edit_id="key"
+        ),
+        "update", timed=True, keep=["key"],
+    )
+    return _last_update(spark, out)
+
+
 @query
 def edit_filter_project(spark, sf_dir):
     return filters.edits_only(_events(spark, sf_dir))

@@ -147,6 +147,16 @@ def edits(spark, sf_dir):
     return kept.join(shown, "title").select("timestamp", "wiki", "title", "categoryText")
 
 
+def edit_messages(spark, sf_dir, keep=()):
+    """The lines with the id of their event as key."""
+    shown = categories(spark, sf_dir).where("not hidden").selectExpr(
+        "title", "replace(category, 'Category:', '') as categoryText"
+    )
+    rows = change_events(spark, sf_dir).where("type = 'edit'").join(shown, "title")
+    line = F.concat_ws("\t", F.col("timestamp").cast("string"), "wiki", "title", "categoryText")
+    return rows.select(*keep, F.col("event_id").cast("string").alias("key"), line.alias("value"))
+
+
 def edit_lines(spark, sf_dir, keep=()):
     line = F.concat_ws("\t", F.col("timestamp").cast("string"), "wiki", "title", "categoryText")
     return edits(spark, sf_dir).select(*keep, line.alias("value"))

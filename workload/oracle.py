@@ -164,6 +164,13 @@ _sql("event_wikitype_distinct event_wikitype_distinct_stream", _EDITS,
                cast(count(*) as varchar) as value
         from (select distinct timestamp, wiki, title from edits) cross join range(0, 5) t(i)
         group by all having count(*) >= 5""")
+_sql("event_wikitype_distinct_id_stream", _EDITS[:2],
+     """select wiki as key, (timestamp // 60) * 60 - i * 60 as window_start,
+               cast(count(*) as varchar) as value
+        from (select * from change_events e where type = 'edit' and exists (
+                select 1 from categories c where c.title = e.title and not c.hidden))
+          cross join range(0, 5) t(i)
+        group by all having count(*) >= 5""")
 _sql("edit_filter_project", ["change_events"],
      "select event_id, timestamp, wiki, title from change_events where type = 'edit'")
 _sql("category_enrich", _EDITS, "select * from edits")
