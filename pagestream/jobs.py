@@ -31,13 +31,16 @@ from pagestream.streaming.brokers import FileTopics, KafkaTopics
 
 
 def start_counts(spark, broker, checkpoints, wanted=topics.RESULT_TOPICS,
-                 sliding_every="60 seconds", partitions=None, bounded=None):
+                 sliding_every="60 seconds", partitions=None, bounded=None, shared=False):
     """Start the wanted queries, each with its own checkpoint, without waiting.
 
     With `bounded`, a folder, the rankings of pages and of categories keep their tables
     there: bounded state for sliding windows, panes for categories, and the changed pages
     only for the cumulative ranking, which then needs counts that are not negative.
+    With `shared` too, both queries over edits, if wanted, are one that reads the topic once.
     """
+    if shared and not bounded:
+        raise ValueError("shared needs the folder of bounded")
     views = parse.parse_views(broker.lines(spark, topics.PAGE_VIEW_TOPIC))
     edit_rows = parse.parse_edits(broker.lines(spark, topics.EDIT_TOPIC))
     starts = {
@@ -61,6 +64,11 @@ def start_counts(spark, broker, checkpoints, wanted=topics.RESULT_TOPICS,
             (topics.TOP_CATEGORIES_TOPIC, edits.start_category_panes, edit_rows, {}),
         ):
             starts[topic] = kept(start, rows, topic, **more)
+    if shared and {topics.TOP_CATEGORIES_TOPIC, topics.WIKI_TOPIC} <= set(wanted):
+        wanted = [name for name in wanted if name != topics.WIKI_TOPIC]
+        starts[topics.TOP_CATEGORIES_TOPIC] = lambda *_: edits.start_shared_counts(
+            edit_rows, f"{bounded}/edits", broker.write_results, f"{checkpoints}/edits-shared"
+        )
     with runner.state_partitions(spark, partitions):
         return [
             starts[name](broker.result_sink(name), f"{checkpoints}/{name}") for name in wanted
@@ -134,6 +142,7 @@ def _options():
     count.add_argument("--sliding-every", default="60 seconds")
     count.add_argument("--state-partitions", type=int)
     count.add_argument("--bounded", metavar="FOLDER", help="rankings from tables kept here, with less state")
+    count.add_argument("--shared", action="store_true", help="with --bounded: both queries over edits from one read")
     ingest = jobs.add_parser("ingest")
     ingest.add_argument("--categories", required=True)
     ingest.add_argument("--events-topic", required=True)
@@ -182,7 +191,7 @@ def main(arguments=None):
         return dumps.split_files(spark, chosen.dump, chosen.out, chosen.rows_per_file)
     to = (spark, broker, chosen.checkpoints)
     if chosen.job == "count":
-        start_counts(*to, chosen.queries, chosen.sliding_every, chosen.state_partitions, chosen.bounded)
+        start_counts(*to, chosen.queries, chosen.sliding_every, chosen.state_partitions, chosen.bounded, chosen.shared)
     elif chosen.job == "ingest":
         start_ingest(*to, known, chosen.events_topic, chosen.by_batch, chosen.parts)
     elif chosen.job == "replay":

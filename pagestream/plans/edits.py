@@ -1,5 +1,7 @@
 """Edit events: ingest, most edited categories, edits per wiki."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from pagestream.functions import dates, text
@@ -92,6 +94,62 @@ def start_category_panes(edits, folder, publish, checkpoint, every="1 minute", t
     )
 
 
+CATEGORY_SPANS = {"width_seconds": 1800, "slide_seconds": 120, "delay_seconds": 1800}
+WIKI_SPANS = {"width_seconds": 300, "slide_seconds": 60, "delay_seconds": 600}
+
+
+def shared_panes(edits, wiki="enwiki", noise=filters.NOISE, category_spans=CATEGORY_SPANS, wiki_spans=WIKI_SPANS):
+    """Counts for `top_categories` and `wiki_counts` from one read and one aggregation of the edits.
+
+    Gives `topic, key, value, window` per pane, for update mode and an `OpenPanes` per topic.
+    A pane is the longest that divides both slides. The watermark waits until the last
+    window of either query that has a pane is closed, and is that of all edits, also for the one wiki.
+    """
+    spans = (category_spans, wiki_spans)
+    pane = math.gcd(*(span["slide_seconds"] for span in spans))
+    delay = max(span["width_seconds"] + span["delay_seconds"] for span in spans) - pane
+
+    def counted_as(topic, column):
+        return F.struct(F.lit(topic).alias("topic"), F.col(column).alias("key"))
+
+    wanted = (F.col("wiki") == wiki) & ~F.col("categoryText").rlike(noise)
+    of_queries = F.array_compact(F.array(
+        counted_as(topics.WIKI_TOPIC, "wiki"), F.when(wanted, counted_as(topics.TOP_CATEGORIES_TOPIC, "categoryText")),
+    ))
+    rows = _watched(edits, f"{delay} seconds").select("event_time", F.explode(of_queries).alias("of"))
+    counts = aggregates.windowed_count(rows, "of", "event_time", f"{pane} seconds", f"{pane} seconds")
+    return messages.to_message(counts.select("of.*", "value", "window"), "key", keep=["window", "topic"])
+
+
+def start_shared_counts(edits, folder, publish, checkpoint, every="1 minute", drain=False, category_threshold=5,
+                        wiki_threshold=20, category_spans=CATEGORY_SPANS, wiki_spans=WIKI_SPANS, **which):
+    """`start_top_categories` and `start_wiki_counts` as one query; the folder keeps the open panes of each.
+
+    `publish(rows, topic, batch_id)` gets the windows of a topic that a batch changed.
+    """
+    handlers = {
+        topic: pane_handler(
+            tables.OpenPanes(f"{folder}/{topic}", **spans),
+            lambda rows, batch_id, topic=topic: publish(rows, topic, batch_id), threshold,
+        )
+        for topic, spans, threshold in (
+            (topics.TOP_CATEGORIES_TOPIC, category_spans, category_threshold),
+            (topics.WIKI_TOPIC, wiki_spans, wiki_threshold),
+        )
+    }
+
+    def handle(batch, batch_id):
+        batch.persist()  # the changed panes of the batch, which the aggregation gives once
+        try:
+            for topic, handler in handlers.items():
+                handler(batch.where(F.col("topic") == topic), batch_id)
+        finally:
+            batch.unpersist()
+
+    rows = shared_panes(edits, category_spans=category_spans, wiki_spans=wiki_spans, **which)
+    return runner.start(rows, sinks.batch_sink(handle), checkpoint, "update", every, drain, name="edit_counts")
+
+
 def wiki_counts(edits, threshold=20, distinct_edits=False, edit_id=None,
                 width="5 minutes", slide="1 minute", delay="10 minutes", closed_only=False):
     """Wikis with at least `threshold` rows in a window.

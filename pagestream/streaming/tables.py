@@ -220,7 +220,8 @@ class OpenPanes(KeptTable):
     """Counts per pane of one slide, and the sliding windows made of them.
 
     A stream then holds and shuffles one row per pane, where copying rows into windows makes
-    width / slide of them. A pane stays while a window that has it can change.
+    width / slide of them. A pane stays while a window that has it can change. Panes may be
+    shorter than a slide, if they divide it; the width is a number of slides.
     """
 
     def __init__(self, folder, width_seconds, slide_seconds, delay_seconds):
@@ -236,8 +237,8 @@ class OpenPanes(KeptTable):
 
     def changed_windows(self, spark, batch_id):
         """`key, window_start, value` of the windows that this batch changed and that were not closed before it."""
-        first = F.col("window_start") - (self.width - self.slide)
-        starts = F.explode(F.sequence(first, F.col("window_start"), F.lit(self.slide)))
+        last = F.col("window_start") - F.pmod("window_start", F.lit(self.slide))
+        starts = F.explode(F.sequence(last - (self.width - self.slide), last, F.lit(self.slide)))
         bar = self._bar(self.kept(spark, batch_id - 1)) if batch_id else self._bar(None)
         kept = self.kept(spark, batch_id)
         changed = kept.where(F.col("version") == batch_id).select("key", starts.alias("window_start")).distinct()

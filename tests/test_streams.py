@@ -567,6 +567,59 @@ def test_panes_give_the_windows_of_update_mode_with_less_state(spark, tmp_path):
     assert states["panes"] * 1.3 < states["copied"]
 
 
+def test_shared_counts_equal_both_queries_from_one_read(spark, tmp_path):
+    rng = random.Random(8)
+
+    def newest(folder):
+        rows = spark.read.parquet(str(tmp_path / folder)).groupBy("key", "window").agg(F.max_by("value", "batch_id").alias("value"))
+        return {(r["key"], r["window"]["start"], r["window"]["end"]): r["value"] for r in rows.collect()}
+
+    for number in range(3):
+        # Some minutes of each file lie behind the one before it, within both delays.
+        minutes = [number * 40 + 59.9 - (rng.random() ** 2) * (48 if number else 60) for _ in range(300)]
+        lines = [
+            _edit(m, rng.choice(["enwiki", "enwiki", "dewiki"]), rng.choice(["a", "b", "enwiki", "a stub"])) for m in minutes
+        ]
+        _put(tmp_path / "in", f"f{number}", [*lines, "broken"])
+        edit_rows = parse.parse_edits(topics.line_stream(spark, str(tmp_path / "in")))
+        write = lambda rows, topic, batch_id: rows.write.mode("overwrite").parquet(str(tmp_path / f"{topic}/batch_id={batch_id}"))
+        with runner.state_partitions(spark, 2):
+            shared = edits.start_shared_counts(
+                edit_rows, str(tmp_path / "kept"), write, str(tmp_path / "c0"), every=None, drain=True, wiki_threshold=4
+            )
+            shared.awaitTermination()
+        for name, rows in (("c1", edits.top_categories(edit_rows)), ("c2", edits.wiki_counts(edit_rows, threshold=4))):
+            runner.drain(rows, sinks.batch_folder_sink(str(tmp_path / f"out-{name}")), str(tmp_path / name), "update", 2)
+        for progress in shared.recentProgress:
+            assert len(progress["sources"]) == len(progress["stateOperators"]) == 1
+    got, alone = newest(topics.TOP_CATEGORIES_TOPIC), newest("out-c1")
+    assert got == alone and len(got) > 100 and {key for key, *_ in got} == {"a", "b", "enwiki"}
+    got, alone = newest(topics.WIKI_TOPIC), newest("out-c2")
+    assert got == alone and len(got) > 200 and {key for key, *_ in got} == {"enwiki", "dewiki"}
+
+
+def test_shared_counts_drop_what_is_late_for_each_query(spark, tmp_path):
+    spans = {
+        "category_spans": {"width_seconds": 240, "slide_seconds": 120, "delay_seconds": 1200},
+        "wiki_spans": {"width_seconds": 120, "slide_seconds": 60, "delay_seconds": 60},
+    }
+    out = {}
+
+    def publish(rows, topic, _):
+        out.update({(topic, r["key"], (r["window"]["start"].timestamp() - T0) / 60): int(r["value"]) for r in rows.collect()})
+
+    for number, minutes in enumerate(([0, 0, 1, 20], [20], [0, 1, 20], [60], [61], [0])):
+        _put(tmp_path / "in", f"f{number}", [_edit(m) for m in minutes])
+        with runner.state_partitions(spark, 2):
+            edits.start_shared_counts(
+                parse.parse_edits(topics.line_stream(spark, str(tmp_path / "in"))), str(tmp_path / "kept"), publish,
+                str(tmp_path / "c"), every=None, drain=True, category_threshold=1, wiki_threshold=1, **spans,
+            ).awaitTermination()
+    # Edits of minutes 0 and 1 that came after minute 20 count for the longer delay only, the last one for none.
+    assert out[("event_top_categories", "Cats", 0)] == 5 and out[("event_wikitype", "enwiki", 0)] == 3
+    assert out[("event_top_categories", "Cats", 20)] == out[("event_wikitype", "enwiki", 20)] == 3
+
+
 def test_latest_view_writes_the_batch_not_all_keys(spark, tmp_path):
     sizes, expected = {}, {}
     for many in (200, 2_000):

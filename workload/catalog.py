@@ -293,6 +293,25 @@ def event_wikitype_stream(spark, sf_dir):
     return _last_update(spark, out)
 
 
+@query
+def edit_counts_shared_stream(spark, sf_dir):
+    """Most edited categories and edits per wiki from one read and one aggregation of the edits."""
+    lines = inputs.edit_lines(spark, sf_dir, keep=["timestamp"])
+    base = run_dir(spark, "edit-counts-shared")
+    for step in _in_time_order(lines, "timestamp"):
+        step.select("value").write.mode("append").text(f"{base}/in")
+        with runner.state_partitions(spark, spark.sparkContext.defaultParallelism):
+            edits.start_shared_counts(
+                parse.parse_edits(topics.line_stream(spark, f"{base}/in")), f"{base}/kept",
+                lambda rows, topic, batch_id: rows.write.mode("overwrite").parquet(
+                    f"{base}/out/topic={topic}/batch_id={batch_id}"
+                ),
+                f"{base}/checkpoint", every=None, drain=True,
+            ).awaitTermination()
+    rows = aggregates.with_window_seconds(spark.read.parquet(f"{base}/out"))
+    return rows.groupBy("topic", "key", "window_start").agg(F.max_by("value", "batch_id").alias("value"))
+
+
 @query
 def event_wikitype_distinct(spark, sf_dir):
     counts = edits.wiki_counts(inputs.edits(spark, sf_dir), threshold=5, distinct_edits=True)

@@ -159,6 +159,9 @@ _sql("event_top_categories_closed_stream", [*_EDITS, "quiet", "category_counts"]
         where window_start + 1800 <= (select max(timestamp) from quiet) - 1800""")
 _sql("event_wikitype event_wikitype_stream", [*_EDITS, "wiki_counts"],
      "select key, cast(value as varchar) as value, window_start from wiki_counts")
+_sql("edit_counts_shared_stream", [*_EDITS, "quiet", "category_counts", "wiki_counts"],
+     """select 'event_top_categories' as topic, key, cast(value as varchar) as value, window_start from category_counts
+        union all select 'event_wikitype', key, cast(value as varchar), window_start from wiki_counts""")
 _sql("event_wikitype_distinct event_wikitype_distinct_stream", _EDITS,
      """select wiki as key, (timestamp // 60) * 60 - i * 60 as window_start,
                cast(count(*) as varchar) as value
