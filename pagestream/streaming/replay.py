@@ -30,8 +30,10 @@ def literal(name):
 class NameOrder:
     """Which files of a folder each batch takes: those not taken yet, by name.
 
-    The choice is written beside the checkpoint before the batch is, so a batch that runs
-    again takes the same files, and after a restart those that follow.
+    The folder is listed when all files known of are dealt, and all it has more are then dealt to
+    the batches to come. That is written beside the checkpoint, once for all of them and before
+    the first of them is sent, so a batch that runs again takes the same files, and after a
+    restart those that follow. So the work per batch does not grow with the number of files.
     """
 
     def __init__(self, spark, folder, log, files_per_trigger=1):
@@ -45,27 +47,30 @@ class NameOrder:
             rows = self.spark.read.text(self.log).select("value", "batch_id").collect() if there else []
             self.taken = {}
             for row in rows:
-                self.taken.setdefault(row["batch_id"], []).append(row["value"])
+                # A name alone, as logs once had them, is of the batch that its folder is named by.
+                batch, _, name = row["value"].rpartition("\t")
+                self.taken.setdefault(int(batch or row["batch_id"]), []).append(name)
         return self.taken
 
     def names(self, batch_id):
         known = self._known()
         if batch_id not in known:
             gone = {name for names in known.values() for name in names}
-            left = sorted(set(scan_lines(self.spark, self.folder).inputFiles()) - gone)[:self.each]
-            if left:
-                rows = self.spark.createDataFrame([(name,) for name in left], "value string")
+            left = sorted(set(scan_lines(self.spark, self.folder).inputFiles()) - gone)
+            dealt = {batch_id + at // self.each: left[at:at + self.each] for at in range(0, len(left), self.each)}
+            if dealt:
+                lines = [(f"{batch}\t{name}",) for batch, names in dealt.items() for name in names]
+                rows = self.spark.createDataFrame(lines, "value string")
                 rows.coalesce(1).write.mode("overwrite").text(f"{self.log}/batch_id={batch_id}")
-                known[batch_id] = left
-            return left
-        return sorted(known[batch_id])
+                known.update(dealt)
+        return sorted(known.get(batch_id, []))
 
 
 def replay_by_name(spark, folder, write, checkpoint, every="60 seconds", files_per_trigger=1, drain=False):
     """Hand the lines of a folder's files, by name, to `write(lines, batch_id)`, one file per interval by default.
 
     A source that counts batches paces it, and its checkpoint numbers them. Files that come
-    later follow when all before are sent. With `drain` files follow each other without a
+    later follow when all listed before are sent. With `drain` files follow each other without a
     pause, and it ends with the last.
     """
     order, done = NameOrder(spark, folder, f"{checkpoint}/names", files_per_trigger), threading.Event()

@@ -223,6 +223,30 @@ def test_replay_goes_by_name_and_on_after_a_restart(spark, tmp_path):
     assert numbers == sorted(numbers) and numbers[1] == numbers[2]
 
 
+def test_replay_lists_the_folder_once_for_all_files_there(spark, tmp_path, monkeypatch):
+    for name in ("c", "a", "d", "b", "e"):
+        _put(tmp_path / "in", name, [name])
+    listed, scan = [], replay.scan_lines
+    monkeypatch.setattr(replay, "scan_lines", lambda *where: listed.append(where) or scan(*where))
+
+    def order():
+        return replay.NameOrder(spark, str(tmp_path / "in"), str(tmp_path / "names"), 2)
+
+    def names(of, batch_id):
+        return [name.rsplit("/", 1)[1] for name in of.names(batch_id)]
+
+    first = order()
+    assert [names(first, at) for at in range(3)] == [["a", "b"], ["c", "d"], ["e"]] and len(listed) == 1
+    _put(tmp_path / "in", "aa", ["aa"])
+    again = order()  # after a restart a batch that was dealt its files has the same
+    assert names(again, 1) == ["c", "d"] and names(again, 2) == ["e"] and len(listed) == 1
+    assert names(again, 3) == ["aa"] and names(again, 4) == [] and len(listed) == 3
+    # A log of one name per line, in a folder for each batch.
+    spark.createDataFrame([(again.names(0)[0],)], "value string").write.text(str(tmp_path / "old" / "batch_id=0"))
+    old = replay.NameOrder(spark, str(tmp_path / "in"), str(tmp_path / "old"))
+    assert names(old, 0) == ["a"] and names(old, 1) == ["aa"]
+
+
 def test_a_batch_reads_the_parts_its_titles_lie_in(spark, tmp_path, rows):
     known = spark.range(400).selectExpr(
         "concat('Page_', id) as title", "0 as pos", "concat('Category:C', id) as category", "false as hidden"
