@@ -18,12 +18,14 @@ class KeptTable:
 
     def __init__(self, folder, shape, reduce, slots=3, shown=None):
         self.folder, self.shape, self.reduce, self.slots, self.shown = folder, shape, reduce, slots, shown
+        self.schema = None  # of the rows, once some were written, so no job looks for it in the files
 
     def update(self, batch, batch_id):
         """For `batch_sink`; the batch may be empty."""
         kept = self.kept(batch.sparkSession, batch_id - 1) if batch_id > 0 else None
         rows = self.reduce(kept, self.shape(batch, batch_id))
         rows.write.mode("overwrite").parquet(self.slot(self.folder, batch_id))
+        self.schema = rows.schema
 
     def slot(self, folder, batch_id):
         """Where something derived from the table as of this batch is kept, in another folder."""
@@ -31,7 +33,8 @@ class KeptTable:
 
     def kept(self, spark, batch_id):
         """All rows as the batch with this number left them."""
-        return spark.read.parquet(self.slot(self.folder, batch_id))
+        reader = spark.read.schema(self.schema) if self.schema else spark.read
+        return reader.parquet(self.slot(self.folder, batch_id))
 
     def after(self, spark, batch_id):
         """The table as the batch with this number left it."""

@@ -178,6 +178,24 @@ def test_hot_titles_are_cut_in_each_batch(spark, tmp_path, rows, monkeypatch):
     assert rows(got) == rows(batch) and got.count() == 1200
 
 
+def test_without_hot_titles_a_batch_is_joined_once(spark, tmp_path, rows):
+    known = spark.range(100).selectExpr("concat('T', id) as title", "'Category:X' as category", "false as hidden")
+    event = '{"id": %d, "type": "edit", "title": "T%d", "timestamp": %d, "wiki": "w"}'
+    lines, plans = [event % (i, i, i) for i in range(100)], []
+    _put(tmp_path / "in", "a", lines)
+
+    def write(frame, batch_id):
+        plans.append(frame._jdf.queryExecution().analyzed().toString())
+        frame.write.text(str(tmp_path / "out"))
+
+    edits.start_edit_lines_by_batch(
+        topics.line_stream(spark, str(tmp_path / "in")), known, write, str(tmp_path / "c"), drain=True
+    ).awaitTermination()
+    assert len(plans) == 1 and "Union" not in plans[0] and plans[0].count("Join") == 1
+    batch = edits.edit_lines(spark.createDataFrame([(line,) for line in lines], "value string"), known)
+    assert rows(spark.read.text(str(tmp_path / "out"))) == rows(batch)
+
+
 def test_replay_takes_one_file_per_batch(spark, tmp_path):
     lines = spark.range(95).selectExpr("string(id) as value").coalesce(1)
     dumps.split_dump(lines, str(tmp_path / "split"), 20)
@@ -329,6 +347,18 @@ def test_latest_events_feed(spark, tmp_path):
     assert sorted(r["event_id"] for r in got) == list(range(15, 35))
 
 
+def test_a_kept_table_is_opened_without_a_job(spark, tmp_path):
+    event = "named_struct('id', id, 'timestamp', id, 'wiki', 'w', 'title', 'T', 'type', 'edit') as e"
+    table = tables.latest_events(str(tmp_path / "v"), 3)
+    table.update(spark.range(5).selectExpr(event), 0)
+    spark.sparkContext.setJobGroup("opened", "the kept table")
+    kept = table.kept(spark, 0)
+    assert not list(spark.sparkContext.statusTracker().getJobIdsForGroup("opened"))
+    spark.sparkContext.setJobGroup("", "")
+    again = tables.latest_events(str(tmp_path / "v"), 3).kept(spark, 0)  # as after a restart
+    assert kept.schema == again.schema and sorted(kept.collect()) == sorted(again.collect()) and again.count() == 3
+
+
 def _until(condition, queries, seconds=120):
     deadline = time.time() + seconds
     try:
