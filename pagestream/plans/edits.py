@@ -199,13 +199,16 @@ def start_edit_lines_by_batch(event_messages, categories, write, checkpoint, eve
             hot_edits = joins.hot_values(rows, "title")
             hot = F.col("title").isin(*hot_edits, *hot_categories)
             categories = of_titles(whole, rows, parts) if parts else whole
-            # What is not hot is joined with the table where it lies.
+            # What is not hot is joined with the table where it lies; mostly that is all.
+            any_hot = bool(hot_edits or hot_categories)
             joined = cats.with_categories(
-                rows.where(~hot), categories, hot_edits={}, hot_categories={}
-            ).unionByName(cats.with_categories(
-                rows.where(hot), categories.where(hot), hot_edits=hot_edits,
-                hot_categories=hot_categories, edit_id="event_id",
-            ))
+                rows.where(~hot) if any_hot else rows, categories, hot_edits={}, hot_categories={}
+            )
+            if any_hot:
+                joined = joined.unionByName(cats.with_categories(
+                    rows.where(hot), categories.where(hot), hot_edits=hot_edits,
+                    hot_categories=hot_categories, edit_id="event_id",
+                ))
             write(messages.to_lines(joined, *EDIT.names), batch_id)
         finally:
             rows.unpersist()
