@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagestream import schemas
+from pagestream.session import shuffle_partitions
 
 _BROKEN = "_broken"
 _SPLIT = ["file", "block_start"]
+_BYTES_EACH = 64 << 20
 
 
 def _pieces(spark, path):
@@ -86,7 +88,11 @@ def scan_json_texts(spark, path):
 
     What is no object, and blank texts aside, counts as one too, up to where the next begins.
     """
-    states = _with_states(_pieces(spark, path))
+    pieces = _pieces(spark, path)
+    # Partitions follow the bytes that the splits may hold, so what a task sorts does not grow with the input.
+    most = pieces.rdd.getNumPartitions() * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    partitions = max(shuffle_partitions(spark), -(-most // _BYTES_EACH))
+    states = _with_states(pieces.repartition(partitions, *_SPLIT))
     rows = states.join(_splits(states), _SPLIT)
     begins = F.when(F.col("state") == 0, F.col("begins_0")).otherwise(F.col("begins_1"))
     so_far = Window.partitionBy(*_SPLIT).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
@@ -96,9 +102,9 @@ def scan_json_texts(spark, path):
     blank = ~F.col("value").rlike(r"\S")
     bare = F.col("last_split") & (F.col("row") == F.col("last_row")) & ((F.col("beyond") == 1) | (F.col("beyond") > 1) & blank)
     text = F.when(bare, F.col("value")).otherwise(F.concat("value", F.lit("}")))
-    pieces = rows.select("file", number.alias("number"), "block_start", "row", text.alias("text"))
+    placed_pieces = rows.select("file", number.alias("number"), "block_start", "row", text.alias("text"))
     placed = F.array_sort(F.collect_list(F.struct("block_start", "row", "text")))
-    objects = pieces.groupBy("file", "number").agg(placed.alias("parts"))
+    objects = placed_pieces.repartition(partitions, "file", "number").groupBy("file", "number").agg(placed.alias("parts"))
     value = F.array_join(F.transform("parts", lambda part: part["text"]), "")
     return objects.select("file", "number", value.alias("value")).where(F.col("value").rlike(r"\S"))
 

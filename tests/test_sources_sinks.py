@@ -176,6 +176,17 @@ def test_json_objects_of_every_layout(spark, tmp_path, setting, split):
     assert all(r[1] == list(range(12)) for r in numbers.collect())
 
 
+def test_json_splits_are_dealt_to_partitions_that_grow_with_them(spark, tmp_path, setting, monkeypatch):
+    monkeypatch.setattr(json_objects, "_BYTES_EACH", 500)
+    setting("spark.sql.files.maxPartitionBytes", "1000")
+    setting("spark.sql.files.openCostInBytes", "0")
+    (tmp_path / "a.json").write_text("".join('{"id": %d, "comment": "x {y}"}\n' % i for i in range(1000)))
+    splits = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+    texts = json_objects.scan_json_texts(spark, str(tmp_path))
+    assert splits > 20 and texts.rdd.getNumPartitions() >= 2 * splits
+    assert [r["number"] for r in texts.orderBy("number").collect()] == list(range(1000))
+
+
 def test_broken_json_objects_are_told_by_number(spark, tmp_path):
     (tmp_path / "events").write_text('{"type": "edit", "id": 1} {"type": edit} {"id": 3, "type": "log"}{"type": "edit", "id": ')
     (tmp_path / "blank").write_text(" \n")
