@@ -1,7 +1,7 @@
 """Main text of pages by wrapper induction.
 
-Some pages of each host are aligned with one another as trees of blocks by simple tree
-matching. Each slot of the aligned trees is judged by what the pages have in it: one text in
+All pages of each host are aligned, as trees of blocks by simple tree matching, with one that has
+many tags. Each slot of that tree is judged by what the pages have in it: one text in
 all of them is template; mostly links, or few texts for many pages, is a menu, an advert or a
 list of other pages; texts that differ from page to page are free. The part of the tree that
 holds most of the free text is the host's content. A page is aligned with its host's wrapper,
@@ -12,25 +12,32 @@ form or comments is none of the article, and where a host has too few pages to c
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import pickle
 import re
-from collections import Counter
-from collections.abc import Iterator
+import zlib
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagestream.llm.common import schema
+from pagestream.llm.common import cut_lineage, schema
 from pagestream.llm.components import joined_by_hub
 from pagestream.llm.url_filter import host_of
 from pagestream.session import shuffle_partitions
 
-#: Pages of a host that the wrapper is induced from at most, and at least.
-PAGES_PER_HOST, LEAST_PAGES = 8, 3
+#: Different pages of a host that a wrapper is induced from at least.
+LEAST_PAGES = 3
+#: Pages are aligned with the longest, by tags, of this share of the host's different pages, the
+#: shorter ones: nearly all blocks are there, and a few pages unlike the others aren't taken for the model.
+USUAL = 0.9
+#: Skeletons or wrappers of all hosts up to so many bytes go to every task, rather than the pages to them.
+SMALL_BYTES = 8_000_000
 #: Blocks lie at most this deep in a tree; deeper ones are put beside each other, in order.
 DEEPEST = 120
 #: Up to so many pairs of siblings are weighed against each other; more are paired by label and number.
@@ -263,57 +270,95 @@ def _numbered(left: list[Node], right: list[tuple]) -> list[tuple[Node, tuple]]:
 class Slot:
     """What the pages have at one place of the aligned trees."""
 
-    __slots__ = ("texts", "linked", "kind", "free")
+    __slots__ = ("many", "different", "size", "linked", "text", "kind", "free")
 
-    def __init__(self):
-        self.texts: list[str] = []
-        self.linked, self.kind, self.free = 0, "", 0.0
-
-    def take(self, node: Node) -> None:
-        if text := node.own_text():
-            self.texts.append(text)
-            self.linked += min(node.linked, len(text))
+    def __init__(self, many: int = 0, different: int = 0, size: int = 0, linked: int = 0, text: int = 0):
+        self.many, self.different, self.size, self.linked, self.text = many, different, size, linked, text
+        self.kind, self.free = "", 0.0
 
     def judge(self, pages: int) -> None:
         """fixed: one text on all pages; links, few: other pages' names, or texts that come again; else free."""
-        many, different, size = len(self.texts), len(set(self.texts)), sum(map(len, self.texts))
-        if not many:
+        if not self.many:
             self.kind = "box"
-        elif different == 1 and many == pages:
+        elif self.different == 1 and self.many == pages:
             self.kind = "fixed"
-        elif self.linked * 2 > size:
+        elif self.linked * 2 > self.size:
             self.kind = "links"
-        elif many >= 4 and different * 2 <= many:
+        elif self.many >= 4 and self.different * 2 <= self.many:
             self.kind = "few"
         else:
-            self.kind, self.free = "free", size / pages
+            self.kind, self.free = "free", self.size / pages
 
 
 def _frozen(node: Node) -> tuple:
-    return (node.label, Slot(), [_frozen(x) for x in node.blocks()])
+    """The tree without its texts: (label, (number, whether it names itself something else than content), children)."""
+    count = iter(range(1 << 40))
+
+    def freeze(x: Node) -> tuple:
+        return (x.label, (next(count), x.noise and not x.main), [freeze(y) for y in x.blocks()])
+
+    return freeze(node)
+
+
+def _told(text: str) -> int:
+    """64 bits that tell a text from others."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def slots_of(page: str, skeleton: tuple) -> list[tuple[int, int, int, int]]:
+    """(number, text by `_told`, its code points, those in links) of each slot where the page has text.
+
+    The first is one of number -1 for the page itself.
+    """
+    found = [(-1, 0, 0, 0)]
+    for node, slot in matched(parse(page), skeleton):
+        if text := node.own_text():
+            found.append((slot[1][0], _told(text), len(text), min(node.linked, len(text))))
+    return found
 
 
 def induce(pages: list[str]) -> tuple | None:
+    """The wrapper of these pages, see `wrapper_of`: `host_wrappers` for a few pages, without Spark."""
+    pages = sorted(set(pages), key=lambda p: (p.count("<"), p))
+    if not pages:
+        return None
+    skeleton = _frozen(parse(pages[int((len(pages) - 1) * USUAL)]))
+    texts: defaultdict[int, Counter] = defaultdict(Counter)
+    sizes, linked = Counter(), Counter()
+    for page in pages:
+        for number, text, size, links in slots_of(page, skeleton):
+            texts[number][text] += 1
+            sizes[number] += size
+            linked[number] += links
+    return wrapper_of(skeleton, [(n, sum(c.values()), len(c), sizes[n], linked[n], max(c)) for n, c in texts.items()])
+
+
+def wrapper_of(skeleton: tuple, found: Iterable[tuple]) -> tuple | None:
     """The wrapper: (label, (kind, text where it is fixed, whether the content is here), children) of one page's tree.
 
-    None with fewer than LEAST_PAGES different pages, or where nothing varies: then nothing
-    tells what is template.
+    `found` has (number, texts, different ones, code points, those in links, one text) of each slot,
+    counted over the host's different pages, and of them all as number -1. None with fewer than
+    LEAST_PAGES pages, or where nothing varies: then nothing tells what is template.
     """
-    pages = sorted(set(pages))
-    if len(pages) < LEAST_PAGES:
+    slots = {number: Slot(*counts) for number, *counts in found}
+    pages = slots[-1].many if -1 in slots else 0
+    if pages < LEAST_PAGES:
         return None
-    trees = [parse(p) for p in pages]
-    most = max(range(len(trees)), key=lambda i: (_blocks_in(trees[i]), -i))
-    base = _frozen(trees[most])
-    for tree in trees:
-        for node, slot in matched(tree, base):
-            slot[1].take(node)
-    noise = {id(slot) for node, slot in matched(trees[most], base) if node.noise and not node.main}
+
+    def filled(node: tuple) -> tuple:
+        label, (number, out), children = node
+        slot = (label, slots.get(number) or Slot(), [filled(x) for x in children])
+        if out:
+            noise.add(id(slot))
+        return slot
+
+    noise: set[int] = set()
+    base = filled(skeleton)
 
     def weigh(slot: tuple, out: bool) -> float:
         out = out or id(slot) in noise
         own = slot[1]
-        own.judge(len(pages))
+        own.judge(pages)
         below = sum([weigh(x, out) for x in slot[2]])
         own.free = (0.0 if out else own.free) + below
         return own.free
@@ -344,7 +389,7 @@ def induce(pages: list[str]) -> tuple | None:
 
     def strip(slot: tuple) -> tuple:
         own = slot[1]
-        text = own.texts[0] if own.kind == "fixed" else ""
+        text = own.text if own.kind == "fixed" else None
         return (slot[0], (own.kind, text, id(slot) in chosen), [strip(x) for x in slot[2]])
 
     return strip(base)
@@ -354,10 +399,6 @@ def _names_article(slot: tuple) -> bool:
     return slot[0].split(".")[0] in ("article", "main")
 
 
-def _blocks_in(node: Node) -> int:
-    return 1 + sum(_blocks_in(x) for x in node.blocks())
-
-
 def main_text(page: str | None, wrapper: tuple | None) -> str:
     """The article's blocks, in page order, one to a line."""
     return extracted(page, wrapper)[0]
@@ -367,12 +408,12 @@ def extracted(page: str | None, wrapper: tuple | None) -> tuple[str, bool]:
     """(text, whether the wrapper says where it is)."""
     root = parse(page)
     kinds = {id(node): slot[1] for node, slot in matched(root, wrapper)} if wrapper is not None else {}
-    content = [node for node in _walk(root) if kinds.get(id(node), ("", "", False))[2]]
+    content = [node for node in _walk(root) if kinds.get(id(node), ("", None, False))[2]]
     regions = content or _named_regions(root)
 
     def stays(text: str, node: Node) -> bool:
-        kind, fixed, _ = kinds.get(id(node), ("free", "", False))
-        return not (kind == "fixed" and text == fixed or kind in ("links", "few") and not node.tag == "p" and node.tag not in HEADINGS)
+        kind, fixed, _ = kinds.get(id(node), ("free", None, False))
+        return not (kind == "fixed" and _told(text) == fixed or kind in ("links", "few") and not node.tag == "p" and node.tag not in HEADINGS)
 
     lines = [t for region in regions for t, node in _lines(region, region is not root) if stays(t, node)]
     return "\n".join(lines), bool(content)
@@ -433,30 +474,94 @@ def _lines(region: Node, inside: bool) -> Iterator[tuple[str, Node]]:
     yield from flush(region)
 
 
+def _packed(tree: tuple) -> bytes:
+    return zlib.compress(pickle.dumps(tree), 1)
+
+
 @lru_cache(maxsize=512)
-def _wrapper(packed: bytes | None) -> tuple | None:
-    return pickle.loads(packed) if packed else None
+def _unpacked(packed: bytes | None) -> tuple | None:
+    return pickle.loads(zlib.decompress(packed)) if packed else None
 
 
 @F.pandas_udf(T.BinaryType())
-def _induced(pages: pd.Series) -> pd.Series:
-    wrappers = (induce([p for p in some if p]) for some in pages)
-    return pd.Series([None if w is None else pickle.dumps(w) for w in wrappers], dtype=object)
+def _skeleton(pages: pd.Series) -> pd.Series:
+    return pd.Series([_packed(_frozen(parse(p))) for p in pages], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(schema("slot int, text long, size long, linked long")))
+def _slots(pages: pd.Series, skeletons: pd.Series) -> pd.Series:
+    names = ("slot", "text", "size", "linked")
+    return pd.Series([[dict(zip(names, s)) for s in slots_of(p, _unpacked(k))] for p, k in zip(pages, skeletons)], dtype=object)
+
+
+@F.pandas_udf(T.BinaryType())
+def _induced(skeletons: pd.Series, found: pd.Series) -> pd.Series:
+    names = ("slot", "many", "different", "size", "linked", "text")
+    wrappers = (wrapper_of(_unpacked(k), [tuple(s[n] for n in names) for s in some]) for k, some in zip(skeletons, found))
+    return pd.Series([None if w is None else _packed(w) for w in wrappers], dtype=object)
 
 
 @F.pandas_udf(schema("text string, by_wrapper boolean"))
 def _extracted(pages: pd.Series, wrappers: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([extracted(p, _wrapper(w)) for p, w in zip(pages, wrappers)], columns=["text", "by_wrapper"])
+    return pd.DataFrame([extracted(p, _unpacked(w)) for p, w in zip(pages, wrappers)], columns=["text", "by_wrapper"])
+
+
+def _small(hosts: DataFrame, size: Column) -> bool:
+    """Whether a checkpoint with a row per host, as measured, is to go to every task."""
+    threshold = hosts.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    return not threshold.startswith("-") and (hosts.agg(F.sum(size)).first()[0] or 0) <= SMALL_BYTES
+
+
+def _with_hosts(own: DataFrame, hosts: DataFrame, size: Column) -> DataFrame:
+    """Pages with the one row of their host, of `size` bytes.
+
+    Where these rows are many bytes, pages are dealt by host, those of a host with many of them to
+    several tasks, each with a copy.
+    """
+    if _small(hosts, size + F.length("host")):
+        return own.join(F.broadcast(hosts), "host", "left")
+    share = min(0.02, max(0.001, 1 / shuffle_partitions(own.sparkSession)))  # more than a task's part
+    return joined_by_hub(own, hosts, "host", "deal", "left", share)
+
+
+def host_skeletons(own: DataFrame) -> DataFrame:
+    """(host, skeleton): of the page of each host that its pages are aligned with, see USUAL.
+
+    Of several with as many tags it is the one with the largest hash. Only hashes and counts are
+    shuffled to choose it. `own` has host, html and its hash `deal`.
+    """
+    tags = F.length("html") - F.length(F.replace("html", F.lit("<"), F.lit("")))
+    different = cut_lineage(own.select("host", "deal", tags.alias("tags")).distinct())
+    most = cut_lineage(different.groupBy("host").agg(F.percentile("tags", F.lit(USUAL)).alias("most")))
+    usual = _with_hosts(different, most, F.lit(8)).where(F.col("tags") <= F.col("most"))
+    chosen = cut_lineage(usual.groupBy("host").agg(F.max(F.struct("tags", "deal"))["deal"].alias("deal")))
+    hinted = F.broadcast(chosen) if _small(chosen, F.length("host") + F.lit(8)) else chosen
+    return own.join(hinted, ["host", "deal"]).dropDuplicates(["host"]).select("host", _skeleton("html").alias("skeleton"))
 
 
 def host_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper): induced from at most PAGES_PER_HOST pages of each host, chosen by hashes of their html."""
+    """(host, wrapper): induced from all different pages of each host.
+
+    Their texts are counted per slot by their hashes, first on the map side; a host's slots, no
+    more than the blocks of the page that all are aligned with, meet in one row. Copies of a page
+    count once.
+    """
     html = F.col(html_col)
-    hashes = [F.xxhash64(html, F.lit(n)) for n in range(PAGES_PER_HOST // 2)]
-    some = pages.where(html.isNotNull()).groupBy(host_of(F.col(url_col)).alias("host")).agg(
-        F.array(*[least(html, h) for h in hashes for least in (F.min_by, F.max_by)]).alias("some")
+    own = pages.where(html != "").select(
+        host_of(F.col(url_col)).alias("host"), html.alias("html"), F.xxhash64(html).alias("deal")
+    )
+    skeletons = cut_lineage(host_skeletons(own))
+    aligned = _with_hosts(own, skeletons, F.length("skeleton")).select("host", "deal", _slots("html", "skeleton").alias("slots"))
+    found = aligned.dropDuplicates(["host", "deal"]).select("host", F.explode("slots").alias("s")).select("host", "s.*")
+    texts = found.groupBy("host", "slot", "text").agg(
+        F.count(F.lit(1)).alias("many"), F.sum("size").alias("size"), F.sum("linked").alias("linked")
+    )
+    slots = texts.groupBy("host", "slot").agg(
+        F.sum("many").alias("many"), F.count(F.lit(1)).alias("different"), F.sum("size").alias("size"),
+        F.sum("linked").alias("linked"), F.max("text").alias("text"),
     )
-    return some.select("host", _induced("some").alias("wrapper"))
+    listed = slots.groupBy("host").agg(F.collect_list(F.struct("slot", "many", "different", "size", "linked", "text")).alias("found"))
+    return listed.join(skeletons, "host").select("host", _induced("skeleton", "found").alias("wrapper"))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -465,16 +570,15 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     Null or empty html gives an empty text. A null url, or one without a host, belongs to the
     host "". Repeated rows each give a row, an empty table none; other columns are not read.
     However deep or wide a page is, it is parsed and aligned without recursion into all of it
-    and in time that follows its length. Of each host only its few sampled pages meet; the pages
-    of a host with many of them are dealt to several tasks, each with a copy of the wrapper.
+    and in time that follows its length. Every page is parsed and aligned twice, once to count what
+    its host's slots hold and once to extract it; skeletons and wrappers are checkpoints.
     """
-    wrappers = host_wrappers(pages, url_col, html_col)
+    wrappers = cut_lineage(host_wrappers(pages, url_col, html_col))
     own = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"),
         F.xxhash64(html_col, id_col).alias("deal"),
     )
-    share = min(0.02, max(0.001, 1 / shuffle_partitions(pages.sparkSession)))  # more than a task's part
-    out = joined_by_hub(own, wrappers, "host", "deal", "left", share).select("id", "url", _extracted("html", "wrapper").alias("t"))
+    out = _with_hosts(own, wrappers, F.coalesce(F.length("wrapper"), F.lit(0))).select("id", "url", _extracted("html", "wrapper").alias("t"))
     return out.select(
         F.col("id").alias(id_col), F.col("url").alias(url_col), F.col("t.text").alias("text"),
         F.length("t.text").cast("long").alias("n_chars"), F.col("t.by_wrapper").alias("by_wrapper"),

@@ -126,3 +126,29 @@ def test_pages_of_a_large_host_are_dealt_to_several_tasks(spark, setting):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     done = html_text.extract_text(pages).groupBy(F.spark_partition_id()).count().collect()
     assert len(done) > 1 and max(r["count"] for r in done) < 150
+
+
+def test_slots_are_judged_by_all_pages_of_a_host(spark):
+    """A block on one page in six with one of three texts, among pages of equal length, is an advert, of which eight pages say little."""
+    rng = random.Random(7)
+    made = []
+    for k in range(300):
+        title, body = words(rng, 5), [words(rng, 30) for _ in range(4)]
+        advert = f"<div class='q7'>{rng.choice(['Buy our fine lamps now', 'Cheap flights to the moon', 'Soap, soap and soap'])}</div>" if k % 6 == 0 else ""
+        menu = "<div>The Daily Page</div>"
+        made.append((
+            f"<body>{menu}<div><h1>{title}</h1>{''.join(f'<div>{b}</div>' for b in body)}{advert}</div></body>", "\n".join([title, *body])
+        ))
+    # Two pages unlike the others, far longer, are not what these are aligned with; copies of a page count once.
+    odd = ["<body><table>" + "".join(f"<tr><td><a href='/'>{words(rng, 2)}</a></td></tr>" for _ in range(400)) + "</table></body>" for _ in range(2)]
+    rows = [(k, "http://all.example/%d" % k, html) for k, (html, _) in enumerate(made)]
+    rows += [(1000 + k, "http://all.example/odd", html) for k, html in enumerate(odd)]
+    rows += [(2000 + k, "http://all.example/1", made[1][0]) for k in range(700)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    got = {r["page_id"]: r for r in html_text.extract_text(pages).collect()}
+    assert len(got) == len(rows)
+    wrong = [k for k, (_, text) in enumerate(made) if got[k]["text"] != text or not got[k]["by_wrapper"]]
+    assert not wrong
+    assert all(got[2000 + k]["text"] == made[1][1] for k in range(700))
+    wrapper = html_text.host_wrappers(pages).first()["wrapper"]
+    assert all(html_text.extracted(html, html_text._unpacked(wrapper)) == (text, True) for html, text in made)
